@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readloom.llm import bpe, token_store
+from readloom.llm import bpe, pii, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_store": token_store.op1_token_store,
         "op5_byte_bpe": bpe.op5_byte_bpe,
+        "op9_pii": pii.op9_pii,
     }
 
 

@@ -1,0 +1,56 @@
+import hashlib
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from readloom.llm import pii
+
+
+def luhn(d):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def brute(text):
+    out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [("card", m.start(), m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 16 <= len(d := re.sub("[^0-9]", "", m[0])) <= 19 and luhn(d)]
+    return out + [("phone", m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+
+
+def base(text):
+    return [s for s in pii.find(text) if s[0] in pii.BASE]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.text(alphabet="a.@+-0125 ()é_%\n", max_size=60))
+def test_base_kinds_are_those_of_the_patterns(text):
+    assert base(text) == brute(text)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(["a@b.c", "x@y", "@", ".", "1.2.3.4", "256.1.1.1", "4111 1111 1111 1111", "4111111111111111", " ", "-", "+1 (555) 555-1234", "+", "12", "é", "000255.0.0.1"]), max_size=9))
+def test_base_kinds_in_joined_pieces(parts):
+    text = "".join(parts)
+    assert base(text) == brute(text)
+
+
+def test_added_kinds_and_redaction():
+    text = 'x token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" a@b.org IBAN: GB82 WEST 1234 5698 7654 32 and https://me:pw1@host.org/ account no: 12345678 end'
+    kinds = [k for k, *_ in pii.find(text)]
+    assert kinds == ["email", "email", "iban", "account", "secret", "login"] or set(kinds) == {"email", "iban", "account", "secret", "login"}
+    clean = pii.redact(text, pii.find(text))
+    assert "04dbebab" not in clean and "a@b.org" not in clean and "GB82" not in clean and "pw1" not in clean and "12345678" not in clean
+    assert pii.find("the token ring, a secret: none; account of it") == []
+
+
+def test_query_edges(spark):
+    rows = [(1, None, "x"), (2, "", "x"), (3, "a@b.c", None), (3, "a@b.c", None), (None, "1.2.3.4", "y"), (5, "word " * 50_000 + "a@b.c", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    got = sorted(map(tuple, pii.find_pii(docs).collect()), key=str)
+    empty = hashlib.sha256(b"").hexdigest()
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = [(1, 0, 0, 0, 0, empty, ""), (2, 0, 0, 0, 0, empty, ""), (3, 1, 0, 0, 0, sha("email:0:5"), "email:0:5"), (3, 1, 0, 0, 0, sha("email:0:5"), "email:0:5"), (None, 0, 1, 0, 0, sha("ip:0:7"), "ip:0:7"), (5, 1, 0, 0, 0, sha("email:250000:250005"), "email:250000:250005")]
+    assert got == sorted(want, key=str)
+    assert pii.find_pii(docs.limit(0)).count() == 0
+    assert [r.text for r in pii.redact_pii(docs).orderBy("doc_id").limit(4).collect()] == ["[IP]", None, "", "[EMAIL]"]
