@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readloom.llm import bpe, langid, pii, token_store
+from readloom.llm import bpe, langid, near_dedup, pii, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language_id": langid.op3_language_id,
         "op5_byte_bpe": bpe.op5_byte_bpe,
         "op9_pii": pii.op9_pii,
+        "op10_near_dedup": near_dedup.op10_near_dedup,
     }
 
 
