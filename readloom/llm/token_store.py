@@ -57,18 +57,34 @@ def piece_encoder(tokenizer_json: bytes, id_bytes: int):
 
         tok = Tokenizer.from_str(tokenizer_json.decode())
         tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        pack = [struct.Struct(f"<{n}{'H' if id_bytes == 2 else 'I'}").pack for n in range(64)]
+        kind = f"<u{id_bytes}"
+        vocabulary = tok.get_vocab()
+        opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids of tokens that begin with a space
+        opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
 
-        def to_bytes(ids: list[int]) -> bytes:
-            return pack[len(ids)](*ids) if len(ids) < 64 else np.array(ids, f"<u{id_bytes}").tobytes()
+        def whole(texts: list[str]) -> list[bytes]:
+            # the library's results are large: a few at a time
+            return [np.array(e.ids, kind).tobytes() for i in range(0, len(texts), 2000) for e in tok.encode_batch_fast(texts[i : i + 2000], add_special_tokens=False)]
 
         def resolve(pieces: list[str]) -> list[bytes]:
-            return [to_bytes(e.ids) for e in tok.encode_batch_fast(pieces, add_special_tokens=False)]
+            """A space and letters: these stay apart when they stand in a row, so that many are encoded as one text."""
+            rows = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
+            found = {}
+            for i in range(0, len(rows), 500):
+                group = rows[i : i + 500]
+                ids = np.array(tok.encode_batch_fast(["".join(group)], add_special_tokens=False)[0].ids, kind)
+                cuts = np.flatnonzero(opens[ids]) * id_bytes
+                if len(cuts) == len(group):
+                    raw, ends = ids.tobytes(), [*cuts[1:].tolist(), len(ids) * id_bytes]
+                    found.update(zip(group, map(raw.__getitem__, map(slice, cuts.tolist(), ends))))
+            rest = [p for p in pieces if p not in found]
+            found.update(zip(rest, whole(rest)))
+            return [found[p] for p in pieces]
 
         pieces = PieceEncoder(public_tokenizers.PATTERN, resolve)
 
         def encode(text: str) -> bytes:
-            return pieces.encode(text) if is_steady(text) else resolve([text])[0]
+            return pieces.encode(text) if is_steady(text) else whole([text])[0]
 
         _encoders[key] = encode
     return _encoders[key]
