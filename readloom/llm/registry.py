@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readloom.llm import bpe, langid, near_dedup, pii, token_store
+from readloom.llm import bpe, langid, near_dedup, phrases, pii, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_store": token_store.op1_token_store,
+        "op2_phrase_dedup": phrases.op2_phrase_dedup,
         "op3_language_id": langid.op3_language_id,
         "op5_byte_bpe": bpe.op5_byte_bpe,
         "op9_pii": pii.op9_pii,
