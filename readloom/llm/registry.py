@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readloom.llm import bpe, langid, near_dedup, phrases, pii, token_store
+from readloom.llm import bpe, decontaminate, langid, near_dedup, phrases, pii, sharding, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,7 +14,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_store": token_store.op1_token_store,
         "op2_phrase_dedup": phrases.op2_phrase_dedup,
         "op3_language_id": langid.op3_language_id,
+        "op4_splitter_shards": sharding.op4_splitter_shards,
         "op5_byte_bpe": bpe.op5_byte_bpe,
+        "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_pii": pii.op9_pii,
         "op10_near_dedup": near_dedup.op10_near_dedup,
     }
