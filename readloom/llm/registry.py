@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readloom.llm import bpe, decontaminate, langid, near_dedup, phrases, pii, sharding, token_store
+from readloom.llm import bpe, decontaminate, fingerprint, html_text, langid, near_dedup, phrases, pii, sharding, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language_id": langid.op3_language_id,
         "op4_splitter_shards": sharding.op4_splitter_shards,
         "op5_byte_bpe": bpe.op5_byte_bpe,
+        "op6_main_text": html_text.op6_main_text,
+        "op7_syncmers": fingerprint.op7_syncmers,
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_pii": pii.op9_pii,
         "op10_near_dedup": near_dedup.op10_near_dedup,
