@@ -134,6 +134,12 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     )
 
 
+def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs``, all columns, without the documents that are contaminated by ``items``; rows without an id stay."""
+    bad = contamination(docs, items, key, text).filter("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
+    return docs.join(bad, docs[key].cast("long") == F.col("__bad"), "left_anti")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's query: ``documents`` against ``benchmark``."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -195,6 +195,19 @@ def identify(docs: DataFrame, model: Mixture, key: str = "doc_id", text: str = "
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, mixture map<string,double>")
 
 
+def accepted(docs: DataFrame, model: Mixture, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language is known, all columns as they are: those with ``und`` go."""
+    at = docs.columns.index(text)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = shared.value.predict([t or "" for t in batch.column(at).to_pylist()])
+            yield batch.filter(pa.array([f[0] != "und" for f in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def learned(docs: DataFrame) -> Mixture:
     """The model of the contract: from the documents whose crc32(doc_id as text) mod 5 isn't 0."""
     return train(docs.filter(~held_out()))

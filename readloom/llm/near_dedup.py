@@ -9,8 +9,9 @@ a bucket with a probability of their Jaccard similarity, plus that of two unequa
 2. Bands of ``ROWS`` registers: in each band value the least representative is the root; each other member is paired
    with it.  Pairs whose sizes or whose collision-corrected estimate rule out the threshold are dropped; the rest are
    confirmed on the full sets.  So a group of n near copies costs n pairs, not n^2.
-3. Where members of a band value are still in different components, they are compared across those components, register
-   by register in blocks of bounded size, and the pairs that the estimate leaves are confirmed in the same way.
+3. Where members of band values with one root are still in different components, those whose registers leave a link
+   across components possible are compared on their full sets, by an inverted index in blocks of bounded size.  Only
+   links that join components are put out, so that what is shuffled grows with the members, not with their pairs.
 
 With 42 bands of 6 registers a pair at similarity 0.8 shares no band value with a probability of 3e-6, and the estimate
 (standard deviation 0.025) is held against a bound 0.12 below the threshold.
@@ -160,6 +161,19 @@ def similar(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
     return 100 * both >= round(100 * threshold) * (len(x) + len(y) - both)
 
 
+def _packed(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, z): the texts of ``ids``, compressed."""
+    import zstandard
+
+    def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "z": pa.array([c.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()], pa.binary())})
+
+    wanted = texts.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(ids, "id", "left_semi")
+    return wanted.mapInArrow(press, "id long, z binary")
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, n_words: int, threshold: float) -> DataFrame:
     """The (a, b) of ``pairs`` whose full shingle sets reach the threshold.
 
@@ -168,18 +182,13 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, n_words: int, threshold: floa
     """
     import zstandard
 
-    def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "z": pa.array([c.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()], pa.binary())})
-
     per_salt = 256
     hot = pairs.groupBy("a").agg(F.count("*").alias("k")).select("a", F.ceil(F.col("k") / per_salt).cast("int").alias("salts"))
     salted = pairs.join(hot, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.col("b").alias("id"), F.lit(1).alias("side"))
     roots = hot.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("id"), F.lit(0).alias("side"))
     need = salted.unionByName(roots)
     ids = need.select("id").distinct()
-    packed = texts.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(ids, "id", "left_semi").mapInArrow(press, "id long, z binary")
+    packed = _packed(texts, ids)
     rows = need.join(packed, "id").repartition("a", "salt").sortWithinPartitions("a", "salt", "side", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,42 +211,92 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, n_words: int, threshold: floa
     return rows.select("a", "id", "side", "z").mapInArrow(run, "a long, b long")
 
 
-def _across(members: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) in one band value but different components that the registers don't rule out.
+def _block_groups(members: DataFrame, columns: list[str]) -> DataFrame:
+    """``members`` (a, id, ...) dealt into groups (a, x, y) of at most two blocks, in order of group and id.
 
-    ``members``: band, id, n, component, registers.  A band value with many members is dealt in blocks: each pair of
-    blocks is one group, so that no task holds more than two blocks.
+    The members of ``a`` are dealt to blocks of about BLOCK_ROWS; every pair of blocks is a group, so that every two
+    members meet and no task holds more than two blocks.
     """
-    size = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    dealt = members.join(size, "band").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    size = members.groupBy("a").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    dealt = members.join(size, "a").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    placed = dealt.select("band", "id", "n", "component", "registers", "mine", other).select("band", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "id", "n", "component", "registers")
-    rows = placed.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y", "id")
-
-    def pairs(group: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        ids, n, comp = (np.array([g[i] for g in group]) for i in (3, 4, 5))
-        regs = np.frombuffer(b"".join([g[6] for g in group]), "<u2").reshape(-1, REGISTERS)
-        for i in range(len(ids)):
-            j = np.flatnonzero((comp[i + 1 :] != comp[i]) & (np.minimum(n[i + 1 :], n[i]) >= threshold * np.maximum(n[i + 1 :], n[i]) - 1e-9)) + i + 1
-            if len(j):
-                j = j[estimate(regs[i], regs[j], n[i], n[j]) >= threshold - SLACK]
-            if len(j):
-                yield np.full(len(j), ids[i]), ids[j]
+    placed = dealt.select("a", "mine", other, *columns).select("a", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), *columns)
+    return placed.repartition("a", "x", "y").sortWithinPartitions("a", "x", "y", "id")
+
+
+def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """(a, rows) of each group (a, x, y)."""
+    group: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if group and group[-1][:3] != row[:3]:
+                yield group[0][0], group
+                group = []
+            group.append(row)
+    if group:
+        yield group[0][0], group
+
+
+def _suspects(members: DataFrame, threshold: float) -> DataFrame:
+    """The (a, id) that the registers let be similar to a member of ``a`` in another component.
+
+    ``members``: a, id, n, component, registers.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list = []
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in range(7))):
-                if group and group[-1][:3] != row[:3]:
-                    for a, b in pairs(group):
-                        yield pa.RecordBatch.from_pydict({"a": a, "b": b})
-                    group = []
-                group.append(row)
-        if group:
-            for a, b in pairs(group):
-                yield pa.RecordBatch.from_pydict({"a": a, "b": b})
+        for a, group in _by_group(batches):
+            ids, n, comp = (np.array([g[i] for g in group]) for i in (3, 4, 5))
+            regs = np.frombuffer(b"".join([g[6] for g in group]), "<u2").reshape(-1, REGISTERS)
+            found = np.zeros(len(ids), bool)
+            for i in range(len(ids)):
+                j = np.flatnonzero((comp[i + 1 :] != comp[i]) & (np.minimum(n[i + 1 :], n[i]) >= threshold * np.maximum(n[i + 1 :], n[i]) - 1e-9)) + i + 1
+                if len(j):
+                    j = j[estimate(regs[i], regs[j], n[i], n[j]) >= threshold - SLACK]
+                if len(j):
+                    found[i] = found[j] = True
+            yield pa.RecordBatch.from_pydict({"a": np.full(int(found.sum()), a), "id": ids[found]})
+
+    return _block_groups(members, ["id", "n", "component", "registers"]).mapInArrow(run, "a long, id long").distinct()
+
+
+def _links_across(members: DataFrame, n_words: int, threshold: float) -> DataFrame:
+    """(a, b) links on full sets between components, found by an inverted index of each group; not all, but as many as
+    join the components.  ``members``: a, id, component, z (compressed text)."""
+    import zstandard
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d = zstandard.ZstdDecompressor()
+        for _, group in _by_group(batches):
+            ids, comp = [g[3] for g in group], [g[4] for g in group]
+            sets = [shingle_set(d.decompress(g[5]).decode("utf-8", "surrogatepass"), n_words) for g in group]
+            size = np.array([len(x) for x in sets])
+            owner = np.repeat(np.arange(len(sets)), size)
+            value, number = np.unique(np.concatenate(sets), return_inverse=True)
+            order = np.argsort(number, kind="stable")
+            owner, edge = owner[order], np.searchsorted(number[order], np.arange(len(value) + 1))
+            own = np.split(number, np.cumsum(size)[:-1])
+            joined = {c: c for c in comp}
+
+            def of(c: int) -> int:
+                while joined[c] != c:
+                    c = joined[c]
+                return c
+
+            out: list[tuple[int, int]] = []
+            for i in range(len(sets)):
+                mine = of(comp[i])
+                later = np.array([j > i and of(c) != mine for j, c in enumerate(comp)])
+                if not later.any():
+                    continue
+                count = np.bincount(np.concatenate([owner[edge[k] : edge[k + 1]] for k in own[i].tolist()]), minlength=len(sets))
+                near = np.flatnonzero(later & (100 * count >= round(100 * threshold) * (size[i] + size - count)))
+                for j in near.tolist():
+                    if of(comp[i]) != of(comp[j]):
+                        joined[of(comp[i])] = of(comp[j])
+                        out.append((ids[i], ids[j]))
+            yield pa.RecordBatch.from_pydict({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
+
+    return _block_groups(members, ["id", "component", "z"]).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n_words: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -261,13 +320,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n_
     starred = bands.join(roots, "band").filter((F.col("id") != F.col("a")) & _size_ok("n", "n_a", threshold)).select("a", F.col("id").alias("b")).distinct()
     stars = written(_confirmed(written(_estimated(starred, reps, threshold), "candidates"), texts, n_words, threshold), "links")
 
-    # what is left: members of one band value in different components
+    # what is left: members of one band value, whose root they are listed by, in different components
     label = components(stars)
-    labelled = bands.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band")
-    open_ = labelled.join(mixed, "band").join(reps.select("id", "registers"), "id")
-    rest = written(_across(open_.select("band", "id", "n", "component", "registers"), threshold), "candidates")
-    more = written(_confirmed(rest.join(starred, ["a", "b"], "left_anti"), texts, n_words, threshold), "links")
+    listed = bands.join(roots.select("band", "a"), "band").select("a", "id", "n").distinct()
+    listed = written(listed.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "members")
+    mixed = listed.groupBy("a").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("a")
+    open_ = listed.join(mixed, "a").join(reps.select("id", "registers"), "id")
+    suspects = written(_suspects(open_.select("a", "id", "n", "component", "registers"), threshold), "suspects")
+    packed = _packed(texts, suspects.select("id").distinct())
+    more = written(_links_across(suspects.join(listed.select("a", "id", "component").distinct(), ["a", "id"]).join(packed, "id").select("a", "id", "component", "z"), n_words, threshold), "links")
     links = stars.union(more).union(member.select(F.col("id").alias("a"), F.col("doc_id").alias("b")))
     found = components(links)
     out = sk.select("doc_id", F.col("n").alias("n_shingles")).join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
@@ -275,6 +336,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n_
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", n_words: int = 5, threshold: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each near-duplicate component: the one with the least id.
+
+    All columns stay.  Of rows that repeat an id the one with the least hash of its text stays; rows without an id stay.
+    """
+    kept = near_duplicates(docs, key, text, n_words, threshold).filter("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
+    chosen = docs.join(kept, docs[key].cast("long") == F.col("__kept"), "left_semi")
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(text)))
+    return chosen.withColumn("__place", place).filter("__place = 1").drop("__place").union(docs.filter(F.col(key).isNull()))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's query over ``documents``: 2-word shingles, similarity 0.8."""
     return near_duplicates(table(spark, sf_dir, "documents"), n_words=2)
