@@ -122,23 +122,35 @@ def _passages(wanted: DataFrame, n: int) -> DataFrame:
 
 
 class PassageAutomaton:
-    """An Aho-Corasick automaton over the words of passages, each with the id of the document that owns it."""
+    """An Aho-Corasick automaton over the words of passages, each with the id of the document that owns it.
+
+    A word is written as a code of a fixed width, every place of it with an alphabet of its own: no node has more than
+    ``BASE`` children (their number, not that of the words, is what a step costs), and matches begin with words.
+    """
+
+    BASE = 32
 
     def __init__(self, passages: list[tuple[int, list[bytes]]], n: int):
         import ahocorasick
 
         self.n, self.block = n, (n + 1) // 2
-        self.number: dict[bytes, int] = {}
-        number = self.number
         self.owner = [o for o, _ in passages]
-        self.words = [[number.setdefault(w, len(number) + 1) for w in words] for _, words in passages]
-        places: dict[tuple, list[tuple[int, int]]] = {}
+        self.words = [words for _, words in passages]
+        vocabulary = set().union(*self.words) if passages else set()
+        self.width = 1
+        while self.BASE**self.width < len(vocabulary):
+            self.width += 1
+        digits = [[chr(0x100 + self.BASE * place + d) for d in range(self.BASE)] for place in range(self.width)]
+        self.code = {w: "".join([digits[place][i // self.BASE**place % self.BASE] for place in range(self.width)]) for i, w in enumerate(vocabulary)}
+        self.unknown = "\0" * self.width
+        code, block = self.code, self.block
+        places: dict[str, list[tuple[int, int]]] = {}
         for p, words in enumerate(self.words):
-            for off in range(0, len(words) - self.block + 1, self.block):
-                places.setdefault(tuple(words[off : off + self.block]), []).append((p, off))
+            for off in range(0, len(words) - block + 1, block):
+                places.setdefault("".join([code[w] for w in words[off : off + block]]), []).append((p, off))
         self.automaton = None
         if places:
-            self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+            self.automaton = ahocorasick.Automaton()
             for key, where in places.items():
                 self.automaton.add_word(key, where)
             self.automaton.make_automaton()
@@ -147,23 +159,22 @@ class PassageAutomaton:
         """For each word whether a window over it is an earlier document's; None if none is."""
         if self.automaton is None or len(words) < self.n:
             return None
-        get = self.number.get
-        text = tuple([get(w, 0) for w in words])
+        code, unknown, block = self.code, self.unknown, self.block
+        text = "".join([code.get(w, unknown) for w in words])
         hit, done = None, {}
         for last, where in self.automaton.iter(text):
-            first = last - self.block + 1
+            last //= self.width
+            first = last - block + 1
             for p, off in where:
-                if self.owner[p] >= doc_id:
-                    continue
                 line = (p, first - off)  # passage and document run in step along it
-                if done.get(line, -1) > last:
+                if done.get(line, -1) > last or self.owner[p] >= doc_id:
                     continue
                 passage = self.words[p]
                 a, x = first, off
-                while a and x and text[a - 1] == passage[x - 1]:
+                while a and x and words[a - 1] == passage[x - 1]:
                     a, x = a - 1, x - 1
-                b, y = last + 1, off + self.block
-                while b < len(text) and y < len(passage) and text[b] == passage[y]:
+                b, y = last + 1, off + block
+                while b < len(words) and y < len(passage) and words[b] == passage[y]:
                     b, y = b + 1, y + 1
                 done[line] = b
                 if b - a >= self.n:
