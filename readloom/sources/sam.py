@@ -34,7 +34,8 @@ def load_sam(spark: SparkSession, path: str) -> DataFrame:
     """
     lines = spark.read.text(path).filter(~F.col("value").startswith("@") & (F.col("value") != ""))
     f = F.split("value", "\t", 12)
-    checked = F.when(F.size(f) >= 11, f).otherwise(F.raise_error(F.concat(F.lit("not a record: "), F.col("value"))))
+    # filters may be evaluated in any order: a header line never raises
+    checked = F.when((F.size(f) >= 11) | F.col("value").startswith("@"), f).otherwise(F.raise_error(F.concat(F.lit("not a record: "), F.col("value"))))
     rows = lines.select(checked.alias("f"))
     at = lambda i: F.get("f", F.lit(i))
     tags = F.transform(F.filter(F.split(F.coalesce(at(11), F.lit("")), "\t"), lambda t: F.length(t) > 4), lambda t: F.struct(F.substring(t, 1, 2).alias("k"), t.substr(F.lit(6), F.length(t)).alias("v")))
