@@ -2,29 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The URI of the folder that the driver and all executors share.
-
-    It is the session's ``spark.checkpoint.dir``.  Where that is unset (tests, a laptop) a temporary folder is made,
-    set as the checkpoint folder, and removed when the process ends.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="readloom-")
-        atexit.register(shutil.rmtree, base.removeprefix("file://"), ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+from readloom.sources.shared import shared_dir
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
