@@ -7,6 +7,7 @@ ends, must pass; the end of the file right after a record counts.  Each failing
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 import numpy as np
@@ -197,11 +198,17 @@ _registered: dict[str, Callable[..., Checker]] = {"strict": Checker, "naive": Na
 
 
 def register_checker(name: str, make: Callable[..., Checker]) -> None:
-    """Makes ``make(data, lengths, reads_to_check, max_read_size)`` available to the sources and reports by name."""
+    """Makes ``make(data, lengths, reads_to_check, max_read_size)`` available to the reports of this process by name.
+
+    Data sources are planned and read in other processes; they take a checker of one's own as ``module:attribute``.
+    """
     _registered[name] = make
 
 
 def checker(name: str) -> Callable[..., Checker]:
-    if name not in _registered:
+    if name in _registered:
+        return _registered[name]
+    module, colon, attribute = name.partition(":")
+    if not colon:
         raise ValueError(f"no checker {name!r}; there are {', '.join(sorted(_registered))}")
-    return _registered[name]
+    return getattr(importlib.import_module(module), attribute)

@@ -88,7 +88,9 @@ class BamReader(DataSourceReader):
                 out += [ByteRange(path, len(out) + i, i * self.split_size, (i + 1) * self.split_size) for i in range(n)]
         return out
 
-    def read(self, part: InputPartition) -> Iterator[pa.RecordBatch]:
+    def read(self, part: InputPartition | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # nothing was planned
+            return
         with RandomAccess(part.path) as file:
             header = bam_codec.read_header(file)
             if isinstance(part, ChunkGroup):
@@ -274,7 +276,9 @@ class BlocksReader(DataSourceReader):
         parts = [ByteRange(self.path, i, i * self.split_size, (i + 1) * self.split_size) for i in range(math.ceil(size / self.split_size))]
         return [p for p in parts if intersects(self.ranges, p.start, p.end)]
 
-    def read(self, part: ByteRange) -> Iterator[tuple]:
+    def read(self, part: ByteRange | None) -> Iterator[tuple]:
+        if part is None:
+            return
         with RandomAccess(part.path) as file:
             start = find_block_start(file, part.start, self.blocks_to_check) if part.start else 0
             for b in block_metadata(file, start, part.end):
