@@ -8,6 +8,7 @@ ends, must pass; the end of the file right after a record counts.  Each failing
 from __future__ import annotations
 
 import importlib
+import struct
 from collections.abc import Callable
 
 import numpy as np
@@ -40,20 +41,30 @@ FLAGS = (
 BIT = {name: 1 << i for i, name in enumerate(FLAGS)}
 READS_TO_CHECK = 10
 MAX_READ_SIZE = 100_000_000
-LOOKAHEAD = FIXED_BYTES + 255 + 4 * 65535  # a record's bytes that the rules look at
+NEAR = 4096  # bytes beyond a view's positions; few records' names and cigars are longer
+CUT = BIT["tooFewFixedBlockBytes"] | BIT["tooFewBytesForReadName"] | BIT["tooFewBytesForCigarOps"]
 
 _allowed = np.zeros(256, bool)
 _allowed[ord("!") : ord("?") + 1] = True
 _allowed[ord("A") : ord("~") + 1] = True
+_allowed_bytes = bytes(np.flatnonzero(_allowed).tolist())
+_fixed = struct.Struct("<iiiIIiii").unpack_from
+
+
+def _wrap(x: int) -> int:
+    """As a signed 32-bit integer."""
+    return (x + (1 << 31)) % (1 << 32) - (1 << 31)
+
+
 #: What the naive rules don't look at; of a chain's first record they don't look at the cigar either.
 NAIVE_IGNORES = BIT["tooLargeReadPos"] | BIT["tooLargeNextReadPos"] | BIT["nonASCIIReadName"] | BIT["emptyReadName"] | BIT["emptyMappedCigar"] | BIT["emptyMappedSeq"]
 NAIVE_FIRST_IGNORES = NAIVE_IGNORES | BIT["invalidCigarOp"] | BIT["tooFewBytesForCigarOps"]
 
 
-def record_flags(data: np.ndarray, n: int, lengths: np.ndarray, at_end: bool = True) -> np.ndarray:
+def record_flags(data: np.ndarray, n: int, lengths: np.ndarray) -> np.ndarray:
     """The flags of the single record at each of the first ``n`` positions of ``data`` (uint8).
 
-    ``data`` holds LOOKAHEAD bytes more than ``n``, or all there is (``at_end``).
+    Where ``data`` isn't all there is, flags in CUT only say that the record goes on beyond it.
     """
     total = len(data)
     out = np.zeros(n, np.int32)
@@ -136,13 +147,62 @@ class Checker:
     first_ignores = ignores = 0
 
     def one(self, at: int) -> int:
-        """The flags of the record at one offset."""
+        """The flags of the record at one offset; reads on no further than the rules must look."""
         if at not in self.known:
-            self.data.ensure(at + LOOKAHEAD)
-            view = np.frombuffer(bytes(self.data.data[at : at + LOOKAHEAD]), np.uint8)
-            self.known[at] = int(record_flags(view, 1, self.lengths)[0])
+            self.known[at] = self._one(at)
         return self.known[at]
 
+    def _one(self, at: int) -> int:
+        have = self.data.ensure
+        if not have(at + FIXED_BYTES):
+            return BIT["tooFewFixedBlockBytes"]
+        size, ref, pos, word3, word4, seq, next_ref, next_pos = _fixed(self.data.data, at)
+        out = self._place(ref, pos, "Read") | self._place(next_ref, next_pos, "NextRead")
+        name, ops = word3 & 0xFF, word4 & 0xFFFF
+        half = _wrap(seq + 1)
+        half = half // 2 if half >= 0 else -(-half // 2)
+        if size < _wrap(32 + name + 4 * ops + half + seq):
+            out |= BIT["tooFewRemainingBytesImplied"]
+        at += FIXED_BYTES
+        if name < 2:
+            out |= BIT["emptyReadName" if name else "noReadName"]
+        elif not have(at + name):
+            return out | BIT["tooFewBytesForReadName"]
+        else:
+            text = self.data.data[at : at + name]
+            at += name
+            if text[-1]:
+                out |= BIT["nonNullTerminatedReadName"]
+            elif text[:-1].translate(None, _allowed_bytes):
+                out |= BIT["nonASCIIReadName"]
+        for _ in range(ops):
+            if not have(at + 4):
+                return out | BIT["tooFewBytesForCigarOps"]
+            if self.data.data[at] & 0xF > 8:
+                return out | BIT["invalidCigarOp"]
+            at += 4
+        if not word4 >> 16 & UNMAPPED:
+            out |= BIT["emptyMappedSeq"] * (seq == 0) | BIT["emptyMappedCigar"] * (ops == 0)
+        return out
+
+    def _place(self, idx: int, pos: int, prefix: str) -> int:
+        count = len(self.lengths)
+        out = BIT[f"negative{prefix}Idx"] if idx < -1 else BIT[f"tooLarge{prefix}Idx"] if idx >= count else 0
+        if pos < -1:
+            return out | BIT[f"negative{prefix}Pos"]
+        return out | BIT[f"tooLarge{prefix}Pos"] if 0 <= idx < count and pos > self.lengths[idx] else out
+
+    def _flags(self, start: int, stop: int) -> np.ndarray:
+        """The flags of the record at every offset of [start, stop).  The view ends a little beyond; the few positions
+        whose record goes on from there are looked at one by one."""
+        self.data.ensure(stop + NEAR)
+        view = np.frombuffer(bytes(self.data.data[start : stop + NEAR]), np.uint8)
+        flags = record_flags(view, min(stop, len(self.data.data)) - start, self.lengths)
+        if self.data.ensure(stop + NEAR + 1):
+            for i in np.flatnonzero(flags & CUT).tolist():
+                flags[i] = self.one(start + i)
+        return flags
+
     def _next(self, at: int) -> int:
         n = int.from_bytes(self.data.data[at : at + 4], "little", signed=True)
         return at + 4 + max(n, 32)
@@ -163,9 +223,9 @@ class Checker:
 
     def calls(self, start: int, stop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``call`` at every offset of [start, stop): records are followed only where the first one passes."""
-        self.data.ensure(stop + LOOKAHEAD)
-        view = np.frombuffer(bytes(self.data.data[start : stop + LOOKAHEAD]), np.uint8)
-        flags = record_flags(view, stop - start, self.lengths) & ~self.first_ignores
+        flags = self._flags(start, stop)
+        self.known.update((start + i, 0) for i in np.flatnonzero(flags == 0).tolist())
+        flags &= ~self.first_ignores
         ok = flags == 0
         before = np.zeros(stop - start, np.int32)
         for i in np.flatnonzero(ok).tolist():
@@ -174,14 +234,11 @@ class Checker:
 
     def next_start(self, at: int) -> int | None:
         """The first offset from ``at`` on, at most max_read_size bytes away, where a record starts."""
-        stop, step = at + self.max_read_size, 1 << 16
-        while at < stop and self.data.ensure(at + 1):
-            upto = min(at + step, stop, len(self.data.data)) if self.data.ensure(at + step) or self.data.ended else at + step
-            view_end = upto + LOOKAHEAD
-            self.data.ensure(view_end)
-            view = np.frombuffer(bytes(self.data.data[at:view_end]), np.uint8)
-            passing = np.flatnonzero(record_flags(view, upto - at, self.lengths) & ~self.first_ignores == 0)
-            for i in passing.tolist():
+        end, step = at + self.max_read_size, 1 << 14
+        while at < end and self.data.ensure(at + 1):
+            self.data.ensure(at + step)
+            upto = min(at + step, end, len(self.data.data))
+            for i in np.flatnonzero(self._flags(at, upto) & ~self.first_ignores == 0).tolist():
                 if self.call(at + i)[0]:
                     return at + i
             at = upto

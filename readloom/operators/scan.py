@@ -1,7 +1,8 @@
 """Scans over an order: prefix sums, neighbours, numbering, and balanced groups.
 
 A window without a key would order a whole table in one task; where rows can be many, ``prefix_sum`` and ``number`` work
-range by range: ranges of the order are summed first, and only the sums of the ranges pass through one task.
+range by range: ranges of the order are summed first, and only the sums of the ranges pass through one task.  The
+ranges are written to the shared folder in between: their boundaries are sampled, and must be the same for both steps.
 """
 
 from __future__ import annotations
@@ -10,18 +11,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from readloom.sources.shared import written
+
 BEFORE = (Window.unboundedPreceding, -1)
 
 
 def _ranged(df: DataFrame, order: list[str]) -> DataFrame:
-    return df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
+    return written(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
 
 
 def prefix_sum(df: DataFrame, value: str, order: list[str], out: str = "before") -> DataFrame:
-    """``df`` with ``out``, the sum of ``value`` over all rows before it in ``order`` (which must be total).
-
-    The ranges are made again for both uses; ``df`` must give the same rows each time, as a table does.
-    """
+    """``df`` with ``out``, the sum of ``value`` over all rows before it in ``order`` (which must be total)."""
     ranged = _ranged(df, order)
     sums = ranged.groupBy("__range").agg(F.sum(value).alias("__sum"))
     base = sums.select("__range", F.coalesce(F.sum("__sum").over(Window.orderBy("__range").rowsBetween(*BEFORE)), F.lit(0)).alias("__base"))

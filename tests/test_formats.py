@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from readloom.functions import ranges
-from readloom.operators.checker import BIT, FLAGS, LOOKAHEAD, Checker, NaiveChecker, record_flags, register_checker
+from readloom.operators.checker import BIT, FLAGS, Checker, NaiveChecker, record_flags, register_checker
 from readloom.plans import reports
 from readloom.sources import bai, bam_codec, bgzf, load, save
 from readloom.sources.files import RandomAccess
@@ -114,6 +114,18 @@ def plain_flags(data, at, lengths):
     return out
 
 
+class Whole:
+    """A stream that is all there."""
+
+    ended = True
+
+    def __init__(self, data):
+        self.data = bytearray(data)
+
+    def ensure(self, n):
+        return len(self.data) >= n
+
+
 def test_flags_at_every_position_are_those_of_the_rules():
     r = random.Random(2)
     lengths = [n for _, n in CONTIGS]
@@ -122,6 +134,9 @@ def test_flags_at_every_position_are_those_of_the_rules():
     for data in (good, noise, good[:1000] + noise[:500] + good[1000:]):
         got = record_flags(np.frombuffer(data, np.uint8), len(data), np.array(lengths))
         assert got.tolist() == [plain_flags(data, i, lengths) for i in range(len(data))]
+        one = Checker(Whole(data), lengths)
+        assert [one.one(i) for i in range(len(data))] == got.tolist()
+        assert Checker(Whole(data), lengths)._flags(10, 700).tolist() == got[10:700].tolist()
 
 
 def test_checkers_find_all_records_and_only_those(bam):
@@ -139,7 +154,7 @@ def test_checkers_find_all_records_and_only_those(bam):
         assert [ok[i] for i in range(200)] == [check.call(i)[0] for i in range(200)]
         assert all(check.next_start(i) == np.flatnonzero(ok)[np.flatnonzero(ok) >= i][0] for i in range(0, 2000, 37))
         assert check.next_start(int(np.flatnonzero(ok)[-1]) + 1) is None
-        assert LOOKAHEAD > 262_000
+        assert [check.one(i) for i in range(3000)] == record_flags(np.frombuffer(bytes(data.data), np.uint8), 3000, np.array(header.lengths)).tolist()
 
 
 def test_planted_starts_fool_the_naive_rules(tmp_path, spark):
