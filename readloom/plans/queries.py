@@ -222,10 +222,10 @@ def asof_next_purchase(spark, sf_dir):
     return joins.asof_forward(views, buys, "ts", ["user_id"], ["purchase_id"]).select("event_id", "user_id", "purchase_id")
 
 
-@query("SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'right' ELSE 'left' END AS side FROM (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderkey % 3 <> 0) a FULL OUTER JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderkey % 3 <> 1) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL")
+@query("SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'right' ELSE 'left' END AS side FROM (SELECT DISTINCT l_suppkey * 7 AS k FROM lineitem) a FULL OUTER JOIN (SELECT c_custkey AS k FROM customer) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL")
 def merge_diff(spark, sf_dir):
-    orders = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey")
-    return joins.merge_diff(orders.filter("o_orderkey % 3 <> 0").select("k").distinct(), orders.filter("o_orderkey % 3 <> 1").select("k").distinct(), ["k"])
+    left = _t(spark, sf_dir, "lineitem").select((F.col("l_suppkey") * 7).alias("k")).distinct()
+    return joins.merge_diff(left, _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), ["k"])
 
 
 _LINES = "SELECT l_suppkey AS k, l_orderkey, l_linenumber, l_partkey AS lo, l_partkey + CAST(l_quantity AS BIGINT) AS hi FROM lineitem"
