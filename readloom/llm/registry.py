@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readloom.llm import bpe, decontaminate, fingerprint, html_text, langid, near_dedup, phrases, pii, sharding, token_store
+from readloom.llm import bpe, decontaminate, fingerprint, html_text, langid, near_dedup, oracles, phrases, pii, sharding, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_phrase_dedup": oracles.PHRASES, "op8_decontaminate": oracles.CONTAMINATION, "op10_near_dedup": oracles.NEAR}

@@ -29,7 +29,7 @@ def test_stages_against_brute_force(spark, sf):
     want = [r for r in now if r[0] not in bad]
     now = step("decontamination", now)
     assert now == want and bad
-    want = [(i, t := pii.redact(t, pii.find(t)), *rest[:-1], len(t)) for i, t, *rest in now]
+    want = [(i, u := pii.redact(t, pii.find(t)), *rest[:-1], len(u)) for i, t, *rest in now]
     now = step("personal_data", now)
     assert now == want and not [r for r in now if pii.find(r[1])]
     out = steps["byte_bpe"](spark, spark.createDataFrame(now, docs.schema), sf).collect()
