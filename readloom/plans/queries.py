@@ -122,6 +122,27 @@ def compute_splits(spark, sf_dir):
     return reports.compute_splits(spark, events_bam(spark, sf_dir), "50k").select("split", "start", "end", "length", "reads")
 
 
+@query("SELECT count(*) AS reads, CAST(1 AS BIGINT) AS some_empty FROM events")
+def split_sizes(spark, sf_dir):
+    """Splits smaller than blocks: some hold no block's start, none of the records is lost."""
+    sizes = reports.split_sizes(spark, events_bam(spark, sf_dir), "1k")
+    return sizes.agg(F.sum("reads").alias("reads"), F.max((F.col("reads") == 0).cast("bigint")).alias("some_empty"))
+
+
+@query("SELECT count(*) AS reads FROM events")
+def asserted_calls(spark, sf_dir):
+    """Every strict call against the record table; a difference would raise."""
+    path = events_bam(spark, sf_dir)
+    truth = record_positions(spark, index_records(spark, path, fresh_path(spark, "records")))
+    rows = reports.against(reports.calls(spark, path), truth)
+    return reports.asserted(rows, "expected", "strict").agg(F.count_if("strict").alias("reads"))
+
+
+@query()
+def first_offset_histogram(spark, sf_dir):
+    return reports.check_blocks(spark, events_bam(spark, sf_dir))["histogram"]
+
+
 @query()
 def compare_splits(spark, sf_dir):
     return reports.compare_splits(spark, [events_bam(spark, sf_dir)], "50k")["files"].select("strict_splits", "other_splits", "only_strict", "only_other")

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from readloom.functions import flags as fl
 from readloom.functions import pos as vp
-from readloom.functions.ranges import format_bytes
+from readloom.functions.ranges import format_bytes, parse_bytes
 from readloom.functions.stats import describe
 from readloom.operators.checker import BIT, MAX_READ_SIZE, READS_TO_CHECK, checker
 from readloom.operators.joins import asof_forward, merge_diff
@@ -157,14 +157,15 @@ def first_records(spark: SparkSession, path: str, checkers: tuple[str, ...] = ("
 def check_blocks(spark: SparkSession, path: str, other: str = "naive", **options) -> dict[str, DataFrame]:
     """``mismatches``: blocks whose first record the checkers see differently; ``summary``: how many, and the compressed
     bytes before them, from which a split would go wrong (one for a first block); ``offsets``: statistics of the first
-    records' offsets, and how many blocks have none."""
+    records' offsets; ``histogram``: blocks for each of these offsets, null for blocks in which no record begins."""
     rows = first_records(spark, path, ("strict", other), **options)
     rows = rows.withColumn("risk", F.coalesce(F.lag("compressed_size").over(Window.orderBy("start")), F.lit(1)))  # a row for each block
     wrong = rows.filter(~F.col("strict").eqNullSafe(F.col(other)))
     total = size_of(path)
     summary = rows.agg(F.count("*").alias("blocks"), F.count_if(~F.col("strict").eqNullSafe(F.col(other))).alias("mismatched"), F.coalesce(F.sum(F.when(~F.col("strict").eqNullSafe(F.col(other)), F.col("risk"))), F.lit(0)).alias("bytes_at_risk"), F.count_if(F.col("strict").isNull() | (F.col("strict.block_pos") != F.col("start"))).alias("without_record"), F.coalesce(F.bool_and(F.col("strict.offset") == 0), F.lit(True)).alias("aligned")).withColumn("file_size", F.lit(total)).withColumn("share", F.col("bytes_at_risk") / F.lit(total))
-    own = rows.filter(F.col("strict.block_pos") == F.col("start")).select(F.col("strict.offset").alias("offset"))
-    return {"mismatches": wrong, "summary": summary, "offsets": describe(own, "offset")}
+    mine = rows.select(F.when(F.col("strict.block_pos") == F.col("start"), F.col("strict.offset")).alias("offset"))
+    histogram = mine.groupBy("offset").agg(F.count("*").alias("blocks"))
+    return {"mismatches": wrong, "summary": summary, "offsets": describe(mine, "offset"), "histogram": histogram}
 
 
 def compute_splits(spark: SparkSession, path: str, split_size: int | str, checker_name: str = "strict", **options) -> DataFrame:
@@ -176,6 +177,19 @@ def compute_splits(spark: SparkSession, path: str, split_size: int | str, checke
     return splits.join(counts, "split").withColumn("length", length)
 
 
+def split_sizes(spark: SparkSession, path: str, split_size: int | str, **options) -> DataFrame:
+    """(split, reads) of every split of a file, also of those in which no record's block begins."""
+    counts = load_bam(spark, path, split_size, decode="none", **options).groupBy("split").agg(F.count("*").alias("reads"))
+    n = -(-size_of(path) // parse_bytes(split_size))
+    every = spark.range(n).select(F.col("id").cast("int").alias("split"))
+    return every.join(counts, "split", "left").select("split", F.coalesce("reads", F.lit(0)).alias("reads"))
+
+
+def asserted(rows: DataFrame, expected: str, actual: str) -> DataFrame:
+    """``rows``, of which reading one where the two calls differ raises."""
+    return rows.filter(F.assert_true(F.col(expected) == F.col(actual), F.concat(F.lit("calls differ at "), vp.shown(F.col("block_pos"), F.col("offset")))).isNull())
+
+
 def compare_splits(spark: SparkSession, paths: list[str], split_size: int | str, other: str = "naive") -> dict[str, DataFrame]:
     """``files``: for each path both checkers' numbers of splits, how many only one has (by start), and both times;
     ``differences``: those splits; ``ratios``: statistics of the times' ratios."""
