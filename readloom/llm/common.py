@@ -24,6 +24,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(written_table: DataFrame, most: int) -> DataFrame:
+    """A written table, with the hint to broadcast it if it has at most ``most`` rows; otherwise joins shuffle it."""
+    return F.broadcast(written_table) if written_table.count() <= most else written_table
+
+
 def filesystem(uri: str):
     """(file system, path) of a URI, for binary files that Spark has no writer for."""
     from pyarrow import fs

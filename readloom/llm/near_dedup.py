@@ -26,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from readloom.llm.common import table, written
+from readloom.llm.common import broadcast_if_small, table, written
 from readloom.llm.components import components
 from readloom.llm.wordhash import U, Words, blocks, mix, shingle_set
 
 REGISTERS, ROWS, BANDS = 256, 6, 42
 MANTISSA = 10
 SLACK = 0.12
+BROADCAST_ROWS = 1_000_000  # rows of at most three 64-bit numbers that may be broadcast; beyond, joins shuffle
 BLOCK_ROWS = 512  # members of a band value that are compared at once
 
 
@@ -162,7 +163,7 @@ def similar(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
 
 
 def _packed(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, z): the texts of ``ids``, compressed."""
+    """(id, z): the texts of ``ids``, compressed before they are shuffled, if they are."""
     import zstandard
 
     def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,11 +171,11 @@ def _packed(texts: DataFrame, ids: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"id": batch.column(0), "z": pa.array([c.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()], pa.binary())})
 
-    wanted = texts.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(ids, "id", "left_semi")
-    return wanted.mapInArrow(press, "id long, z binary")
+    rows = texts.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(press, "id long, z binary").join(ids, "id", "left_semi")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, n_words: int, threshold: float) -> DataFrame:
+def _confirmed(pairs: DataFrame, packed: DataFrame, n_words: int, threshold: float) -> DataFrame:
     """The (a, b) of ``pairs`` whose full shingle sets reach the threshold.
 
     Texts travel compressed, each b once for each of its partners, next to a's text; an ``a`` with many partners is
@@ -187,8 +188,6 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, n_words: int, threshold: floa
     salted = pairs.join(hot, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.col("b").alias("id"), F.lit(1).alias("side"))
     roots = hot.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("id"), F.lit(0).alias("side"))
     need = salted.unionByName(roots)
-    ids = need.select("id").distinct()
-    packed = _packed(texts, ids)
     rows = need.join(packed, "id").repartition("a", "salt").sortWithinPartitions("a", "salt", "side", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,26 +309,31 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n_
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sk = written(sketches(docs, n_words), "sketches")
     real = sk.filter("n > 0 and doc_id is not null")
-    classes = real.groupBy("n", "s0", "s1").agg(F.min("doc_id").alias("id"))
-    member = written(real.select("doc_id", "n", "s0", "s1").join(classes, ["n", "s0", "s1"]).select("doc_id", "id"), "members")
-    reps = written(real.select(F.col("doc_id").alias("id"), "n", "registers", "s0", "s1").join(classes, ["id", "n", "s0", "s1"], "left_semi").dropDuplicates(["id", "n", "s0", "s1"]).select("id", "n", "registers"), "representatives")
+    # only sets that several rows have need looking up, from a table that a join can deal over many tasks
+    keys = ["n", "s0", "s1"]
+    shared = written(real.groupBy(*keys).agg(F.min("doc_id").alias("id"), F.count("*").alias("k")).filter("k > 1").drop("k"), "classes")
+    named = real.join(broadcast_if_small(shared, BROADCAST_ROWS), keys, "left").withColumn("id", F.coalesce("id", "doc_id"))
+    same = written(named.select("doc_id", "id"), "same")
+    reps = written(named.filter("doc_id = id").dropDuplicates(["id", *keys]).select("id", "n", "registers"), "representatives")
     texts = docs.filter("doc_id is not null")
 
     bands = _bands(reps)
     roots = bands.groupBy("band").agg(F.min(F.struct("id", "n")).alias("root"), F.count("*").alias("k")).filter("k > 1").select("band", "root.*").toDF("band", "a", "n_a")
-    starred = bands.join(roots, "band").filter((F.col("id") != F.col("a")) & _size_ok("n", "n_a", threshold)).select("a", F.col("id").alias("b")).distinct()
-    stars = written(_confirmed(written(_estimated(starred, reps, threshold), "candidates"), texts, n_words, threshold), "links")
+    roots = written(roots, "roots")
+    members = written(bands.join(broadcast_if_small(roots, BROADCAST_ROWS), "band").select("a", "n_a", "id", "n").distinct(), "members")
+    crowd = written(members.select("id").distinct(), "crowd")
+    packed = written(_packed(texts, broadcast_if_small(crowd, BROADCAST_ROWS)), "texts")
+    starred = members.filter((F.col("id") != F.col("a")) & _size_ok("n", "n_a", threshold)).select("a", F.col("id").alias("b"))
+    stars = written(_confirmed(written(_estimated(starred, reps, threshold), "candidates"), packed, n_words, threshold), "links")
 
     # what is left: members of one band value, whose root they are listed by, in different components
     label = components(stars)
-    listed = bands.join(roots.select("band", "a"), "band").select("a", "id", "n").distinct()
-    listed = written(listed.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "members")
+    listed = written(members.select("a", "id", "n").join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "listed")
     mixed = listed.groupBy("a").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("a")
     open_ = listed.join(mixed, "a").join(reps.select("id", "registers"), "id")
     suspects = written(_suspects(open_.select("a", "id", "n", "component", "registers"), threshold), "suspects")
-    packed = _packed(texts, suspects.select("id").distinct())
     more = written(_links_across(suspects.join(listed.select("a", "id", "component").distinct(), ["a", "id"]).join(packed, "id").select("a", "id", "component", "z"), n_words, threshold), "links")
-    links = stars.union(more).union(member.select(F.col("id").alias("a"), F.col("doc_id").alias("b")))
+    links = stars.union(more).union(same.select(F.col("id").alias("a"), F.col("doc_id").alias("b")))
     found = components(links)
     out = sk.select("doc_id", F.col("n").alias("n_shingles")).join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")))
