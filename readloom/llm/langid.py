@@ -85,15 +85,26 @@ class Mixture:
             out += self._predict(run)
         return out
 
+    def _likelihoods(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(log likelihood of each word in each language, first word of each text and the end)"""
+        if len(texts) == 1 and len(texts[0]) > BLOCK:  # a long text, block by block
+            parts = [self._likelihoods([texts[0][i : i + BLOCK]])[0] for i in range(0, len(texts[0]), BLOCK)]
+            return np.concatenate(parts), np.array([0, sum(map(len, parts))])
+        cell, word, first = features(texts)
+        if not len(word):
+            return np.zeros((0, len(self.langs))), first
+        return np.add.reduceat(self.logp[cell], word, axis=0).astype(np.float64), first
+
     def _predict(self, texts: list[str]) -> list[tuple[str, float, dict[str, float]]]:
         n, k = len(texts), len(self.langs)
         out: list = [("und", 0.0, {})] * n
-        cell, word, first = features(texts)
+        if not k:
+            return out
+        ll, first = self._likelihoods(texts)
         counts = np.diff(first)
         has = np.flatnonzero(counts)
-        if not k or not len(has):
+        if not len(has):
             return out
-        ll = np.add.reduceat(self.logp[cell], word, axis=0).astype(np.float64)  # words x languages
         sizes, starts = counts[has], first[:-1][has]
         top = ll.max(1, keepdims=True)
         p = np.exp(ll - top)
@@ -162,7 +173,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_langu
         for batch in batches:
             texts, names = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for name in set(names):
-                for run in blocks([t for t, x in zip(texts, names) if x == name]):
+                for run in blocks([t[i : i + BLOCK] for t, x in zip(texts, names) if x == name for i in range(0, len(t), BLOCK)]):
                     table[number[name]] += np.bincount(features(run)[0], minlength=CELLS)
         at = np.flatnonzero(table)
         if len(at):
@@ -175,8 +186,8 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_langu
 
 
 def held_out(key: str = "doc_id"):
-    """True for the documents that nothing is learned from."""
-    return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(5)) == 0
+    """True for the documents that nothing is learned from; those without an id are among them."""
+    return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(True))
 
 
 def identify(docs: DataFrame, model: Mixture, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -16,6 +16,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _SAME = np.arange(256, dtype=np.uint8)
 _LOWER = _SAME.copy()
 _LOWER[65:91] += 32
+PIECE = 4 << 20
 _BASE = 0x9E3779B97F4A7C15
 _powers = [np.ones(1, U)]
 
@@ -49,6 +50,22 @@ def blocks(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, list[st
         yield start, texts[start:]
 
 
+def _words(raw: np.ndarray, lo: int, hi: int, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash) of the words in raw[lo:hi], which no word crosses the ends of."""
+    at = np.flatnonzero(~_SPACE[raw[lo:hi]])
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U)
+    at += lo
+    opens = np.ones(len(at), bool)
+    opens[1:] = np.diff(at) > 1
+    where = np.flatnonzero(opens)
+    length = np.diff(np.append(where, len(at)))
+    k = np.repeat(where + length, length) - np.arange(len(at))
+    value = (_LOWER if lower else _SAME)[raw[at]].astype(U) + U(1)
+    start = at[where]
+    return start, start + length, mix(np.add.reduceat(value * powers(int(length.max()))[k], where) ^ (length.astype(U) << U(48)))
+
+
 class Words:
     """The words of some texts: ``hash`` of each, where it lies in ``buffer`` (``start``, ``end``), and ``first``:
     the number of each text's first word, and at last the number of words."""
@@ -57,19 +74,15 @@ class Words:
         parts = [t.encode("utf-8", "surrogatepass") for t in texts]
         self.buffer = b"\n".join(parts)
         raw = np.frombuffer(self.buffer, np.uint8)
-        at = np.flatnonzero(~_SPACE[raw])
-        opens = np.ones(len(at), bool)
-        opens[1:] = np.diff(at) > 1
-        where = np.flatnonzero(opens)
-        self.start = at[where]
-        length = np.diff(np.append(where, len(at)))
-        self.end = self.start + length
-        if len(at):
-            k = np.repeat(where + length, length) - np.arange(len(at))
-            value = (_LOWER if lower else _SAME)[raw[at]].astype(U) + U(1)
-            self.hash = mix(np.add.reduceat(value * powers(int(length.max()))[k], where) ^ (length.astype(U) << U(48)))
-        else:
-            self.hash = np.zeros(0, U)
+        found, at = [], 0
+        while at < len(raw):  # a piece at a time: the arrays over bytes stay small however long a text is
+            stop = at + PIECE
+            while stop < len(raw) and not _SPACE[raw[stop]]:
+                more = np.flatnonzero(_SPACE[raw[stop : stop + PIECE]])
+                stop = stop + int(more[0]) if len(more) else stop + PIECE
+            found.append(_words(raw, at, min(stop, len(raw)), lower))
+            at = stop
+        self.start, self.end, self.hash = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U))
         begin = np.cumsum([0] + [len(p) + 1 for p in parts])
         self.first = np.searchsorted(self.start, begin)
 
