@@ -8,15 +8,15 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from readloom.functions import flags as fl
 from readloom.functions import pos as vp
 from readloom.functions.ranges import format_bytes, parse_bytes
 from readloom.functions.stats import describe
 from readloom.operators.checker import BIT, MAX_READ_SIZE, READS_TO_CHECK, checker
-from readloom.operators.joins import asof_forward, merge_diff
+from readloom.operators.joins import merge_diff
 from readloom.operators.scan import cumulative
+from readloom.sources.bam_codec import decode, record_offsets
 from readloom.sources.bgzf import Inflated
 from readloom.sources.files import RandomAccess, size_of
 from readloom.sources.load import blocks, load_bam, read_header, splits_of
@@ -94,14 +94,39 @@ def check_bam(spark: SparkSession, path: str, truth: DataFrame | None = None, ot
 
 
 def annotated(spark: SparkSession, path: str, sites: DataFrame) -> DataFrame:
-    """``sites`` with the next record: its position, how far it is, and how it is displayed."""
-    reads = load_bam(spark, path, decode="core").withColumn("pos", F.struct("block_pos", "offset"))
-    shown = reads.withColumn("read", record_shown())
-    placed = sites.withColumn("pos", F.struct("block_pos", "offset")).withColumn("__file", F.lit(0))
-    found = asof_forward(placed, shown.withColumn("__file", F.lit(0)), "pos", ["__file"], ["read"])
-    delta = vp.distance(F.col("next_pos.block_pos"), F.col("next_pos.offset"), F.col("block_pos"), F.col("offset"))
-    same = F.col("next_pos.block_pos") == F.col("block_pos")
-    return found.withColumn("before", F.when(same, F.col("next_pos.offset") - F.col("offset")).otherwise(delta)).withColumn("failing", fl.names(F.col("flags"))).drop("__file")
+    """``sites`` with the next record: its position, how far it is (in bytes if it begins in the same block, else an
+    estimate in compressed ones), and how it is displayed; nulls where none follows.
+
+    Each site is looked up by itself in the file, from its own block on: nothing is shuffled or ordered.
+    """
+    header = read_header(path)
+    extra = ["next_block", "next_offset", "contig", "start", "flag", "ref_idx", "seq_len", "name"]
+    columns = sites.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+        with RandomAccess(path) as file:
+            for batch in batches:
+                out: list[list] = [[] for _ in extra]
+                for block, offset in zip(batch.column("block_pos").to_pylist(), batch.column("offset").to_pylist()):
+                    if (block, offset) < header.end:
+                        block, offset = header.end
+                    data = Inflated(file, block)
+                    at = checker("strict")(data, header.lengths).next_start(offset)
+                    found: list = [None] * len(extra)
+                    if at is not None and (whole := next(record_offsets(data, at, 1 << 62, strict=False), None)) is not None:
+                        d = decode(data, [whole], header.contigs, "core")
+                        found = [*data.position(at), *(d[c][0] for c in extra[2:])]
+                    for column, v in zip(out, found):
+                        column.append(v.item() if hasattr(v, "item") else v)
+                yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(o, k) for o, k in zip(out, kinds)]], names=[*columns, *extra])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sites.schema) + ", next_block long, next_offset int, contig string, start long, flag int, ref_idx int, seq_len int, name string"
+    found = sites.mapInArrow(run, schema)
+    same = F.col("next_block") == F.col("block_pos")
+    delta = vp.distance(F.col("next_block"), F.col("next_offset"), F.col("block_pos"), F.col("offset"))
+    next_pos = F.when(F.col("next_block").isNotNull(), F.struct(F.col("next_block").alias("block_pos"), F.col("next_offset").alias("offset")))
+    return found.select(*columns, next_pos.alias("next_pos"), F.when(same, F.col("next_offset") - F.col("offset")).otherwise(delta).alias("before"), record_shown().alias("read"), fl.names(F.col("flags")).alias("failing"))
 
 
 def record_shown() -> Column:
@@ -159,7 +184,9 @@ def check_blocks(spark: SparkSession, path: str, other: str = "naive", **options
     bytes before them, from which a split would go wrong (one for a first block); ``offsets``: statistics of the first
     records' offsets; ``histogram``: blocks for each of these offsets, null for blocks in which no record begins."""
     rows = first_records(spark, path, ("strict", other), **options)
-    rows = rows.withColumn("risk", F.coalesce(F.lag("compressed_size").over(Window.orderBy("start")), F.lit(1)))  # a row for each block
+    # the block before is the one that ends where this one begins
+    before = blocks(spark, path, **{k: v for k, v in options.items() if k in ("split_size", "ranges")}).select((F.col("start") + F.col("compressed_size")).alias("start"), F.col("compressed_size").alias("risk"))
+    rows = rows.join(before, "start", "left").withColumn("risk", F.coalesce("risk", F.lit(1)))
     wrong = rows.filter(~F.col("strict").eqNullSafe(F.col(other)))
     total = size_of(path)
     summary = rows.agg(F.count("*").alias("blocks"), F.count_if(~F.col("strict").eqNullSafe(F.col(other))).alias("mismatched"), F.coalesce(F.sum(F.when(~F.col("strict").eqNullSafe(F.col(other)), F.col("risk"))), F.lit(0)).alias("bytes_at_risk"), F.count_if(F.col("strict").isNull() | (F.col("strict.block_pos") != F.col("start"))).alias("without_record"), F.coalesce(F.bool_and(F.col("strict.offset") == 0), F.lit(True)).alias("aligned")).withColumn("file_size", F.lit(total)).withColumn("share", F.col("bytes_at_risk") / F.lit(total))

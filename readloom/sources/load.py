@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from readloom.functions.pos import plain_distance
 from readloom.functions.ranges import overlaps, parse_bytes, parse_intervals, within
+from readloom.operators.scan import size_buckets
 from readloom.sources import bai, bam_codec, sam
 from readloom.sources.bam import SPLIT_SIZE, register
 from readloom.sources.files import RandomAccess, extension, size_of
@@ -123,9 +124,8 @@ def blocks_from_index(spark: SparkSession, path: str, split_size: int | str = SP
     """The same from a ``.blocks`` table; ``split`` is the compressed bytes before a block, kept ones only, over the
     split size.  A line that can't be read raises."""
     rows = spark.read.schema("start long, compressed_size int, uncompressed_size int").option("mode", "FAILFAST").csv(path)
-    before = F.coalesce(F.sum("compressed_size").over(Window.orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each block
-    kept = rows.filter(within(F.col("start"), ranges)).withColumn("before", before)
-    return kept.select(F.floor(F.col("before") / parse_bytes(split_size)).cast("int").alias("split"), "start", "compressed_size", "uncompressed_size")
+    kept = size_buckets(rows.filter(within(F.col("start"), ranges)), "compressed_size", ["start"], parse_bytes(split_size), "split")
+    return kept.select(F.col("split").cast("int").alias("split"), "start", "compressed_size", "uncompressed_size")
 
 
 def record_positions(spark: SparkSession, path: str, ranges: list[tuple[int, int]] | None = None) -> DataFrame:

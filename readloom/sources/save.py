@@ -6,9 +6,9 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from readloom.functions.ranges import within
+from readloom.operators.scan import number
 from readloom.sources.bam import register
 from readloom.sources.files import filesystem
 from readloom.sources.load import blocks, load_bam, read_header
@@ -56,6 +56,8 @@ def rewrite(spark: SparkSession, path: str, out: str, ranges: list[tuple[int, in
     run on from block to block."""
     reads = load_bam(spark, path)
     if ranges is not None:
-        reads = reads.withColumn("number", F.row_number().over(Window.orderBy("block_pos", "offset")) - 1).filter(within(F.col("number"), ranges))
+        # only positions are numbered; the records follow by a join
+        wanted = number(load_bam(spark, path, decode="none").select("block_pos", "offset"), ["block_pos", "offset"]).filter(within(F.col("number"), ranges))
+        reads = reads.join(wanted, ["block_pos", "offset"], "left_semi")
     order = ["block_pos", "offset"]
     write_bam(reads.repartitionByRange(*order).sortWithinPartitions(*order), out, list(read_header(path).contigs), sort=False, block_aligned=block_aligned, index=index)
