@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import table
+from readloom.llm.common import arrow_map, table
 from readloom.llm.pretokens import PieceEncoder
 
 
@@ -206,7 +206,7 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, key: str = "
                 yield pa.RecordBatch.from_pydict(out)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * keep_ids
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).transform(arrow_map, run, schema)
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

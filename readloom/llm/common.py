@@ -24,6 +24,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH_ROWS = 1000  # rows of an Arrow batch at most: texts are long, and a batch is held several times over
+
+
+def arrow_map(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with batches of at most BATCH_ROWS rows, set for the session where it allows more."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def broadcast_if_small(written_table: DataFrame, most: int) -> DataFrame:
     """A written table, with the hint to broadcast it if it has at most ``most`` rows; otherwise joins shuffle it."""
     return F.broadcast(written_table) if written_table.count() <= most else written_table

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import table
+from readloom.llm.common import arrow_map, table
 
 MIN_RUN = 8  # tokens; a power of two
 GROUP_BYTES = 8 << 20  # HTML of a host that is compared at once; a larger host is dealt over several groups
@@ -202,12 +202,12 @@ def main_text(docs: DataFrame, key: str = "page_id", url: str = "url", page: str
                 texts.append(" ".join([t for t, c in zip(open_, cover.tolist()) if not c]))
         return pa.RecordBatch.from_pydict({"page_id": pa.array([g[2] for g in group], pa.int64()), "url": pa.array([g[3] for g in group], pa.string()), "text": pa.array(texts, pa.string()), "n_chars": pa.array(list(map(len, texts)), pa.int64()), "n_outside": pa.array([len(c) for c in covers], pa.int64()), "n_repeated": pa.array([int(c.sum()) for c in covers], pa.int64())})
 
-    parsed = rows.mapInArrow(parse, "page_id long, url string, host string, main binary, open string, outside string")
+    parsed = rows.transform(arrow_map, parse, "page_id long, url string, host string, main binary, open string, outside string")
     dealt = parsed.join(F.broadcast(large) if few else large, "host", "left")
     salt = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("groups", F.lit(1))).cast("int").alias("salt")
     dealt = dealt.select("host", salt, "page_id", "url", "main", "open", "outside")
     dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "host", "salt").sortWithinPartitions("host", "salt", "page_id")
-    return dealt.mapInArrow(decide, "page_id long, url string, text string, n_chars long, n_outside long, n_repeated long")
+    return dealt.transform(arrow_map, decide, "page_id long, url string, text string, n_chars long, n_outside long, n_repeated long")
 
 
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

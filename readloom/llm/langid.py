@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import table
+from readloom.llm.common import arrow_map, table
 
 CELLS = 1 << 17  # trigrams are hashed into so many cells
 TRAIN_DOCS = 4000  # documents of a language to learn from, about; all if there are fewer
@@ -180,7 +180,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_langu
             yield pa.RecordBatch.from_pydict({"at": at, "n": table.ravel()[at]})
 
     counts = np.zeros(len(langs) * CELLS)
-    for r in picked.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow().to_batches():
+    for r in picked.transform(arrow_map, count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow().to_batches():
         counts[r.column(0).to_numpy()] = r.column(1).to_numpy()
     return Mixture(langs, counts.reshape(len(langs), CELLS))
 
@@ -203,7 +203,7 @@ def identify(docs: DataFrame, model: Mixture, key: str = "doc_id", text: str = "
             found = shared.value.predict([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "lang_pred": pa.array([f[0] for f in found], pa.string()), "score": pa.array([f[1] for f in found], pa.float64()), "mixture": pa.array([list(f[2].items()) for f in found], pa.map_(pa.string(), pa.float64()))})
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, mixture map<string,double>")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).transform(arrow_map, run, "doc_id long, lang_pred string, score double, mixture map<string,double>")
 
 
 def accepted(docs: DataFrame, model: Mixture, text: str = "text") -> DataFrame:
@@ -216,7 +216,7 @@ def accepted(docs: DataFrame, model: Mixture, text: str = "text") -> DataFrame:
             found = shared.value.predict([t or "" for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array([f[0] != "und" for f in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(arrow_map, run, docs.schema)
 
 
 def learned(docs: DataFrame) -> Mixture:

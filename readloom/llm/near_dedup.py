@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from readloom.llm.common import broadcast_if_small, table, written
+from readloom.llm.common import arrow_map, broadcast_if_small, table, written
 from readloom.llm.components import components
 from readloom.llm.wordhash import U, Words, blocks, mix, shingle_set
 
@@ -119,7 +119,7 @@ def sketches(docs: DataFrame, n_words: int) -> DataFrame:
                 regs = sketch(doc, h, len(run)).astype("<u2")
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(start, len(run)), "n": n, "s0": sums[0].view(np.int64), "s1": sums[1].view(np.int64), "registers": pa.array([r.tobytes() for r in regs], pa.binary())})
 
-    return docs.mapInArrow(run, "doc_id long, n long, s0 long, s1 long, registers binary")
+    return docs.transform(arrow_map, run, "doc_id long, n long, s0 long, s1 long, registers binary")
 
 
 def _sum(out: np.ndarray, doc: np.ndarray, x: np.ndarray) -> None:
@@ -153,7 +153,7 @@ def _estimated(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame
                 keep = estimate(r[0], r[1], batch.column(2).to_numpy(), batch.column(3).to_numpy()) >= threshold - SLACK
                 yield pa.RecordBatch.from_pydict({"a": batch.column(0), "b": batch.column(1)}).filter(pa.array(keep))
 
-    return joined.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "n_a", "n_b", "r_a", "r_b").transform(arrow_map, run, "a long, b long")
 
 
 def similar(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
@@ -172,7 +172,7 @@ def _packed(texts: DataFrame, ids: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"id": batch.column(0), "z": pa.array([c.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()], pa.binary())})
 
     rows = texts.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(press, "id long, z binary").join(ids, "id", "left_semi")
+    return rows.transform(arrow_map, press, "id long, z binary").join(ids, "id", "left_semi")
 
 
 def _confirmed(pairs: DataFrame, packed: DataFrame, n_words: int, threshold: float) -> DataFrame:
@@ -207,7 +207,7 @@ def _confirmed(pairs: DataFrame, packed: DataFrame, n_words: int, threshold: flo
                 last = side
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.select("a", "id", "side", "z").mapInArrow(run, "a long, b long")
+    return rows.select("a", "id", "side", "z").transform(arrow_map, run, "a long, b long")
 
 
 def _block_groups(members: DataFrame, columns: list[str]) -> DataFrame:
@@ -255,7 +255,7 @@ def _suspects(members: DataFrame, threshold: float) -> DataFrame:
                     found[i] = found[j] = True
             yield pa.RecordBatch.from_pydict({"a": np.full(int(found.sum()), a), "id": ids[found]})
 
-    return _block_groups(members, ["id", "n", "component", "registers"]).mapInArrow(run, "a long, id long").distinct()
+    return _block_groups(members, ["id", "n", "component", "registers"]).transform(arrow_map, run, "a long, id long").distinct()
 
 
 def _links_across(members: DataFrame, n_words: int, threshold: float) -> DataFrame:
@@ -295,7 +295,7 @@ def _links_across(members: DataFrame, n_words: int, threshold: float) -> DataFra
                         out.append((ids[i], ids[j]))
             yield pa.RecordBatch.from_pydict({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
 
-    return _block_groups(members, ["id", "component", "z"]).mapInArrow(run, "a long, b long")
+    return _block_groups(members, ["id", "component", "z"]).transform(arrow_map, run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n_words: int = 5, threshold: float = 0.8) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import table, written
+from readloom.llm.common import arrow_map, table, written
 from readloom.llm.wordhash import Words, blocks, mix
 
 WINDOW, ANCHOR = 13, 7
@@ -71,7 +71,7 @@ def _anchors(docs: DataFrame, n: int, k: int) -> DataFrame:
                 new[1:] = (np.diff(w.spot) != 0) | (np.diff(w.doc) != 0)
                 yield pa.RecordBatch.from_pydict({"h": w.anchor[new], "doc": ids[start + w.doc[new]]})
 
-    return docs.mapInArrow(run, "h long, doc long")
+    return docs.transform(arrow_map, run, "h long, doc long")
 
 
 def _candidates(docs: DataFrame, n: int, k: int) -> DataFrame:
@@ -92,7 +92,7 @@ def _candidates(docs: DataFrame, n: int, k: int) -> DataFrame:
                         segments.append([b" ".join(buffer[begin[w.at[a + x]] : end[w.at[a + y - 1] + n - 1]].split()) for x, y in runs(mask)])
                 yield pa.RecordBatch.from_pydict({"doc": pa.array(doc, pa.int64()), "windows": pa.array(hashes, pa.list_(pa.int64())), "segments": pa.array(segments, pa.list_(pa.binary()))})
 
-    return docs.mapInArrow(run, "doc long, windows array<long>, segments array<binary>")
+    return docs.transform(arrow_map, run, "doc long, windows array<long>, segments array<binary>")
 
 
 def _passages(wanted: DataFrame, n: int) -> DataFrame:
@@ -118,7 +118,7 @@ def _passages(wanted: DataFrame, n: int) -> DataFrame:
                 out.append(b"\n".join(found))
             yield pa.RecordBatch.from_pydict({"shard": batch.column(0), "kind": pa.array([0] * len(out), pa.int32()), "id": batch.column(1), "payload": pa.array(out, pa.binary())})
 
-    return wanted.mapInArrow(run, "shard int, kind int, id long, payload binary")
+    return wanted.transform(arrow_map, run, "shard int, kind int, id long, payload binary")
 
 
 class PassageAutomaton:
@@ -194,7 +194,7 @@ def _pack(docs: DataFrame, columns: str, schema: str) -> DataFrame:
             z = pa.array([c.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], z], names=batch.schema.names)
 
-    return docs.selectExpr(*columns.split(", ")).mapInArrow(run, schema)
+    return docs.selectExpr(*columns.split(", ")).transform(arrow_map, run, schema)
 
 
 def _unpacked(column: pa.Array) -> list[str]:
@@ -236,7 +236,7 @@ def _located(rows: DataFrame, n: int, keep_text: bool) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_pydict({names[c]: pa.array([o[c] for o in out], kinds[c]) for c in range(4 + keep_text)})
 
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text)
+    return rows.transform(arrow_map, run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text)
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = WINDOW, k: int = ANCHOR, keep_text: bool = True) -> DataFrame:
@@ -253,6 +253,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     digest = written(known.select("doc_id", F.md5("text").alias("md5"), F.octet_length("text").alias("bytes")), "digests")
     once = digest.groupBy("doc_id").agg(F.count("*").alias("rows"), F.first("md5").alias("md5"), F.first("bytes").alias("bytes"))
     first = digest.groupBy("md5", "bytes").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
+    first = written(first, "texts")  # so that the join can deal a text of very many documents over tasks
     copies = written(once.filter("rows = 1").join(first, ["md5", "bytes"]).filter("first < doc_id").select(F.col("doc_id").alias("doc")), "copies")
     total = digest.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // SHARD_BYTES)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import table
+from readloom.llm.common import arrow_map, table
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "account", "secret", "login")
@@ -165,7 +165,7 @@ def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
             out |= {"base_sha256": pa.array([hashlib.sha256(digest(b).encode()).hexdigest() for b in base], pa.string()), "spans": pa.array([digest(s) for s in found], pa.string())}
             yield pa.RecordBatch.from_pydict(out)
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).transform(arrow_map, run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def redact_pii(docs: DataFrame, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
@@ -187,7 +187,7 @@ def redact_pii(docs: DataFrame, text: str = "text", n_chars: str = "n_chars") ->
                 columns[count] = pa.array([n if a is b else len(b) for n, a, b in zip(old, texts, clean)], columns[count].type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(arrow_map, run, docs.schema)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from readloom.llm.common import filesystem, fresh_dir, table
+from readloom.llm.common import arrow_map, filesystem, fresh_dir, table
 from readloom.llm.pretokens import PieceEncoder, is_steady
 
 MAGIC = b"RLTOK1\0\0"
@@ -238,7 +238,7 @@ def write_token_shards(docs: DataFrame, root: str, tokenizer_path: str, key: str
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [shard.uri], "n_docs": [n], "n_tokens": [tokens], "n_bytes": [size], "dict_sha256": [sha]})
 
     salt = F.xxhash64("text")  # splits a key that very many rows repeat
-    shards = docs.withColumn("salt", salt).repartitionByRange("key", "salt").sortWithinPartitions("key", "text").select("key", "text").mapInArrow(write, MANIFEST)
+    shards = docs.withColumn("salt", salt).repartitionByRange("key", "salt").sortWithinPartitions("key", "text").select("key", "text").transform(arrow_map, write, MANIFEST)
     shards.write.mode("overwrite").parquet(f"{root}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
 
@@ -260,7 +260,7 @@ def read_token_shards(manifest: DataFrame) -> DataFrame:
 
     spark = manifest.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return files.repartition(tasks).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(tasks).transform(arrow_map, read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
