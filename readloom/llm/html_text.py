@@ -38,12 +38,16 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Words in a class, id or role that mark chrome.
 _marks = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|popup|modal|overlay|nav\w*|menu|breadcrumbs?|sidebar|complementary|contentinfo|footer|masthead"
-    r"|comments?|comment-?list|disqus|replies|respond|share|sharing|social|newsletter|subscribe|signup|login|related|recommended|widget|toolbar|pagination|pager|skip-?link)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|ad-?(?:box|slot|unit|banner)\w*|advert\w*|adsense|adsbygoogle|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent\w*|gdpr|notices?|popup\w*|modal|overlay|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|complementary|contentinfo|footer\w*|masthead"
+    r"|comments?|comment-?\w+|disqus|replies|respond|share|sharing|social|newsletter|subscribe|signup|login|related|recommended|widget|toolbar|pagination|pager|skip-?link)(?:$|[\s_-])",
     re.I,
 )
 _named = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _tag = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[A-Za-z/][^>]*(?:>|\Z)""", re.S)
+#: Of these, what articles of its own can stand in without being the page's.
+_others = re.compile(r"comment|disqus|replies|respond|related|recommended|widget", re.I)
+#: Elements whose class says something of the page, not of themselves.
+PAGE = {"html", "body", "main"}
 _closing: dict[str, re.Pattern] = {}
 
 ARTICLE, OPEN, OUTSIDE = 0, 1, 2
@@ -53,7 +57,7 @@ def blocks(page: str) -> Iterator[tuple[int, str]]:
     """(ARTICLE, OPEN or OUTSIDE, text) of a page's blocks, in order; white space is one space, references decoded."""
     at, parts, role = 0, [], OPEN
     article = 0  # article and main elements that are open
-    skip, nested = "", 0  # the chrome element that is open and how deep in elements of its name
+    skip, nested, wrapper = "", 0, False  # the chrome element that is open, how deep in elements of its name, and whether it may wrap a page
 
     def block():
         nonlocal parts
@@ -93,12 +97,16 @@ def blocks(page: str) -> Iterator[tuple[int, str]]:
                 _closing[name] = re.compile(rf"</{name}\s*/?>" if name != "head" else r"</head\s*>|(?=<body)", re.I)
             close = _closing[name].search(page, at)
             at = close.end() if close else (at if name == "head" else end)
+        elif skip and name in ("article", "main") and wrapper and not _others.search(m[3]):
+            # what holds the article wraps the page, whatever its class says
+            skip, nested, article = "", 0, article + 1
         elif skip:
             nested += name == skip
-        elif name not in VOID and not m[3].endswith("/") and (name in CHROME or (m[3] and _marked(m[3]))):
+        elif name not in VOID and not m[3].endswith("/") and (name in CHROME or (m[3] and name not in PAGE and _marked(m[3], name == "article"))):
             if text := block():
                 yield role, text
             skip, nested = name, 1
+            wrapper = name in ("form", "div", "section", "table", "center") and not _others.search(m[3])
         elif name in ("article", "main"):
             article += 1
         role = OUTSIDE if skip else ARTICLE if article else OPEN
@@ -106,8 +114,9 @@ def blocks(page: str) -> Iterator[tuple[int, str]]:
         yield role, text
 
 
-def _marked(attributes: str) -> bool:
-    return any(_marks.search(v.strip("\"'")) for v in _named.findall(attributes))
+def _marked(attributes: str, article: bool = False) -> bool:
+    """Whether a class, id or role marks chrome; an article's only if it marks another one than the page's."""
+    return any((_others if article else _marks).search(v.strip("\"'")) for v in _named.findall(attributes))
 
 
 def repeated(pages: list[list[str]], run: int = MIN_RUN) -> list[np.ndarray]:

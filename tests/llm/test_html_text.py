@@ -27,6 +27,8 @@ def test_structure():
     )
     article = [t for role, t in html_text.blocks(page) if role == html_text.ARTICLE]
     assert " ".join(article) == "Head a bc & d e g h"
+    wrapped = '<body class="has-sidebar no-ads"><form id="page-menu-form"><div class="content with-sidebar"><article class="post">kept<section class="comments"><article>bad</article></section></article><article class="comment">bad</article></div></form><div class="cookiebar">no</div>'
+    assert [t for role, t in html_text.blocks(wrapped) if role == html_text.ARTICLE] == ["kept"]
     assert " ".join(t for _, t in html_text.blocks("a < b <p>x<a href='y")) == "a < b x"
     assert list(html_text.blocks("")) == []
 
