@@ -198,7 +198,7 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, key: str = "
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             for lo in range(0, len(texts), 256):
-                ids = [bpe.encode(t or "") for t in texts[lo : lo + 256]]
+                ids = bpe.pieces.encode_all([t or "" for t in texts[lo : lo + 256]])
                 decoded = [bpe.decode(x) for x in ids]
                 out = {"doc_id": keys[lo : lo + 256], "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids_sha256": list(map(sha, ids)), "decoded_sha256": list(map(sha, decoded))}
                 if keep_ids:

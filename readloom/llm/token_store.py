@@ -44,7 +44,7 @@ _encoders: dict[tuple, object] = {}
 
 
 def piece_encoder(tokenizer_json: bytes, id_bytes: int):
-    """A function from text to the bytes of its ids, by the tokenizers library; one for each worker.
+    """A function from texts to the bytes of their ids, by the tokenizers library; one for each worker.
 
     Every distinct pre-token is encoded by the library once.  A text with characters on whose class Unicode versions
     differ goes to the library whole.
@@ -83,10 +83,12 @@ def piece_encoder(tokenizer_json: bytes, id_bytes: int):
 
         pieces = PieceEncoder(public_tokenizers.PATTERN, resolve)
 
-        def encode(text: str) -> bytes:
-            return pieces.encode(text) if is_steady(text) else whole([text])[0]
+        def encode_all(texts: list[str]) -> list[bytes]:
+            steady = [is_steady(t) for t in texts]
+            found = iter(pieces.encode_all([t for t, s in zip(texts, steady) if s]))
+            return [next(found) if s else whole([t])[0] for t, s in zip(texts, steady)]
 
-        _encoders[key] = encode
+        _encoders[key] = encode_all
     return _encoders[key]
 
 
@@ -207,7 +209,7 @@ def write_token_shards(docs: DataFrame, root: str, tokenizer_path: str, key: str
     width = id_width(raw)
     docs = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
-    encode = piece_encoder(raw, width)
+    encode_all = piece_encoder(raw, width)
     end = end_id.to_bytes(width, "little")
     picked, left = [], DICT_SAMPLE_BYTES
     for k, n in docs.filter("key is not null").select("key", F.octet_length("text")).orderBy(F.xxhash64("key"), "key").limit(dict_docs).collect():
@@ -215,7 +217,7 @@ def write_token_shards(docs: DataFrame, root: str, tokenizer_path: str, key: str
             picked.append(k)
             left -= n
     sampled = docs.filter(F.col("key").isin(picked)).select("text").limit(2 * dict_docs).collect() if picked else []
-    samples = [encode(t) + end for (t,) in sampled]
+    samples = [ids + end for ids in encode_all([t for (t,) in sampled])]
     dictionary = train_dictionary(samples)
     sha = hashlib.sha256(dictionary).hexdigest()
     fs, base = filesystem(root)
@@ -227,12 +229,12 @@ def write_token_shards(docs: DataFrame, root: str, tokenizer_path: str, key: str
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, zdict = shared.value
-        encode = piece_encoder(tokenizer, width)
+        encode_all = piece_encoder(tokenizer, width)
         part, shard = TaskContext.get().partitionId(), None
         for batch in batches:
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for k, ids in zip(batch.column(0).to_pylist(), encode_all(batch.column(1).to_pylist())):
                 shard = shard or ShardWriter(root, f"part-{part:06d}-{uuid.uuid4().hex}.tok", zdict, width, level)
-                shard.add(k, encode(t) + end)
+                shard.add(k, ids + end)
         if shard:
             n, tokens, size = shard.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [shard.uri], "n_docs": [n], "n_tokens": [tokens], "n_bytes": [size], "dict_sha256": [sha]})
