@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.llm.common import arrow_map, table, written
-from readloom.llm.wordhash import Words, blocks, mix
+from readloom.llm.wordhash import Words, blocks
 
 WINDOW, ANCHOR = 13, 7
 SHARD_BYTES = 24 << 20  # text of a shard, about
@@ -34,21 +34,20 @@ BROADCAST = 2_000_000  # anchors (8 bytes each) that may be broadcast; beyond, t
 
 
 class Windows:
-    """The windows of some texts: ``doc`` and ``at`` (first word) of each, its hash and its anchor's hash and place."""
+    """The windows of some texts: ``doc`` and ``at`` (first word) of each, and the hashes of it and of its anchor."""
 
-    def __init__(self, texts: list[str], n: int, k: int):
+    def __init__(self, texts: list[str], n: int, k: int, hashes: bool = True):
         self.words = w = Words(texts, lower=False)
         full = np.maximum(np.diff(w.first) - n + 1, 0)
         self.doc = np.repeat(np.arange(len(texts)), full)
         self.at = np.repeat(w.first[:-1] - (np.cumsum(full) - full), full) + np.arange(len(self.doc))
-        self.hash = w.grams(n)[self.at].view(np.int64)
-        if len(self.at):
-            grams = mix(w.grams(k), 7)
-            spot = np.lib.stride_tricks.sliding_window_view(grams, n - k + 1).argmin(1) + np.arange(len(grams) - n + k)
-            self.spot = spot[self.at]
-            self.anchor = grams[self.spot].view(np.int64)
-        else:
-            self.spot, self.anchor = self.at, self.hash
+        self.hash = w.grams(n)[self.at].view(np.int64) if hashes else None
+        least, have, want = w.grams(k), 1, n - k + 1
+        while have < want:  # the least of the next 2, 4, ... n-grams
+            step = min(have, want - have)
+            least = np.minimum(least[:-step], least[step:])
+            have += step
+        self.anchor = least[self.at].view(np.int64)
 
     def slices(self, n_docs: int) -> list[tuple[int, int]]:
         edge = np.searchsorted(self.doc, np.arange(n_docs + 1)).tolist()
@@ -66,9 +65,9 @@ def _anchors(docs: DataFrame, n: int, k: int) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for start, texts in blocks(batch.column(1).to_pylist()):
-                w = Windows(texts, n, k)
+                w = Windows(texts, n, k, hashes=False)
                 new = np.ones(len(w.at), bool)
-                new[1:] = (np.diff(w.spot) != 0) | (np.diff(w.doc) != 0)
+                new[1:] = (w.anchor[1:] != w.anchor[:-1]) | (np.diff(w.doc) != 0)
                 yield pa.RecordBatch.from_pydict({"h": w.anchor[new], "doc": ids[start + w.doc[new]]})
 
     return docs.transform(arrow_map, run, "h long, doc long")

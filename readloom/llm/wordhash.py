@@ -18,7 +18,7 @@ _LOWER = _SAME.copy()
 _LOWER[65:91] += 32
 PIECE = 4 << 20
 _BASE = 0x9E3779B97F4A7C15
-_powers = [np.ones(1, U)]
+_powers, _inverses = [np.ones(1, U)], [np.ones(1, U)]
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -38,6 +38,15 @@ def powers(n: int) -> np.ndarray:
     return _powers[0]
 
 
+def inverses(n: int) -> np.ndarray:
+    """1, 1/b, 1/b^2, ... up to the n-th, modulo 2^64."""
+    if len(_inverses[0]) <= n:
+        p = np.full(2 * n + 64, U(pow(_BASE, -1, 1 << 64)))
+        p[0] = 1
+        _inverses[0] = np.cumprod(p, dtype=U)
+    return _inverses[0]
+
+
 def blocks(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
     """(number of the first, texts): runs of about ``most`` characters, or one longer text alone."""
     start, n = 0, 0
@@ -91,11 +100,15 @@ class Words:
         m = len(self.hash) - n + 1
         if m <= 0:
             return np.zeros(0, U)
-        x = np.full(m, U(n))
-        for i in range(n):
-            x = (x ^ self.hash[i : i + m]) * U(0xD6E8FEB86659FD93)
-            x ^= x >> U(32)
-        return x
+        if n < 4:
+            x = np.full(m, U(n))
+            for i in range(n):
+                x = (x ^ self.hash[i : i + m]) * U(0xD6E8FEB86659FD93)
+                x ^= x >> U(32)
+            return x
+        # sum of hash * b^place over the n words, as a difference of two sums from the first word on, divided by b^place
+        sums = np.concatenate([np.zeros(1, U), np.cumsum(self.hash * powers(len(self.hash))[: len(self.hash)], dtype=U)])
+        return mix((sums[n:] - sums[:m]) * inverses(m)[:m], n)
 
     def shingles(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(text, hash) of every text's distinct n-word shingles, in order; all words as one if they are fewer."""
