@@ -257,8 +257,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     total = digest.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // SHARD_BYTES)
 
-    anchors = _anchors(known, n, k)
-    common = written(anchors.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("h"), "anchors")
+    anchors = written(_anchors(known, n, k), "anchors")  # read twice: once to find those that recur, once where they are
+    common = written(anchors.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("h"), "common")
     small = common.count() <= BROADCAST
     held = anchors.join(F.broadcast(common) if small else common, "h").join(copies, "doc", "left_anti")
     held = held.groupBy("doc").agg(F.collect_set("h").alias("hs"))  # of one document at most its own anchors
