@@ -4,7 +4,8 @@
    headers, footers, sidebars, forms, scripts, notices, adverts and comments, by element or by class, id or role, is
    chrome; the rest is open.
 2. The tokens outside articles of a host's pages are joined into one stream; its suffixes, sorted by their first
-   ``MIN_RUN`` tokens, show which runs stand on more than one page.
+   ``MIN_RUN`` tokens, show which runs stand on more than one page.  A large host's are sorted in groups, which exchange
+   what they count of each run.
 3. A page with an article is its article.  On a page without one, the open tokens covered by repeated runs are
    boilerplate, and the unique runs are the text.
 
@@ -14,6 +15,7 @@ an article nothing is removed for being repeated.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -22,11 +24,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from readloom.llm.common import arrow_map, table
+from readloom.llm.common import arrow_map, table, written
 
 MIN_RUN = 8  # tokens; a power of two
-GROUP_BYTES = 8 << 20  # HTML of a host that is compared at once; a larger host is dealt over several groups
+GROUP_BYTES = 4 << 20  # distinct text outside articles of a host that is sorted at once; a larger host is dealt over several groups
 BROADCAST_HOSTS = 100_000
 
 #: Elements whose text is no text, to their closing tag.
@@ -119,104 +122,185 @@ def _marked(attributes: str, article: bool = False) -> bool:
     return any((_others if article else _marks).search(v.strip("\"'")) for v in _named.findall(attributes))
 
 
-def repeated(pages: list[list[str]], run: int = MIN_RUN) -> list[np.ndarray]:
-    """For each page's tokens, which are covered by a run of ``run`` tokens that stands on another page too.
+class Runs:
+    """The runs of ``run`` tokens on some pages, numbered from 0 by a suffix array of the pages' joined tokens.
 
     The pages are joined with a separator of its own after each; prefix doubling sorts the suffixes by their first
-    ``run`` tokens, and neighbours with equal ones are compared by page.
+    ``run`` tokens.  ``at``: the number of the run that begins at each token of the stream, -1 where the page ends
+    before it does.  ``on``: (run, page), once for each page a run stands on.
     """
-    numbers: dict[str, int] = {}
-    lengths = np.array([len(p) for p in pages], np.int64)
-    stream = np.empty(int(lengths.sum()) + len(pages), np.int64)
-    page = np.empty(len(stream), np.int64)
-    starts, at = [], 0
-    for i, tokens in enumerate(pages):
-        starts.append(at)
-        stream[at : at + len(tokens)] = [numbers.setdefault(t, len(numbers)) for t in tokens]
-        stream[at + len(tokens)] = -1 - i
-        page[at : at + len(tokens) + 1] = i
-        at += len(tokens) + 1
-    rank = np.unique(stream, return_inverse=True)[1]
-    width = 1
-    while width < run:
-        after = np.full(len(rank), -1, np.int64)
-        after[:-width or None] = rank[width:]
-        rank = np.unique(rank * (len(rank) + 2) + after + 1, return_inverse=True)[1]
-        width *= 2
-    order = np.argsort(rank, kind="stable")  # the suffix array, to that depth
-    new = np.ones(len(order), bool)
-    new[1:] = rank[order][1:] != rank[order][:-1]
-    group = np.cumsum(new) - 1
-    low, high = np.full(group[-1] + 1 if len(group) else 0, len(pages)), np.full(group[-1] + 1 if len(group) else 0, -1)
-    np.minimum.at(low, group, page[order])
-    np.maximum.at(high, group, page[order])
-    begins = np.zeros(len(stream) + 1, np.int64)
-    hit = order[(low < high)[group]]
-    begins[hit] += 1
-    np.add.at(begins, np.minimum(hit + width, len(stream)), -1)
-    covered = np.cumsum(begins)[:-1] > 0
-    return [covered[s : s + n] for s, n in zip(starts, lengths.tolist())]
+
+    def __init__(self, pages: list[list[str]], run: int = MIN_RUN):
+        self.numbers: dict[str, int] = {}
+        self.run, self.lengths = run, np.array([len(p) for p in pages], np.int64)
+        self.starts = np.cumsum(self.lengths + 1) - self.lengths - 1
+        self.stream = np.empty(int(self.lengths.sum()) + len(pages), np.int64)
+        page = np.repeat(np.arange(len(pages)), self.lengths + 1)
+        for i, (at, tokens) in enumerate(zip(self.starts.tolist(), pages)):
+            self.stream[at : at + len(tokens)] = [self.numbers.setdefault(t, len(self.numbers)) for t in tokens]
+            self.stream[at + len(tokens)] = -1 - i
+        rank = np.unique(self.stream, return_inverse=True)[1]
+        width = 1
+        while width < run:
+            after = np.full(len(rank), -1, np.int64)
+            after[:-width or None] = rank[width:]
+            rank = np.unique(rank * (len(rank) + 2) + after + 1, return_inverse=True)[1]
+            width *= 2
+        whole = np.arange(len(self.stream)) + run <= (self.starts + self.lengths)[page] if len(pages) else np.zeros(0, bool)
+        self.at = np.full(len(self.stream), -1, np.int64)
+        found, self.first, self.at[whole] = np.unique(rank[whole], return_index=True, return_inverse=True)
+        self.first = np.flatnonzero(whole)[self.first]
+        self.count = len(found)
+        pairs = np.unique(self.at[whole] * max(1, len(pages)) + page[whole])
+        self.on = pairs // max(1, len(pages)), pairs % max(1, len(pages))
+
+    def total(self, weights: np.ndarray) -> np.ndarray:
+        """For each run the sum of its pages' ``weights``."""
+        return np.bincount(self.on[0], weights[self.on[1]], self.count).astype(np.int64)
+
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of each run's tokens, the same in every group."""
+        token = np.array([int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for t in self.numbers], np.uint64)
+        out = np.zeros(self.count, np.uint64)
+        for j in range(self.run):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + token[self.stream[self.first + j]]
+        return out.view(np.int64)
+
+    def covered(self, runs: np.ndarray) -> list[np.ndarray]:
+        """For each page's tokens, which are covered by a run that ``runs`` is true for."""
+        begins = np.zeros(len(self.stream) + 1, np.int64)
+        hit = np.flatnonzero(self.at >= 0)
+        hit = hit[runs[self.at[hit]]]
+        begins[hit] += 1
+        np.add.at(begins, hit + self.run, -1)
+        covered = np.cumsum(begins)[:-1] > 0
+        return [covered[s : s + n] for s, n in zip(self.starts.tolist(), self.lengths.tolist())]
+
+
+def repeated(pages: list[list[str]], run: int = MIN_RUN) -> list[np.ndarray]:
+    """For each page's tokens, which are covered by a run of ``run`` tokens that stands on another page too."""
+    runs = Runs(pages, run)
+    return runs.covered(runs.total(np.ones(len(pages), np.int64)) > 1)
 
 
 def main_text(docs: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """page_id, url, text, n_chars, n_outside, n_repeated; one row for each row of ``docs``.
 
     A null page is empty and has the text "".  ``n_outside``: tokens outside the article; ``n_repeated``: those that
-    another page of the host (of the same group, where a large host is dealt over several) repeats.  A null url is a
-    host of its own.  Repeated rows are pages of their own; other columns are not read.
+    another page of the host repeats.  A null url is a host of its own.  Repeated rows are pages of their own; other
+    columns are not read.
+
+    Pages of a host with the same tokens outside their articles are one stream, which is decided once.  A large host's
+    streams are dealt over several groups; what each group counts of its runs is summed over the host, and goes back
+    to the groups of the runs that stand in several.
     """
     import zstandard
 
     spark = docs.sparkSession
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = docs.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), host.alias("host"), F.coalesce(F.col(page), F.lit("")).alias("html"))
-    large = rows.groupBy("host").agg(F.sum(F.octet_length("html")).alias("bytes")).filter(F.col("bytes") > GROUP_BYTES).select("host", F.ceil(F.col("bytes") / GROUP_BYTES).alias("groups"))
-    few = large.count() <= BROADCAST_HOSTS
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parse(texts: list[str]) -> Iterator[tuple[str | None, str, str, bytes]]:
+        for p in texts:
+            found: tuple[list, list, list] = ([], [], [])
+            for role, text in blocks(p):
+                found[role].append(text)
+            main, open_, outside = " ".join(found[ARTICLE]) if found[ARTICLE] else None, " ".join(found[OPEN]), " ".join(found[OUTSIDE])
+            stream = hashlib.blake2b(f"{main is None}\0{len(open_)}\0{open_}{outside}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
+            yield main, open_, outside, stream
+
+    def streams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 200):
+                part = batch.slice(lo, 200)
+                parsed = list(parse(part.column(1).to_pylist()))
+                bare = pa.array([p[0] is None for p in parsed], pa.bool_())
+                yield pa.RecordBatch.from_pydict({"host": part.column(0), "stream": pa.array([p[3] for p in parsed], pa.binary()), "bare": bare, "open": pa.array([p[1] for p in parsed], pa.string()), "outside": pa.array([p[2] for p in parsed], pa.string())})
+
+    def articles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 part = batch.slice(lo, 200)
-                main, open_, outside = [], [], []
-                for p in part.column(3).to_pylist():
-                    found: tuple[list, list, list] = ([], [], [])
-                    for role, text in blocks(p):
-                        found[role].append(text)
-                    main.append(c.compress(" ".join(found[ARTICLE]).encode("utf-8", "surrogatepass")) if found[ARTICLE] else None)
-                    open_.append(" ".join(found[OPEN]))
-                    outside.append(" ".join(found[OUTSIDE]))
-                yield pa.RecordBatch.from_pydict({"page_id": part.column(0), "url": part.column(1), "host": part.column(2), "main": pa.array(main, pa.binary()), "open": pa.array(open_, pa.string()), "outside": pa.array(outside, pa.string())})
+                parsed = list(parse(part.column(3).to_pylist()))
+                main = [None if p[0] is None else c.compress(p[0].encode("utf-8", "surrogatepass")) for p in parsed]
+                yield pa.RecordBatch.from_pydict({"page_id": part.column(0), "url": part.column(1), "host": part.column(2), "stream": pa.array([p[3] for p in parsed], pa.binary()), "main": pa.array(main, pa.binary())})
 
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         group: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in range(7))):
+            for row in zip(*(batch.column(c).to_pylist() for c in range(batch.num_columns))):
                 if group and group[-1][:2] != row[:2]:
-                    yield text_of(group)
+                    yield group
                     group = []
                 group.append(row)
         if group:
-            yield text_of(group)
+            yield group
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in by_group(batches):
+            runs = Runs([g[4].split() + g[5].split() for g in group])
+            pages = runs.total(np.array([g[6] for g in group], np.int64))
+            yield pa.RecordBatch.from_pydict({"host": pa.array([group[0][0]] * runs.count, pa.string()), "salt": pa.array(np.full(runs.count, group[0][1], np.int32)), "run": runs.hashes(), "pages": pages})
+
+    def decided(group: list[tuple], known: dict[str, np.ndarray]) -> pa.Table:
+        tokens = [(g[4].split(), g[5].split()) for g in group]
+        runs = Runs([a + b for a, b in tokens])
+        pages = with_known(runs, runs.total(np.array([g[6] for g in group], np.int64)), known, "pages")
+        covers = runs.covered(pages > 1)
+        texts = [" ".join([t for t, c in zip(open_, cover.tolist()) if not c]) if g[3] else None for g, (open_, _), cover in zip(group, tokens, covers)]
+        return pa.table({"host": pa.array([g[0] for g in group], pa.string()), "stream": pa.array([g[2] for g in group], pa.binary()), "open_text": pa.array(texts, pa.string()), "n_outside": pa.array(list(map(len, covers)), pa.int64()), "n_repeated": pa.array([int(c.sum()) for c in covers], pa.int64())})
+
+    def with_known(runs: Runs, own: np.ndarray, known: dict[str, np.ndarray], name: str) -> np.ndarray:
+        """A group's counts of its runs, with the host's for those that stand in other groups too."""
+        if known and len(known["run"]):
+            hashes = runs.hashes()
+            at = np.minimum(np.searchsorted(known["run"], hashes), len(known["run"]) - 1)
+            own = np.where(known["run"][at] == hashes, known[name][at], own)
+        return own
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in by_group(batches):
+            yield from decided(group, {}).to_batches()
+
+    def decide_large(group: pa.Table, known: pa.Table) -> pa.Table:
+        return decided(rows_of(group), sorted_by_run(known))
 
-    def text_of(group: list[tuple]) -> pa.RecordBatch:
+    def rows_of(group: pa.Table) -> list[tuple]:
+        return sorted(zip(*(group.column(c).to_pylist() for c in range(group.num_columns))), key=lambda g: g[2])
+
+    def sorted_by_run(known: pa.Table) -> dict[str, np.ndarray]:
+        known = known.sort_by("run")
+        return {name: known.column(name).to_numpy() for name in known.column_names if name not in ("host", "salt")}
+
+    parsed = rows.select("host", "html").transform(arrow_map, streams_of, "host string, stream binary, bare boolean, open string, outside string")
+    streams = written(parsed.groupBy("host", "stream").agg(F.first("bare").alias("bare"), F.first("open").alias("open"), F.first("outside").alias("outside"), F.count("*").alias("pages")), "streams")
+    size = F.sum(F.octet_length("open") + F.octet_length("outside"))
+    large = written(streams.groupBy("host").agg(size.alias("bytes")).filter(F.col("bytes") > GROUP_BYTES).select("host", F.ceil(F.col("bytes") / GROUP_BYTES).alias("groups")), "large")
+    n_large, parts = large.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def dealt(how: str) -> DataFrame:
+        some = streams.join(F.broadcast(large) if n_large <= BROADCAST_HOSTS else large, "host", how)
+        salt = F.pmod(F.xxhash64("stream"), F.col("groups")).cast("int") if how == "inner" else F.lit(0)
+        return some.select("host", salt.alias("salt"), "stream", "bare", "open", "outside", "pages").repartition(parts, "host", "salt")
+
+    shape = "host string, stream binary, open_text string, n_outside long, n_repeated long"
+    done = dealt("left_anti").sortWithinPartitions("host", "salt").transform(arrow_map, decide, shape)
+    if n_large:
+        own = dealt("inner").sortWithinPartitions("host", "salt").transform(arrow_map, counted, "host string, salt int, run long, pages long")
+        run = Window.partitionBy("host", "run")  # at most one row for each of the host's groups
+        known = own.select("host", "salt", "run", F.sum("pages").over(run).alias("pages"), F.count("*").over(run).alias("in")).filter("in > 1").drop("in")
+        done = done.union(dealt("inner").groupBy("host", "salt").cogroup(known.groupBy("host", "salt")).applyInArrow(decide_large, shape))
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = zstandard.ZstdDecompressor()
-        tokens = [(g[5].split(), g[6].split()) for g in group]
-        covers = repeated([a + b for a, b in tokens])
-        texts = []
-        for g, (open_, _), cover in zip(group, tokens, covers):
-            if g[4] is not None:
-                texts.append(d.decompress(g[4]).decode("utf-8", "surrogatepass"))
-            else:
-                texts.append(" ".join([t for t, c in zip(open_, cover.tolist()) if not c]))
-        return pa.RecordBatch.from_pydict({"page_id": pa.array([g[2] for g in group], pa.int64()), "url": pa.array([g[3] for g in group], pa.string()), "text": pa.array(texts, pa.string()), "n_chars": pa.array(list(map(len, texts)), pa.int64()), "n_outside": pa.array([len(c) for c in covers], pa.int64()), "n_repeated": pa.array([int(c.sum()) for c in covers], pa.int64())})
-
-    parsed = rows.transform(arrow_map, parse, "page_id long, url string, host string, main binary, open string, outside string")
-    dealt = parsed.join(F.broadcast(large) if few else large, "host", "left")
-    salt = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("groups", F.lit(1))).cast("int").alias("salt")
-    dealt = dealt.select("host", salt, "page_id", "url", "main", "open", "outside")
-    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "host", "salt").sortWithinPartitions("host", "salt", "page_id")
-    return dealt.transform(arrow_map, decide, "page_id long, url string, text string, n_chars long, n_outside long, n_repeated long")
+        for batch in batches:
+            texts = [o if m is None else d.decompress(m).decode("utf-8", "surrogatepass") for m, o in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_pydict({"page_id": batch.column(0), "url": batch.column(1), "text": pa.array(texts, pa.string()), "n_chars": pa.array(list(map(len, texts)), pa.int64()), "n_outside": batch.column(4), "n_repeated": batch.column(5)})
+
+    articles = rows.transform(arrow_map, articles_of, "page_id long, url string, host string, stream binary, main binary")
+    out = articles.join(done, ["host", "stream"], "left").select("page_id", "url", "main", "open_text", "n_outside", "n_repeated")
+    return out.transform(arrow_map, joined, "page_id long, url string, text string, n_chars long, n_outside long, n_repeated long")
 
 
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,3 +55,14 @@ def test_pages_without_an_article_lose_what_the_host_repeats(spark):
     rows += [(9, None, None), (10, "", ""), (11, "https://other.example/", f"<p>{menu}</p>"), (11, "https://other.example/", "<article>x</article>y")]
     got = sorted((r.page_id, r.text) for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
     assert got == [(i, f"story{i} told once with word{i}") for i in range(5)] + [(9, ""), (10, ""), (11, menu), (11, "x")]
+
+
+def test_groups_of_a_large_host_find_what_they_repeat_together(spark, monkeypatch):
+    footer = [" ".join(f"f{k}w{j}" for j in range(9)) for k in range(20)]
+    rows = [(i, f"https://h.example/{i}", f"<footer>{footer[i % 20]} end{i}</footer><article>story{i}</article>") for i in range(40)]
+    rows.append((99, "https://h.example/99", f"<footer>{' '.join(f'own{j}' for j in range(10))}</footer><article>story</article>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = sorted(html_text.main_text(pages).collect())
+    monkeypatch.setattr(html_text, "GROUP_BYTES", 200)
+    assert sorted(html_text.main_text(pages).collect()) == whole
+    assert [r.n_repeated for r in whole] == [9] * 40 + [0]
