@@ -6,8 +6,12 @@
 2. The tokens outside articles of a host's pages are joined into one stream; its suffixes, sorted by their first
    ``MIN_RUN`` tokens, show which runs stand on more than one page.  A large host's are sorted in groups, which exchange
    what they count of each run.
-3. A page with an article is its article.  On a page without one, the open tokens covered by repeated runs are
-   boilerplate, and the unique runs are the text.
+3. A page with an article is its article.  On a page without one, runs that recur on pages that otherwise differ are
+   boilerplate: the open blocks that mostly consist of them lose them, and the rest is the text.
+
+A page differs otherwise than by a run if it has an article, or if at least a tenth of its open tokens stand in runs
+of at most a third as many distinct pages.  Copies, and copies with a few words changed, have no such rest; they prove
+nothing of one another.
 
 Repetition alone can't be the rule: articles repeat too, whole or in passages, and an advert can be unique.  So within
 an article nothing is removed for being repeated.
@@ -31,6 +35,9 @@ from readloom.llm.common import arrow_map, table, written
 MIN_RUN = 8  # tokens; a power of two
 GROUP_BYTES = 4 << 20  # distinct text outside articles of a host that is sorted at once; a larger host is dealt over several groups
 BROADCAST_HOSTS = 100_000
+LEAST_PAGES, LEAST_SHARE = 3, 0.01  # boilerplate stands on so many otherwise different pages, and on that share of a host's distinct ones
+OWN = 10  # a page's own tokens are at least one in so many
+RARER = 3  # and stand on that many times fewer pages
 
 #: Elements whose text is no text, to their closing tag.
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "select", "title", "head"}
@@ -166,6 +173,14 @@ class Runs:
             out = out * np.uint64(0x9E3779B97F4A7C15) + token[self.stream[self.first + j]]
         return out.view(np.int64)
 
+    def commonest(self, counts: np.ndarray) -> list[np.ndarray]:
+        """For each page's tokens the largest of ``counts`` over the runs that cover it, 0 where none does."""
+        most = np.zeros(len(self.stream) + self.run, np.int64)
+        here = np.where(self.at >= 0, counts[self.at], 0) if self.count else np.zeros(len(self.stream), np.int64)
+        for j in range(self.run):
+            np.maximum(most[j : j + len(here)], here, out=most[j : j + len(here)])
+        return [most[s : s + n] for s, n in zip(self.starts.tolist(), self.lengths.tolist())]
+
     def covered(self, runs: np.ndarray) -> list[np.ndarray]:
         """For each page's tokens, which are covered by a run that ``runs`` is true for."""
         begins = np.zeros(len(self.stream) + 1, np.int64)
@@ -200,22 +215,22 @@ def main_text(docs: DataFrame, key: str = "page_id", url: str = "url", page: str
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = docs.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), host.alias("host"), F.coalesce(F.col(page), F.lit("")).alias("html"))
 
-    def parse(texts: list[str]) -> Iterator[tuple[str | None, str, str, bytes]]:
+    def parse(texts: list[str]) -> Iterator[tuple[str | None, str, str, bytes, bytes | None]]:
         for p in texts:
             found: tuple[list, list, list] = ([], [], [])
             for role, text in blocks(p):
                 found[role].append(text)
-            main, open_, outside = " ".join(found[ARTICLE]) if found[ARTICLE] else None, " ".join(found[OPEN]), " ".join(found[OUTSIDE])
+            main, open_, outside = " ".join(found[ARTICLE]) if found[ARTICLE] else None, "\n".join(found[OPEN]), " ".join(found[OUTSIDE])
             stream = hashlib.blake2b(f"{main is None}\0{len(open_)}\0{open_}{outside}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
-            yield main, open_, outside, stream
+            article = None if main is None else hashlib.blake2b(main.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+            yield main, open_, outside, stream, article
 
     def streams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 part = batch.slice(lo, 200)
                 parsed = list(parse(part.column(1).to_pylist()))
-                bare = pa.array([p[0] is None for p in parsed], pa.bool_())
-                yield pa.RecordBatch.from_pydict({"host": part.column(0), "stream": pa.array([p[3] for p in parsed], pa.binary()), "bare": bare, "open": pa.array([p[1] for p in parsed], pa.string()), "outside": pa.array([p[2] for p in parsed], pa.string())})
+                yield pa.RecordBatch.from_pydict({"host": part.column(0), "stream": pa.array([p[3] for p in parsed], pa.binary()), "article": pa.array([p[4] for p in parsed], pa.binary()), "open": pa.array([p[1] for p in parsed], pa.string()), "outside": pa.array([p[2] for p in parsed], pa.string())})
 
     def articles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = zstandard.ZstdCompressor(level=1)
@@ -237,18 +252,53 @@ def main_text(docs: DataFrame, key: str = "page_id", url: str = "url", page: str
         if group:
             yield group
 
+    def of(group: list[tuple]) -> tuple[Runs, np.ndarray, np.ndarray]:
+        """The runs of a group's streams, and on how many pages and distinct pages of the group each stands."""
+        runs = Runs([g[4].split() + g[5].split() for g in group])
+        return runs, runs.total(np.array([g[6] for g in group], np.int64)), runs.total(np.array([g[7] for g in group], np.int64))
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in by_group(batches):
-            runs = Runs([g[4].split() + g[5].split() for g in group])
-            pages = runs.total(np.array([g[6] for g in group], np.int64))
-            yield pa.RecordBatch.from_pydict({"host": pa.array([group[0][0]] * runs.count, pa.string()), "salt": pa.array(np.full(runs.count, group[0][1], np.int32)), "run": runs.hashes(), "pages": pages})
+            runs, pages, distinct = of(group)
+            yield pa.RecordBatch.from_pydict({"host": pa.array([group[0][0]] * runs.count, pa.string()), "salt": pa.array(np.full(runs.count, group[0][1], np.int32)), "run": runs.hashes(), "pages": pages, "distinct": distinct})
+
+    def supported(runs: Runs, group: list[tuple], distinct: np.ndarray) -> np.ndarray:
+        """For each run, on how many distinct pages of the group it stands that otherwise differ."""
+        rest = np.zeros(len(group), np.int64)
+        for i, (g, counts) in enumerate(zip(group, runs.commonest(distinct))):
+            n = len(g[4].split())
+            rest[i] = np.sort(counts[:n])[(n + OWN - 1) // OWN - 1] if n else np.iinfo(np.int64).max // RARER
+        run, page = runs.on
+        bare, own = np.array([g[3] for g in group], bool), np.array([g[7] for g in group], np.int64)
+        return np.bincount(run, np.where(bare[page], RARER * rest[page] <= distinct[run], own[page]), runs.count).astype(np.int64)
+
+    def supported_large(group: pa.Table, known: pa.Table) -> pa.Table:
+        host, salt = known.column("host"), known.column("salt")
+        if not known.num_rows:
+            return pa.table({"host": host, "salt": salt, **{c: pa.array([], pa.int64()) for c in ("run", "pages", "distinct", "support")}})
+        rows, known = rows_of(group), sorted_by_run(known)
+        runs, _, distinct = of(rows)
+        support = supported(runs, rows, with_known(runs, distinct, known, "distinct"))
+        hashes = runs.hashes()
+        order = np.argsort(hashes)
+        return pa.table({"host": host, "salt": salt, **{c: known[c] for c in ("run", "pages", "distinct")}, "support": support[order[np.searchsorted(hashes[order], known["run"])]]})
 
     def decided(group: list[tuple], known: dict[str, np.ndarray]) -> pa.Table:
-        tokens = [(g[4].split(), g[5].split()) for g in group]
-        runs = Runs([a + b for a, b in tokens])
-        pages = with_known(runs, runs.total(np.array([g[6] for g in group], np.int64)), known, "pages")
-        covers = runs.covered(pages > 1)
-        texts = [" ".join([t for t, c in zip(open_, cover.tolist()) if not c]) if g[3] else None for g, (open_, _), cover in zip(group, tokens, covers)]
+        runs, pages, distinct = of(group)
+        covers = runs.covered(with_known(runs, pages, known, "pages") > 1)
+        texts: list[str | None] = [None] * len(group)
+        if any(g[3] for g in group):
+            support = with_known(runs, supported(runs, group, with_known(runs, distinct, known, "distinct")), known, "support")
+            least = max(LEAST_PAGES, LEAST_SHARE * (group[0][8] or sum(g[7] for g in group)))
+            for i, (g, common) in enumerate(zip(group, runs.covered(support >= least))):
+                if g[3]:
+                    kept, at = [], 0
+                    for block in g[4].split("\n"):
+                        tokens = block.split()
+                        cover = common[at : at + len(tokens)]
+                        kept += [t for t, c in zip(tokens, cover.tolist()) if not c] if 2 * cover.sum() > len(tokens) else tokens
+                        at += len(tokens)
+                    texts[i] = " ".join(kept)
         return pa.table({"host": pa.array([g[0] for g in group], pa.string()), "stream": pa.array([g[2] for g in group], pa.binary()), "open_text": pa.array(texts, pa.string()), "n_outside": pa.array(list(map(len, covers)), pa.int64()), "n_repeated": pa.array([int(c.sum()) for c in covers], pa.int64())})
 
     def with_known(runs: Runs, own: np.ndarray, known: dict[str, np.ndarray], name: str) -> np.ndarray:
@@ -273,24 +323,37 @@ def main_text(docs: DataFrame, key: str = "page_id", url: str = "url", page: str
         known = known.sort_by("run")
         return {name: known.column(name).to_numpy() for name in known.column_names if name not in ("host", "salt")}
 
-    parsed = rows.select("host", "html").transform(arrow_map, streams_of, "host string, stream binary, bare boolean, open string, outside string")
-    streams = written(parsed.groupBy("host", "stream").agg(F.first("bare").alias("bare"), F.first("open").alias("open"), F.first("outside").alias("outside"), F.count("*").alias("pages")), "streams")
-    size = F.sum(F.octet_length("open") + F.octet_length("outside"))
-    large = written(streams.groupBy("host").agg(size.alias("bytes")).filter(F.col("bytes") > GROUP_BYTES).select("host", F.ceil(F.col("bytes") / GROUP_BYTES).alias("groups")), "large")
+    parsed = rows.select("host", "html").transform(arrow_map, streams_of, "host string, stream binary, article binary, open string, outside string")
+    texts = [F.first("open").alias("open"), F.first("outside").alias("outside")]
+    articles = parsed.groupBy("host", "stream", "article").agg(*texts, F.count("*").alias("pages"))
+    streams = written(articles.groupBy("host", "stream").agg(F.first(F.col("article").isNull()).alias("bare"), *texts, F.sum("pages").alias("pages"), F.count("*").alias("distinct")), "streams")
+    hosts = streams.groupBy("host").agg(F.sum(F.octet_length("open") + F.octet_length("outside")).alias("bytes"), F.sum("distinct").alias("of"), F.max("bare").alias("some_bare"))
+    large = written(hosts.filter(F.col("bytes") > GROUP_BYTES).select("host", F.ceil(F.col("bytes") / GROUP_BYTES).alias("groups"), "of", "some_bare"), "large")
     n_large, parts = large.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with_large = lambda df, some, how: df.join(F.broadcast(some) if n_large <= BROADCAST_HOSTS else some, "host", how)
 
-    def dealt(how: str) -> DataFrame:
-        some = streams.join(F.broadcast(large) if n_large <= BROADCAST_HOSTS else large, "host", how)
-        salt = F.pmod(F.xxhash64("stream"), F.col("groups")).cast("int") if how == "inner" else F.lit(0)
-        return some.select("host", salt.alias("salt"), "stream", "bare", "open", "outside", "pages").repartition(parts, "host", "salt")
+    def dealt(some: DataFrame, how: str) -> DataFrame:
+        inner = how == "inner"
+        salt = F.pmod(F.xxhash64("stream"), F.col("groups")).cast("int") if inner else F.lit(0)
+        return with_large(streams, some, how).select("host", salt.alias("salt"), "stream", "bare", "open", "outside", "pages", "distinct", (F.col("of") if inner else F.lit(None).cast("long")).alias("of")).repartition(parts, "host", "salt")
 
     shape = "host string, stream binary, open_text string, n_outside long, n_repeated long"
-    done = dealt("left_anti").sortWithinPartitions("host", "salt").transform(arrow_map, decide, shape)
+    counts = "host string, salt int, run long, pages long, distinct long"
+    done = dealt(large, "left_anti").sortWithinPartitions("host", "salt").transform(arrow_map, decide, shape)
     if n_large:
-        own = dealt("inner").sortWithinPartitions("host", "salt").transform(arrow_map, counted, "host string, salt int, run long, pages long")
+        own = dealt(large, "inner").sortWithinPartitions("host", "salt").transform(arrow_map, counted, counts)
         run = Window.partitionBy("host", "run")  # at most one row for each of the host's groups
-        known = own.select("host", "salt", "run", F.sum("pages").over(run).alias("pages"), F.count("*").over(run).alias("in")).filter("in > 1").drop("in")
-        done = done.union(dealt("inner").groupBy("host", "salt").cogroup(known.groupBy("host", "salt")).applyInArrow(decide_large, shape))
+        summed = lambda name: F.sum(name).over(run).alias(name)
+        known = own.select("host", "salt", "run", summed("pages"), summed("distinct"), F.count("*").over(run).alias("in")).filter("in > 1").drop("in")
+        bare = large.filter("some_bare")
+        if bare.isEmpty():
+            known = known.withColumn("support", F.lit(0).cast("long"))
+        else:
+            known = written(known, "runs")
+            support = dealt(bare, "inner").groupBy("host", "salt").cogroup(with_large(known, bare, "left_semi").groupBy("host", "salt")).applyInArrow(supported_large, counts + ", support long")
+            others = with_large(known, bare, "left_anti").withColumn("support", F.lit(0).cast("long"))
+            known = support.select("host", "salt", "run", "pages", "distinct", summed("support")).union(others)
+        done = done.union(dealt(large, "inner").groupBy("host", "salt").cogroup(known.groupBy("host", "salt")).applyInArrow(decide_large, shape))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = zstandard.ZstdDecompressor()
@@ -298,8 +361,8 @@ def main_text(docs: DataFrame, key: str = "page_id", url: str = "url", page: str
             texts = [o if m is None else d.decompress(m).decode("utf-8", "surrogatepass") for m, o in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_pydict({"page_id": batch.column(0), "url": batch.column(1), "text": pa.array(texts, pa.string()), "n_chars": pa.array(list(map(len, texts)), pa.int64()), "n_outside": batch.column(4), "n_repeated": batch.column(5)})
 
-    articles = rows.transform(arrow_map, articles_of, "page_id long, url string, host string, stream binary, main binary")
-    out = articles.join(done, ["host", "stream"], "left").select("page_id", "url", "main", "open_text", "n_outside", "n_repeated")
+    found = rows.transform(arrow_map, articles_of, "page_id long, url string, host string, stream binary, main binary")
+    out = found.join(done, ["host", "stream"], "left").select("page_id", "url", "main", "open_text", "n_outside", "n_repeated")
     return out.transform(arrow_map, joined, "page_id long, url string, text string, n_chars long, n_outside long, n_repeated long")
 
 

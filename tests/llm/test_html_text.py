@@ -66,3 +66,22 @@ def test_groups_of_a_large_host_find_what_they_repeat_together(spark, monkeypatc
     monkeypatch.setattr(html_text, "GROUP_BYTES", 200)
     assert sorted(html_text.main_text(pages).collect()) == whole
     assert [r.n_repeated for r in whole] == [9] * 40 + [0]
+
+
+def test_copies_and_shared_passages_are_not_boilerplate(spark, monkeypatch):
+    menu = "home news about contact imprint terms privacy help login"
+    words = lambda name, n: " ".join(f"{name}{j}" for j in range(n))
+    passage = words("quote", 10)
+    stories = {i: words(f"s{i}x", 30) for i in range(4)}
+    stories |= {4: stories[0], 5: stories[0], 6: stories[0].replace("s0x7", "other"), 7: stories[0].replace("s0x20", "another")}
+    stories |= {i: f"{words(f's{i}a', 15)} {passage} {words(f's{i}b', 15)}" for i in (8, 9, 10)}
+    stories[11] = ""
+    rows = [(i, f"https://h.example/{i}", f"<div>{menu}</div><div>{s}</div>") for i, s in stories.items()]
+    rows += [(i, "https://two.example/", f"<div>{words('t', 20)}</div>") for i in (20, 21)]
+    rows += [(i, "https://near.example/", f"<div>{words('t', 20)} {i} {words('u', 20)}</div>") for i in (30, 31, 32, 33)]
+    want = stories | dict.fromkeys((20, 21), words("t", 20)) | {i: f"{words('t', 20)} {i} {words('u', 20)}" for i in (30, 31, 32, 33)}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = sorted(html_text.main_text(pages).collect())
+    assert {r.page_id: r.text for r in whole} == want
+    monkeypatch.setattr(html_text, "GROUP_BYTES", 300)
+    assert sorted(html_text.main_text(pages).collect()) == whole
