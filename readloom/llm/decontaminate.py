@@ -43,6 +43,7 @@ class PositionalIndex:
         self.docs = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
         self.terms = terms
         self.postings: DataFrame | None = None
+        self.stored: DataFrame | None = None
 
     def _look(self, rows: DataFrame, terms: DataFrame, how: str = "inner") -> DataFrame:
         small = terms.count() <= BROADCAST_TERMS
@@ -55,8 +56,9 @@ class PositionalIndex:
 
     def store(self, terms: DataFrame) -> DataFrame:
         """Writes and returns the postings of ``terms``."""
+        self.stored = terms.select("term").distinct()
         rows = self.docs.filter("doc is not null").select("doc", F.posexplode(words_of("text")).alias("pos", "term"))
-        self.postings = written(self._look(rows, terms.select("term").distinct()).select("term", "doc", "pos"), "postings")
+        self.postings = written(self._look(rows, self.stored).select("term", "doc", "pos"), "postings")
         return self.postings
 
     def phrase_starts(self, lookups: DataFrame) -> DataFrame:
@@ -76,7 +78,15 @@ class PositionalIndex:
         return found.select("window_id", "doc", "start")
 
     def near(self, terms: list[str], within: int) -> DataFrame:
-        """(doc, pos) where a stretch of at most ``within`` words that begins with one of ``terms`` holds them all."""
+        """(doc, pos) where a stretch of at most ``within`` words that begins with one of ``terms`` holds them all.
+
+        KeyError if one of ``terms`` was not among those that ``store`` was asked for: its postings aren't known.
+        """
+        if self.stored is None:
+            raise KeyError("no postings are stored")
+        known = {t.term for t in self.stored.filter(F.col("term").isin(terms)).collect()}
+        if missing := sorted(set(terms) - known):
+            raise KeyError(f"no postings are stored for {', '.join(missing)}")
         mine = self.postings.filter(F.col("term").isin(terms))
         ahead = Window.partitionBy("doc").orderBy("pos").rangeBetween(0, within - 1)
         return mine.withColumn("held", F.size(F.collect_set("term").over(ahead))).filter(F.col("held") == len(set(terms))).select("doc", "pos").distinct()

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from readloom.llm import decontaminate
 from tests.llm import brute
 
@@ -41,3 +43,15 @@ def test_proximity(spark):
     index.store(terms)
     assert sorted(map(tuple, index.near(["red", "blue"], 4).collect())) == [(1, 0), (1, 3), (2, 0)]
     assert {(r.term, r.df) for r in index.frequencies().collect()} == {("red", 3), ("blue", 3)}
+
+
+def test_proximity_of_terms_that_are_not_stored(spark):
+    docs = spark.createDataFrame([(1, "red green blue")], "doc_id long, text string")
+    terms = spark.createDataFrame([("red",), ("blue",), ("nowhere",)], "term string")
+    index = decontaminate.PositionalIndex(docs, terms)
+    with pytest.raises(KeyError):
+        index.near(["red"], 4)
+    index.store(terms)
+    assert index.near(["red", "nowhere"], 4).collect() == []
+    with pytest.raises(KeyError, match="green"):
+        index.near(["red", "green"], 4)
