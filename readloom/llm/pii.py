@@ -11,8 +11,8 @@ Base kinds, each leftmost and non-overlapping, a match that fails its test dropp
 * phone  ``\\+[0-9][ ().0-9-]+[0-9]``, 8 to 15 digits
 
 Added kinds, which never take a base span's place: ``iban`` (a cue, then an account number whose check digits hold),
-``account`` (a cue, then 8 to 17 digits), ``secret`` (the quoted or assigned value after a cue such as ``token =``, at
-least 16 characters with a digit among them) and ``login`` (user and password of a URL).
+``account`` (a cue, then 8 to 17 digits), ``secret`` (the quoted or assigned value after a cue such as ``token =``, or
+what follows ``Bearer``, at least 16 characters with a digit among them) and ``login`` (user and password of a URL).
 """
 
 from __future__ import annotations
@@ -41,9 +41,10 @@ _phone = re.compile(r"\+[0-9][ ().0-9-]+[0-9]").match
 _iban = re.compile(r"(?:[ \t]*(?:number|no\.?|nr\.?))?[ \t]*[:=#]?[ \t]*([A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]){11,30})", re.I).match
 _account = re.compile(r"[ \t]*(?:number|no\.?|nr\.?)?[ \t]*[:=#][ \t]*([0-9](?:[ -]?[0-9]){7,16})(?![0-9])", re.I).match
 _secret = re.compile(r"""["']?[ \t]*[:=][ \t]*(["']?)([A-Za-z0-9_/+.=-]{16,})(?![A-Za-z0-9_/+.=-])\1""").match
+_bearer = re.compile(r"""(?:["']?[ \t]*[:=][ \t]*|[ \t]+)(["']?)([A-Za-z0-9_/+.~=-]{16,})(?![A-Za-z0-9_/+.~=-])\1""").match
 _login = re.compile(r"([^\s/?#@:\"'<>]+:[^\s/?#@\"'<>]+)@[A-Za-z0-9.-]+").match
 
-#: Cue words, in lower case; their first letter must not follow a letter or digit.
+#: Cue words, in lower case and found in any; their first letter must not follow a letter or digit.
 CUES = {
     "iban": ("iban",),
     "account": ("account", "acct", "konto", "cuenta", "compte"),
@@ -75,13 +76,13 @@ def anchors() -> ahocorasick.Automaton:
     found.add_word("+", "+")
     for kind, words in CUES.items():
         for w in words:
-            for form in {w, w.upper(), w.capitalize()}:
-                found.add_word(form, kind)
+            found.add_word(w, kind)
     found.make_automaton()
     return found
 
 
 _automaton = anchors()
+_lower = {c: c + 32 for c in range(65, 91)}
 
 
 def find(text: str) -> list[tuple[str, int, int]]:
@@ -89,7 +90,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
     out: dict[str, list[tuple[str, int, int]]] = {k: [] for k in KINDS}
     past = dict.fromkeys(KINDS, 0)  # where the search for a kind goes on
     seen = -2  # the last digit; the next one may be of the same run
-    for last, kind in _automaton.iter(text):
+    for last, kind in _automaton.iter(text.lower() if text.isascii() else text.translate(_lower)):
         if kind == "#":
             first_of_run, seen = last != seen + 1, last
             if last >= past["ip"] and (first_of_run or last == past["ip"]):
@@ -117,7 +118,8 @@ def find(text: str) -> list[tuple[str, int, int]]:
                 if 8 <= sum("0" <= c <= "9" for c in m[0]) <= 15:
                     out["phone"].append(("phone", last, m.end()))
         elif last >= past[kind]:
-            m = {"iban": _iban, "account": _account, "secret": _secret, "login": _login}[kind](text, last + 1)
+            bearer = kind == "secret" and text[max(0, last - 5) : last + 1].lower() == "bearer"
+            m = _bearer(text, last + 1) if bearer else {"iban": _iban, "account": _account, "secret": _secret, "login": _login}[kind](text, last + 1)
             if not m:
                 continue
             g = 2 if kind == "secret" else 1

@@ -54,3 +54,12 @@ def test_query_edges(spark):
     assert got == sorted(want, key=str)
     assert pii.find_pii(docs.limit(0)).count() == 0
     assert [r.text for r in pii.redact_pii(docs).orderBy("doc_id").limit(4).collect()] == ["[IP]", None, "", "[EMAIL]"]
+
+
+def test_cues_in_any_case_and_bearer():
+    secret = "04dbebab91ab85687d33"
+    for cue in ("apiKey = ", "Api_Key: ", "API_Key=", "PassWd = ", "Authorization: Bearer ", "é BeaRer: ", "bearer\t"):
+        text = f"İé {cue}{secret} end"
+        assert pii.find(text) == [("secret", at := text.index(secret), at + len(secret))]
+    assert [k for k, *_ in pii.find("IBan GB82 WEST 1234 5698 7654 32, KonTo: 12345678")] == ["iban", "account"]
+    assert pii.find("bearer of glad tidings and a bearer responsibilities") == []
