@@ -54,6 +54,9 @@ _marks = re.compile(
 )
 _named = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _tag = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[A-Za-z/][^>]*(?:>|\Z)""", re.S)
+#: Elements whose end tags may be left out, and what ends them where it opens.
+_block = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
+ENDED_BY = {"p": _block, "li": {"li"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "tr": {"tr", "tbody", "tfoot"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 #: Of these, what articles of its own can stand in without being the page's.
 _others = re.compile(r"comment|disqus|replies|respond|related|recommended|widget", re.I)
 #: Elements whose class says something of the page, not of themselves.
@@ -67,6 +70,7 @@ def blocks(page: str) -> Iterator[tuple[int, str]]:
     """(ARTICLE, OPEN or OUTSIDE, text) of a page's blocks, in order; white space is one space, references decoded."""
     at, parts, role = 0, [], OPEN
     article = 0  # article and main elements that are open
+    held, inner = 0, 0  # elements, and articles of these, that are open inside of a skipped one whose end tag may be left out
     skip, nested, wrapper = "", 0, False  # the chrome element that is open, how deep in elements of its name, and whether it may wrap a page
 
     def block():
@@ -93,6 +97,18 @@ def blocks(page: str) -> Iterator[tuple[int, str]]:
                 continue
         elif text := block():
             yield role, text
+        if skip in ENDED_BY:
+            # the next of its kind, or the end of what it stands in, ends it too
+            if m[1]:
+                ended = not inner if name in ("article", "main") else name == "body" or (name != skip and name not in INLINE and name not in ENDED_BY and not held)
+                held -= name != skip and name not in INLINE and name not in ENDED_BY and held > 0
+                inner -= name in ("article", "main") and inner > 0
+            else:
+                ended = name in ENDED_BY[skip] and not held
+                held += not ended and name not in INLINE and name not in ENDED_BY and name not in VOID and name not in RAW and not m[3].endswith("/")
+                inner += not ended and name in ("article", "main")
+            if ended:
+                skip, nested = "", 0
         if m[1]:
             if name in ("article", "main") and not skip:
                 article = max(0, article - 1)
@@ -115,7 +131,7 @@ def blocks(page: str) -> Iterator[tuple[int, str]]:
         elif name not in VOID and not m[3].endswith("/") and (name in CHROME or (m[3] and name not in PAGE and _marked(m[3], name == "article"))):
             if text := block():
                 yield role, text
-            skip, nested = name, 1
+            skip, nested, held, inner = name, 1, 0, 0
             wrapper = name in ("form", "div", "section", "table", "center") and not _others.search(m[3])
         elif name in ("article", "main"):
             article += 1

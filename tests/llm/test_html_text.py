@@ -85,3 +85,16 @@ def test_copies_and_shared_passages_are_not_boilerplate(spark, monkeypatch):
     assert {r.page_id: r.text for r in whole} == want
     monkeypatch.setattr(html_text, "GROUP_BYTES", 300)
     assert sorted(html_text.main_text(pages).collect()) == whole
+
+
+def test_chrome_whose_end_tag_is_left_out():
+    article = lambda page: " ".join(t for role, t in html_text.blocks(page) if role == html_text.ARTICLE)
+    assert article('<article><p class="notice">N<p>Body</p><p>More</p></article>') == "Body More"
+    assert article('<article><p class="notice">N <b>n</b><div>Body</div><p>More</article>') == "Body More"
+    assert article('<article><ul><li class="ad">N<ul><li>n<li>n</ul>n<li>Body</ul><p>More</article><li>x') == "Body More"
+    assert article('<article><table><tr><td class="ad">N<table><tr><td>n</table>n<td>Body<tr class="ad"><td>N<tr><td>More</table>End</article>') == "Body More End"
+    assert article('<article><dl><dt class="ad">N<dd>Body<dd class="ad"><p>N</dl>More</article>x') == "Body More"
+    assert article('<article><ul><li class="related"><article>bad</article>bad<li>Body</ul>More</article>x') == "Body More"
+    assert article('<article><ul><li class="ad">N<div>n</article>x') == ""
+    assert article('<article><p class="ad">N<br>n<img src=x>n</p>Body</article>') == "Body"
+    assert [t for role, t in html_text.blocks('<div><p class="ad">N</div>Body') if role == html_text.OPEN] == ["Body"]
