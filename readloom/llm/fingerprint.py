@@ -2,9 +2,9 @@
 
 A text's units are its words, longer ones cut every 16 characters.  A k-mer of K units is an anchor (a closed syncmer)
 if the least of its units' hashes is that of its first or its last unit.  Whether a k-mer is chosen depends on nothing
-around it: texts that share a stretch share the stretch's anchors, wherever it stands.  The fingerprint is the KEPT
-least hashes of the distinct anchors; the likeness of two fingerprints is the share of the least hashes of both
-together that both have, an estimate of the Jaccard similarity of all anchors (exact for at most KEPT).
+around it: texts that share a stretch share the stretch's anchors, wherever it stands.  The likeness of two texts is the
+Jaccard similarity of all their distinct anchors.  The fingerprint is a digest only: the KEPT least hashes of the
+distinct anchors.
 
 Only DataFrame functions are used.
 """
@@ -53,26 +53,26 @@ def positioned(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
 def offsets(a: DataFrame, b: DataFrame) -> DataFrame:
     """(a, b, shift, shared): how many anchors two positioned tables' documents share at each shift of position.
 
-    An anchor that a document has at several places counts at its first one.
+    An anchor that a document has at several places counts at each of them.
     """
-    one = lambda df, name: df.groupBy(F.col("doc_id").alias(name), "anchor").agg(F.min("pos").alias(f"pos_{name}"))
+    one = lambda df, name: df.select(F.col("doc_id").alias(name), "anchor", F.col("pos").alias(f"pos_{name}"))
     return one(a, "a").join(one(b, "b"), "anchor").groupBy("a", "b", (F.col("pos_b") - F.col("pos_a")).alias("shift")).agg(F.count("*").alias("shared"))
 
 
-def sketch(text: str | Column) -> Column:
-    return F.slice(F.sort_array(F.array_distinct(anchors(text))), 1, KEPT)
+def distinct_anchors(h: Column) -> Column:
+    """The hashes of all anchors, each once, in order."""
+    return F.sort_array(F.array_distinct(anchors(h)))
 
 
-def shown(sketch: str) -> Column:
-    """A fingerprint as a string: 16 hexadecimal digits for each hash; empty for a text without words."""
-    return F.array_join(F.transform(sketch, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
+def shown(found: str) -> Column:
+    """The fingerprint of a text with these anchors: 16 hexadecimal digits for each of the KEPT least hashes; empty for a text without words."""
+    return F.array_join(F.transform(F.slice(found, 1, KEPT), lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
 
 
 def likeness(a: str, b: str) -> Column:
-    """0 to 1; two empty fingerprints are alike."""
-    both = F.slice(F.sort_array(F.array_union(a, b)), 1, KEPT)
-    shared = F.size(F.array_intersect(F.array_intersect(F.col(a), F.col(b)), both))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(shared / F.greatest(F.size(both), F.lit(1)))
+    """0 to 1: the share of the distinct anchors of both that both have; two texts without any are alike."""
+    shared = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(shared / F.greatest(F.size(a) + F.size(b) - shared, F.lit(1)))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -109,10 +109,10 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     quarter = F.floor(n / 4).cast("int")
     rows = rows.withColumn("next", F.lead("text").over(within))
     rows = rows.select("doc_id", "part", "guest", "h", "id", n.cast("long").alias("n_chars"), unit_hashes(F.col("text")).alias("units"), F.concat(F.substring("text", F.lit(1), n - quarter), F.substring("next", F.lit(1), quarter)).alias("edited"))
-    rows = rows.select("doc_id", "part", "guest", "h", "id", "n_chars", "edited", sketch(F.col("units")).alias("own"))
+    rows = rows.select("doc_id", "part", "guest", "h", "id", "n_chars", "edited", distinct_anchors(F.col("units")).alias("own"))
     rows = rows.withColumn("following", F.lead("own").over(within)).filter("guest = 0")
     rows = rows.select("doc_id", "n_chars", "own", "following", F.sha2("edited", 256).alias("edited_sha256"), unit_hashes(F.col("edited")).alias("units"))
-    rows = rows.select("doc_id", "n_chars", "own", "following", "edited_sha256", sketch(F.col("units")).alias("other"))
+    rows = rows.select("doc_id", "n_chars", "own", "following", "edited_sha256", distinct_anchors(F.col("units")).alias("other"))
     return rows.select("doc_id", "n_chars", "edited_sha256", shown("own").alias("fingerprint"), shown("other").alias("edited_fingerprint"), likeness("own", "other").alias("near_edited"), likeness("own", "following").alias("near_next"))
 
 

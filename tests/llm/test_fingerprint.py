@@ -55,3 +55,24 @@ def test_odd_rows(spark, odd):
     assert fingerprint.fingerprints(odd.limit(0)).count() == 0
     one = fingerprint.fingerprints(odd.filter("doc_id = 8")).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
+
+
+def test_likeness_is_that_of_all_anchors(spark):
+    from pyspark.sql import functions as F
+
+    one = " ".join(f"a{i}" for i in range(2000))
+    two = one + " " + " ".join(f"b{i}" for i in range(60))
+    rows = [(1, one), (2, two), (3, " ".join(f"a{i}" for i in range(900, 960)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    anchors = {r.doc_id: set(r.a) for r in docs.select("doc_id", fingerprint.anchors(fingerprint.unit_hashes(F.col("text"))).alias("a")).collect()}
+    got = {r.doc_id: r for r in fingerprint.fingerprints(docs).collect()}
+    for i, j in ((1, 2), (2, 3), (3, 1)):
+        assert got[i].near_next == len(anchors[i] & anchors[j]) / len(anchors[i] | anchors[j])
+    assert 0 < got[3].near_next < 0.1 and all(len(r.fingerprint) <= 16 * fingerprint.KEPT for r in got.values())
+
+
+def test_a_passage_whose_anchors_occur_earlier_too_aligns(spark):
+    passage = " ".join(f"w{i}" for i in range(50))
+    table = lambda i, text: fingerprint.positioned(spark.createDataFrame([(i, text)], "doc_id long, text string"))
+    shifts = {r["shift"]: r["shared"] for r in fingerprint.offsets(table(1, passage), table(2, f"{passage} between {passage}")).collect()}
+    assert shifts[0] == shifts[51] > 10
