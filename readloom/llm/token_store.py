@@ -2,11 +2,12 @@
 
 One shard holds the documents of one range of keys, in ascending order::
 
-    magic "RLTOK1\\0\\0" | frame of document 0 | frame of document 1 | ... | index | tail
+    magic "RLTOK2\\0\\0" | frame of document 0 | frame of document 1 | ... | index | tail
 
 * frame: the document's ids (end id included) as little-endian unsigned 16- or 32-bit integers, compressed by itself
   with the data set's dictionary, so that a short document is read and decompressed alone;
-* index: for every document the key, the offset, the length and the number of ids (zstandard over 64-bit columns);
+* index: for every document whether its key is null, the key, the offset, the length and the number of ids (zstandard
+  over 64-bit columns);
 * tail: length of the index, number of documents, bytes of an id, SHA-256 of the dictionary, magic.
 
 The dictionary lies beside the shards as ``dict-<hash>.zdict``.  A shard is written under a name that no other attempt
@@ -32,12 +33,13 @@ from pyspark.sql import functions as F
 from readloom.llm.common import arrow_map, filesystem, fresh_dir, table
 from readloom.llm.pretokens import PieceEncoder, is_steady
 
-MAGIC = b"RLTOK1\0\0"
+MAGIC = b"RLTOK2\0\0"
 TAIL = struct.Struct("<QQI32s8s")
 
-#: Bounds of the dictionary: its size, and the documents (those of the smallest key hashes) and bytes of text that it
-#: is trained on.  The dictionary only saves bytes: what the shards hold doesn't depend on it.
-DICT_BYTES, DICT_DOCS, DICT_SAMPLE_BYTES = 64 << 10, 1500, 8 << 20
+#: Bounds of the dictionary: its size, the documents that it is trained on (those with the least hashes of key and
+#: text), the characters that one of them gives (a stretch that the hash chooses) and the bytes of one sample of its ids.
+#: The dictionary only saves bytes: what the shards hold doesn't depend on it.
+DICT_BYTES, DICT_DOCS, DICT_CHARS, SAMPLE_BYTES = 64 << 10, 1500, 5500, 2048
 
 MANIFEST = "part int, path string, n_docs long, n_tokens long, n_bytes long, dict_sha256 string"
 _encoders: dict[tuple, object] = {}
@@ -47,7 +49,7 @@ def piece_encoder(tokenizer_json: bytes, id_bytes: int):
     """A function from texts to the bytes of their ids, by the tokenizers library; one for each worker.
 
     Every distinct pre-token is encoded by the library once.  A text with characters on whose class Unicode versions
-    differ goes to the library whole.
+    differ, or that holds the string of an added token, goes to the library whole.
     """
     key = (hashlib.sha256(tokenizer_json).digest(), id_bytes)
     if key not in _encoders:
@@ -56,7 +58,7 @@ def piece_encoder(tokenizer_json: bytes, id_bytes: int):
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_str(tokenizer_json.decode())
-        tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t.content for t in tok.get_added_tokens_decoder().values()]
         kind = f"<u{id_bytes}"
         vocabulary = tok.get_vocab()
         opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids of tokens that begin with a space
@@ -84,7 +86,7 @@ def piece_encoder(tokenizer_json: bytes, id_bytes: int):
         pieces = PieceEncoder(public_tokenizers.PATTERN, resolve)
 
         def encode_all(texts: list[str]) -> list[bytes]:
-            steady = [is_steady(t) for t in texts]
+            steady = [is_steady(t) and not any(a in t for a in added) for t in texts]
             found = iter(pieces.encode_all([t for t, s in zip(texts, steady) if s]))
             return [next(found) if s else whole([t])[0] for t, s in zip(texts, steady)]
 
@@ -98,18 +100,20 @@ def id_width(tokenizer_json: bytes) -> int:
     return 2 if Tokenizer.from_str(tokenizer_json.decode()).get_vocab_size() <= 1 << 16 else 4
 
 
-def train_dictionary(samples: list[bytes], size: int = DICT_BYTES) -> bytes:
-    """A zstandard dictionary over serialised id arrays; b"" (no dictionary) if there is too little to train on."""
+def train_dictionary(arrays: list[bytes], size: int = DICT_BYTES) -> bytes:
+    """A zstandard dictionary over serialised id arrays; b"" (no dictionary) only if there is no id at all.
+
+    Long arrays are cut into samples.  Where these are too few for the trainer, they are the dictionary's content as
+    they are.
+    """
     import zstandard
 
-    samples = [s for s in samples if len(s) >= 8]
-    total = sum(map(len, samples))
-    if len(samples) < 16 or total < 16 << 10:
-        return b""
+    samples = [x[i : i + SAMPLE_BYTES] for x in arrays for i in range(0, len(x), SAMPLE_BYTES)]
+    content = b"".join(samples)
     try:
-        return zstandard.train_dictionary(min(size, total // 8), samples).as_bytes()
+        return zstandard.train_dictionary(max(256, min(size, len(content) // 8)), samples).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        return content[-size:]
 
 
 def _zdict(raw: bytes):
@@ -135,7 +139,7 @@ class ShardWriter:
     def add(self, key: int | None, ids: bytes) -> None:
         frame, n = self.pack.compress(ids), len(ids) // self.id_bytes
         self.out.write(frame)
-        self.index.append((-(1 << 63) if key is None else key, self.at, len(frame), n))
+        self.index.append((key is None, key or 0, self.at, len(frame), n))
         self.at += len(frame)
         self.tokens += n
 
@@ -143,7 +147,7 @@ class ShardWriter:
         """(documents, tokens, bytes)"""
         import zstandard
 
-        index = zstandard.compress(np.array(self.index, "<i8").reshape(-1, 4).T.tobytes(), 3)
+        index = zstandard.compress(np.array(self.index, "<i8").reshape(-1, 5).T.tobytes(), 3)
         self.out.write(index)
         self.out.write(TAIL.pack(len(index), len(self.index), self.id_bytes, self.sha, MAGIC))
         self.out.close()
@@ -152,7 +156,7 @@ class ShardWriter:
 
 
 class ShardReader:
-    """Random access to the documents of a shard: ``len``, ``keys``, ``n_tokens`` and ``ids(i)``."""
+    """Random access to the documents of a shard: ``len``, ``null`` (keys), ``keys``, ``n_tokens`` and ``ids(i)``."""
 
     def __init__(self, uri: str):
         import zstandard
@@ -164,7 +168,8 @@ class ShardReader:
         if magic != MAGIC:
             raise ValueError(f"{uri} is no token shard")
         index = zstandard.decompress(self.file.read_at(n_index, size - TAIL.size - n_index))
-        self.keys, self.offsets, self.lengths, self.n_tokens = np.frombuffer(index, "<i8").reshape(4, n_docs)
+        null, self.keys, self.offsets, self.lengths, self.n_tokens = np.frombuffer(index, "<i8").reshape(5, n_docs)
+        self.null = null.astype(bool)
         self.sha = sha.hex()
         dictionary = b""
         if sha != hashlib.sha256(b"").digest():
@@ -201,7 +206,8 @@ def write_token_shards(docs: DataFrame, root: str, tokenizer_path: str, key: str
     """Encodes every text of ``docs`` and writes the shards below ``root``; returns the manifest, read from there.
 
     A null text is empty; every document gets ``end_id`` appended, so an empty one has one id.  Documents are ordered
-    by key (null first), repeated keys by text.  Other columns are not read.  An empty table gives an empty manifest.
+    by key (null first), repeated keys by a hash of the text.  Other columns are not read.  An empty table gives an
+    empty manifest.
     """
     spark = docs.sparkSession
     with open(tokenizer_path, "rb") as f:
@@ -211,12 +217,14 @@ def write_token_shards(docs: DataFrame, root: str, tokenizer_path: str, key: str
 
     encode_all = piece_encoder(raw, width)
     end = end_id.to_bytes(width, "little")
-    picked, left = [], DICT_SAMPLE_BYTES
-    for k, n in docs.filter("key is not null").select("key", F.octet_length("text")).orderBy(F.xxhash64("key"), "key").limit(dict_docs).collect():
-        if n <= left:
-            picked.append(k)
-            left -= n
-    sampled = docs.filter(F.col("key").isin(picked)).select("text").limit(2 * dict_docs).collect() if picked else []
+    # the share of the rows that goes to be ordered holds the least hashes, and twice as many as are wanted
+    rows = docs.count()
+    most = int(min(1.0, (2.0 * dict_docs + 64.0) / max(rows, 1)) * (1 << 52))
+    h = F.pmod(F.xxhash64("key", F.octet_length("text"), F.substring("text", 1, 64)), F.lit(1 << 52))
+    long = F.length("text") - DICT_CHARS
+    stretch = F.when(long > 0, F.substring("text", (F.pmod("h", F.greatest(long, F.lit(1))) + 1).cast("int"), F.lit(DICT_CHARS))).otherwise(F.col("text"))
+    least = docs.withColumn("h", h).filter(F.col("h") <= most).select("h", "key", stretch.alias("text"))
+    sampled = least.orderBy("h", "key", "text").limit(dict_docs).select("text").collect()
     samples = [ids + end for ids in encode_all([t for (t,) in sampled])]
     dictionary = train_dictionary(samples)
     sha = hashlib.sha256(dictionary).hexdigest()
@@ -240,7 +248,7 @@ def write_token_shards(docs: DataFrame, root: str, tokenizer_path: str, key: str
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [shard.uri], "n_docs": [n], "n_tokens": [tokens], "n_bytes": [size], "dict_sha256": [sha]})
 
     salt = F.xxhash64("text")  # splits a key that very many rows repeat
-    shards = docs.withColumn("salt", salt).repartitionByRange("key", "salt").sortWithinPartitions("key", "text").select("key", "text").transform(arrow_map, write, MANIFEST)
+    shards = docs.withColumn("salt", salt).repartitionByRange("key", "salt").sortWithinPartitions("key", "salt", "text").select("key", "text").transform(arrow_map, write, MANIFEST)
     shards.write.mode("overwrite").parquet(f"{root}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
 
@@ -256,8 +264,7 @@ def read_token_shards(manifest: DataFrame) -> DataFrame:
                 shard = ShardReader(path)
                 crc = np.fromiter((zlib.crc32(ids.astype("<u4").tobytes()) for ids in shard.all_ids()), "i8", len(shard))
                 n = shard.n_tokens
-                null = shard.keys == -(1 << 63)
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(shard.keys, pa.int64(), mask=null), "start": start + np.cumsum(n) - n, "n_tokens": np.array(n), "ids_crc32": crc})
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(shard.keys, pa.int64(), mask=shard.null), "start": start + np.cumsum(n) - n, "n_tokens": np.array(n), "ids_crc32": crc})
                 shard.close()
 
     spark = manifest.sparkSession

@@ -13,7 +13,6 @@ PATH = P.path("byte_bpe_50k.json")
 
 def library():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 0]
 
 
@@ -59,7 +58,26 @@ def test_dictionary_shrinks_short_documents():
     plain = zstandard.ZstdCompressor(level=3)
     shared = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d))
     assert sum(len(shared.compress(s)) for s in samples) < sum(len(plain.compress(s)) for s in samples)
-    assert token_store.train_dictionary([b"123"]) == b""
+
+
+def test_any_id_gives_a_dictionary(spark):
+    import zstandard
+
+    for few in ([b"\1\0"], [b"12345678"], [b"\1\0" * 9000], [b"12", b"34", b""]):
+        d = token_store.train_dictionary(few)
+        assert d
+        packed = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d)).compress(few[0])
+        assert zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(d)).decompress(packed) == few[0]
+    assert token_store.train_dictionary([]) == token_store.train_dictionary([b""]) == b""
+    one = spark.createDataFrame([(-(1 << 63), "a text"), (None, "another")], "doc_id long, text string")
+    manifest = token_store.write_token_shards(one, fresh_dir(spark, "t"), PATH)
+    assert all(token_store.ShardReader(r.path).sha == r.dict_sha256 != brute.sha("") for r in manifest.collect())
+    assert sorted(map(tuple, token_store.read_token_shards(manifest).collect()), key=lambda r: r[1]) == expected([(None, "another"), (-(1 << 63), "a text")])
+
+
+def test_special_strings_are_the_librarys():
+    encode = token_store.piece_encoder(open(PATH, "rb").read(), 2)
+    assert struct.unpack("<4H", encode(["hello <|endoftext|> world"])[0]) == (31373, 220, 50256, 995)
 
 
 def test_fast_split_is_the_pattern_on_steady_text():
