@@ -1,10 +1,17 @@
 """Operator 7: document fingerprints from closed syncmers.
 
-A text's units are its words, longer ones cut every 16 characters.  A k-mer of K units is an anchor (a closed syncmer)
-if the least of its units' hashes is that of its first or its last unit.  Whether a k-mer is chosen depends on nothing
-around it: texts that share a stretch share the stretch's anchors, wherever it stands.  The likeness of two texts is the
-Jaccard similarity of all their distinct anchors.  The fingerprint is a digest only: the KEPT least hashes of the
-distinct anchors.
+A text's units are its words; a word of over LONGEST characters, and what is written in scripts without spaces, is cut
+into single characters, so that where one unit ends depends on nothing but the few characters around.  A k-mer of K
+units is an anchor (a closed syncmer) if the least of its units' hashes is that of its first or its last unit.  Whether
+a k-mer is chosen depends on nothing outside of it: texts that share a stretch share the stretch's anchors, wherever it
+stands, and of any K - 1 k-mers in a row one is chosen.
+
+The fingerprint lists all anchors in order of position: how many units after the one before (the first: after the
+text's beginning; at most K - 1), as one digit, and a 32-bit hash in eight hexadecimal digits.  The likeness of two
+fingerprints is positional: of the anchors that both have (each at its first place) those are matched whose shift, the
+difference of their places in the two texts, is that of the matched anchor before or after it in the first text too.
+So phrases that two texts share by chance, here and there, don't count, and passages that were moved as a whole do.
+Likeness is the share of the matched among all distinct anchors of both.
 
 Only DataFrame functions are used.
 """
@@ -19,13 +26,19 @@ from readloom.llm import sharding
 from readloom.llm.common import table
 
 K = 4
-KEPT = 128
 RANGE_ROWS = 2000
-UNIT = r"[^\x20\x09-\x0D]{1,16}"
+LONGEST = 16
+#: The blocks of scripts that are written without spaces (Thai and Lao, Tibetan, Myanmar, Khmer, and from
+#: the radicals and kana to the ideographs, their compatibility forms and their supplementary planes).
+UNSPACED = r"฀-໿ༀ-࿿က-႟ក-៿⺀-꓏豈-﫿\x{20000}-\x{3FFFF}"
+WORD = rf"[{UNSPACED}]|[^\x20\x09-\x0D{UNSPACED}]+"
 
 
 def unit_hashes(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)), lambda u: F.xxhash64(u))
+    """The hashes of a text's units, in order."""
+    one = lambda w: F.array(F.xxhash64(w))
+    single = lambda w: F.transform(F.regexp_extract_all(w, F.lit("(?s)."), F.lit(0)), lambda c: F.xxhash64(c))
+    return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.when(F.length(w) <= LONGEST, one(w)).otherwise(single(w))))
 
 
 def positions(h: Column, k: int = K) -> Column:
@@ -37,17 +50,16 @@ def positions(h: Column, k: int = K) -> Column:
 
 
 def anchors(h: Column, k: int = K) -> Column:
-    """The hashes of the anchors; if there are fewer than ``k`` units, but not none, all of them are the one anchor."""
-    chosen = F.transform(positions(h, k), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)]))
-    whole = F.when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
+    """array of (a: hash, p: first unit) of all anchors by position; fewer than ``k`` units, but not none, are one anchor."""
+    chosen = F.transform(positions(h, k), lambda i: F.struct(F.hash(*[F.get(h, i + j) for j in range(k)]).alias("a"), i.alias("p")))
+    whole = F.when(F.size(h) > 0, F.array(F.struct(F.hash(h).alias("a"), F.lit(0).alias("p")))).otherwise(F.array().cast("array<struct<a:int,p:int>>"))
     return F.when(F.size(h) >= k, chosen).otherwise(whole)
 
 
 def positioned(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K) -> DataFrame:
     """(doc_id, anchor, pos): every anchor with the number of its first unit, for aligning documents by position."""
     h = docs.select(F.col(key).alias("doc_id"), unit_hashes(F.coalesce(F.col(text), F.lit(""))).alias("h"))
-    at = h.select("doc_id", "h", F.explode(positions(F.col("h"), k)).alias("pos"))
-    return at.select("doc_id", F.xxhash64(*[F.get("h", F.col("pos") + j) for j in range(k)]).alias("anchor"), "pos")
+    return h.select("doc_id", F.explode(anchors(F.col("h"), k)).alias("x")).select("doc_id", F.col("x.a").alias("anchor"), F.col("x.p").alias("pos"))
 
 
 def offsets(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -59,20 +71,32 @@ def offsets(a: DataFrame, b: DataFrame) -> DataFrame:
     return one(a, "a").join(one(b, "b"), "anchor").groupBy("a", "b", (F.col("pos_b") - F.col("pos_a")).alias("shift")).agg(F.count("*").alias("shared"))
 
 
-def distinct_anchors(h: Column) -> Column:
-    """The hashes of all anchors, each once, in order."""
-    return F.sort_array(F.array_distinct(anchors(h)))
+def shown(found: str) -> Column:
+    """The fingerprint of these anchors: nine digits for each, empty for a text without words."""
+    gap = lambda x, i: F.when(i == 0, x["p"]).otherwise(x["p"] - F.get(F.col(found), i - 1)["p"])
+    return F.array_join(F.transform(found, lambda x, i: F.concat(gap(x, i).cast("string"), F.lower(F.lpad(F.hex(x["a"].cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")))), "")
 
 
-def shown(found: str) -> Column:
-    """The fingerprint of a text with these anchors: 16 hexadecimal digits for each of the KEPT least hashes; empty for a text without words."""
-    return F.array_join(F.transform(F.slice(found, 1, KEPT), lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
+def _first_only(ordered: str) -> Column:
+    """Of each distinct anchor the first place; from anchors in order of hash and place."""
+    return F.filter(ordered, lambda x, i: (i == 0) | (F.get(F.col(ordered), i - 1)["a"] != x["a"]))
 
 
-def likeness(a: str, b: str) -> Column:
-    """0 to 1: the share of the distinct anchors of both that both have; two texts without any are alike."""
-    shared = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(shared / F.greatest(F.size(a) + F.size(b) - shared, F.lit(1)))
+def with_likeness(rows: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: 0 to 1, the share of all distinct anchors of ``a`` and ``b`` that are matched.
+
+    ``a`` and ``b``: distinct anchors in order of their hashes.  An only shared anchor is matched; two texts without any
+    anchor are alike.
+    """
+    side = lambda c, n: F.transform(c, lambda x: F.struct(x["a"].alias("a"), F.lit(n).alias("s"), x["p"].alias("p")))
+    keep = rows.columns
+    rows = rows.select(*keep, F.sort_array(F.concat(side(a, 0), side(b, 1))).alias("__both"))
+    pair = lambda x, i: F.struct(x["p"].alias("p"), (F.get(F.col("__both"), i + 1)["p"] - x["p"]).alias("shift"))
+    paired = F.transform("__both", lambda x, i: F.when((x["s"] == 0) & (F.get(F.col("__both"), i + 1)["a"] == x["a"]), pair(x, i)))
+    rows = rows.select(*keep, F.sort_array(F.filter(paired, lambda x: x.isNotNull())).alias("__pairs"))
+    near = lambda x, i: (i > 0) & (F.get(F.col("__pairs"), i - 1)["shift"] == x["shift"]) | F.coalesce(F.get(F.col("__pairs"), i + 1)["shift"] == x["shift"], F.lit(False))
+    rows = rows.select(*keep, F.when(F.size("__pairs") == 1, F.lit(1)).otherwise(F.size(F.filter("__pairs", near))).alias("__n"), (F.size(a) + F.size(b) - F.size("__pairs")).alias("__of"))
+    return rows.select(*keep, F.when(F.col("__of") == 0, F.lit(1.0)).otherwise(F.col("__n") / F.greatest("__of", F.lit(1))).alias(name))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -85,7 +109,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(sharding.FIRST)).alias("h"), F.xxhash64("text").alias("id"), F.lit(1.0).alias("size"))
     rows, first = keyed.agg(F.count("*"), F.min(F.struct("h", "id"))).first()
     parts = max(1, min(sharding.MOST_RANGES, rows // RANGE_ROWS + 1))
-    bounds = sharding.quantiles(sharding.draw(keyed, parts * sharding.OVERSAMPLING), parts) if rows else []
+    bounds = sharding.quantiles(sharding.draw(keyed, parts * sharding.OVERSAMPLING, rows), parts) if rows else []
     here = sharding.range_of(bounds)
     dealt = keyed.withColumn("here", here)
     guest_of = F.lit(None).cast("int")
@@ -101,7 +125,9 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: a row for each row.
 
     The edited text has its last quarter (rounded down) replaced by as many first characters, or all, of the next
-    document's; the last document's next is the first.  A null text is empty.  Other columns are not read.
+    document's; the last document's next is the first.  Rows that repeat a doc_id follow one another by a hash of the
+    text.  A null text is empty; an empty one, or one of white space, has an empty fingerprint, and two of these are
+    alike.  Other columns are not read; an empty table gives no rows.
     """
     rows = with_next(docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")))
     within = Window.partitionBy("part").orderBy("guest", "h", "id")
@@ -109,11 +135,18 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     quarter = F.floor(n / 4).cast("int")
     rows = rows.withColumn("next", F.lead("text").over(within))
     rows = rows.select("doc_id", "part", "guest", "h", "id", n.cast("long").alias("n_chars"), unit_hashes(F.col("text")).alias("units"), F.concat(F.substring("text", F.lit(1), n - quarter), F.substring("next", F.lit(1), quarter)).alias("edited"))
-    rows = rows.select("doc_id", "part", "guest", "h", "id", "n_chars", "edited", distinct_anchors(F.col("units")).alias("own"))
+    rows = rows.select("doc_id", "part", "guest", "h", "id", "n_chars", "edited", anchors(F.col("units")).alias("found"))
+    rows = rows.select("doc_id", "part", "guest", "h", "id", "n_chars", "edited", shown("found").alias("fingerprint"), F.sort_array("found").alias("found"))
+    rows = rows.select("doc_id", "part", "guest", "h", "id", "n_chars", "edited", "fingerprint", _first_only("found").alias("own"))
     rows = rows.withColumn("following", F.lead("own").over(within)).filter("guest = 0")
-    rows = rows.select("doc_id", "n_chars", "own", "following", F.sha2("edited", 256).alias("edited_sha256"), unit_hashes(F.col("edited")).alias("units"))
-    rows = rows.select("doc_id", "n_chars", "own", "following", "edited_sha256", distinct_anchors(F.col("units")).alias("other"))
-    return rows.select("doc_id", "n_chars", "edited_sha256", shown("own").alias("fingerprint"), shown("other").alias("edited_fingerprint"), likeness("own", "other").alias("near_edited"), likeness("own", "following").alias("near_next"))
+    head = ["doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint"]
+    rows = rows.select(*head, "own", "following", unit_hashes(F.col("edited")).alias("units"))
+    head = ["doc_id", "n_chars", "edited_sha256", "fingerprint"]
+    rows = rows.select(*head, "own", "following", anchors(F.col("units")).alias("found"))
+    rows = rows.select(*head, "own", "following", shown("found").alias("edited_fingerprint"), F.sort_array("found").alias("found"))
+    rows = rows.select(*head, "edited_fingerprint", "own", "following", _first_only("found").alias("other"))
+    rows = with_likeness(with_likeness(rows, "own", "other", "near_edited"), "own", "following", "near_next")
+    return rows.select(*head, "edited_fingerprint", "near_edited", "near_next")
 
 
 def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,10 @@
 """Operator 4: sharding by sampled splitters.
 
-Records are ordered by (hash of the text, document id), so that equal texts stay together unless a shard ends among
-them.  A sample of keys, each drawn with a chance that grows with its record's size, gives quantile boundaries; they
-part the records into many more ranges than there are shards.  Exact sizes of the ranges, added up, say where each
-begins; ranges that came out overfull are drawn from and divided again.  The shards are then cut at equal shares of the
-bytes, through the range that a cut falls into.
+Records are ordered by (hash of the text, document id, number of the row), so that equal texts stay together unless a
+shard ends among them.  A sample of keys, each drawn with a chance that grows with its record's size, gives quantile
+boundaries; they part the records into many more ranges than there are shards.  Exact sizes of the ranges, added up, say
+where each begins; ranges that came out overfull are drawn from and divided, again and again until none is that has more
+than one key.  The shards are then cut at equal shares of the bytes, through the range that a cut falls into.
 
 Only DataFrame functions are used, and only keys and sizes are shuffled, not texts.
 """
@@ -25,58 +25,81 @@ OVERFULL = 2.0  # times the mean bytes
 FIRST, LAST = -(1 << 63), (1 << 63) - 1
 
 
-def draw(records: DataFrame, n: int) -> list[tuple[int, int]]:
-    """``n`` keys (h, id) at most, drawn without replacement, the chance of a record growing with its size; in order.
+Key = tuple[int, ...]
+
+
+def keys_of(records: DataFrame) -> list[str]:
+    """The columns that make up the key, in order; a number of the row, where there is one, tells repeated rows apart."""
+    return [c for c in ("h", "id", "row") if c in records.columns]
+
+
+def draw(records: DataFrame, n: int, total: float) -> list[Key]:
+    """About ``n`` keys at most, drawn without replacement, the chance of a record growing with its size; in order.
 
     Every record gets the number -ln(u) / size, u from a hash of its key; the records with the least are the sample.
+    ``total``, the sum of the sizes, says below which number about twice ``n`` records lie: only these are ordered.
     """
-    u = (F.pmod(F.xxhash64("h", "id", F.lit(7)), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
-    rows = records.select("h", "id", (-F.log(u) / F.col("size")).alias("number")).orderBy("number", "h", "id").limit(n)
-    return sorted((r[0], r[1]) for r in rows.select("h", "id").collect())
+    keys = keys_of(records)
+    u = (F.pmod(F.xxhash64(*keys, F.lit(7)), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
+    numbered = records.select(*keys, (-F.log(u) / F.col("size")).alias("number")).filter(F.col("number") < F.lit((2.0 * n + 64) / max(total, 1e-9)))
+    return sorted(tuple(r) for r in numbered.orderBy("number", *keys).limit(n).select(*keys).collect())
 
 
-def quantiles(sample: list[tuple[int, int]], parts: int) -> list[tuple[int, int]]:
+def quantiles(sample: list[Key], parts: int) -> list[Key]:
     """At most ``parts`` - 1 boundaries that part the sample evenly."""
     return sorted({sample[len(sample) * i // parts] for i in range(1, parts)}) if sample else []
 
 
-def range_of(bounds: list[tuple[int, int]]) -> Column:
-    """The number of boundaries not above (h, id): a binary search in as many steps as that number has bits."""
+def range_of(bounds: list[Key], keys: tuple[str, ...] | list[str] = ("h", "id")) -> Column:
+    """The number of boundaries not above the key: a binary search in as many steps as that number has bits."""
     if not bounds:
         return F.lit(0)
     bits = len(bounds).bit_length()
-    padded = bounds + [(LAST, LAST)] * ((1 << bits) - len(bounds))
-    hs, ids = (F.split(F.lit(",".join(str(b[i]) for b in padded)), ",").cast("array<bigint>") for i in (0, 1))  # folded to constants
+    padded = bounds + [(LAST,) * len(keys)] * ((1 << bits) - len(bounds))
+    columns = [F.split(F.lit(",".join(str(b[i]) for b in padded)), ",").cast("array<bigint>") for i in range(len(keys))]  # folded to constants
     steps = F.array(*[F.lit(1 << b) for b in reversed(range(bits))])
 
     def step(acc: Column, size: Column) -> Column:
-        h, i = F.get(hs, acc + size - 1), F.get(ids, acc + size - 1)
-        return F.when((h < F.col("h")) | ((h == F.col("h")) & (i <= F.col("id"))), acc + size).otherwise(acc)
+        not_above = F.lit(True)
+        for column, key in reversed(list(zip(columns, keys))):
+            at = F.get(column, acc + size - 1)
+            not_above = (at < F.col(key)) | ((at == F.col(key)) & not_above)
+        return F.when(not_above, acc + size).otherwise(acc)
 
     return F.least(F.aggregate(steps, F.lit(0), step), F.lit(len(bounds)))
 
 
 def divided(records: DataFrame, rows: int) -> DataFrame:
-    """``records`` (h, id, size, ...) with the column ``range``: ranges of (h, id) in order, bounded in size.
+    """``records`` (key columns, size, ...) with the column ``range``: ranges of the key in order, bounded in size.
 
-    Ranges that come out over OVERFULL times the mean are drawn from again, each for itself, and divided; the boundaries
-    are then one longer list.  As ids are part of the key, one text that very many records share is divided too.
+    Ranges that come out over OVERFULL times the mean are drawn from again, each for itself, and divided, until none is
+    left that has more than one key; the boundaries are then one longer list.  As ids and row numbers are part of the
+    key, one text that very many records share is divided too.
     """
+    keys = keys_of(records)
     parts = max(1, min(MOST_RANGES, rows, max(rows // RANGE_ROWS + 1, SHARDS * 4)))
-    bounds = quantiles(draw(records, parts * OVERSAMPLING), parts)
-    sizes = {r[0]: r[1] for r in records.groupBy(range_of(bounds).alias("range")).agg(F.sum("size")).collect()}
-    mean = sum(sizes.values()) / parts
-    full = sorted(r for r, n in sizes.items() if n > OVERFULL * mean)
-    if full:
+    total = records.agg(F.sum("size")).first()[0] or 0
+    bounds = quantiles(draw(records, parts * OVERSAMPLING, total), parts)
+    mean = total / parts
+    whole: set[Key] = set()  # the first keys of ranges that can't be divided
+    while True:
+        edges = [(FIRST,) * len(keys), *bounds]
+        placed = records.withColumn("range", range_of(bounds, keys))
+        ranges = placed.groupBy("range").agg(F.sum("size").alias("size"), F.min(F.struct(*keys)).alias("lo"), F.max(F.struct(*keys)).alias("hi"))
+        full = {r["range"]: r["size"] for r in ranges.filter((F.col("size") > F.lit(OVERFULL * mean)) & (F.col("lo") < F.col("hi"))).collect() if edges[r["range"]] not in whole}
+        if not full:
+            return placed
+        pieces = {r: int(n / mean) + 1 for r, n in full.items()}
+        sample = draw(placed.filter(F.col("range").isin(list(full))), sum(pieces.values()) * OVERSAMPLING, sum(full.values()))
         more = set(bounds)
-        inside = records.withColumn("range", range_of(bounds)).filter(F.col("range").isin(full))
-        sample = draw(inside, sum(int(sizes[r] / mean) + 1 for r in full) * OVERSAMPLING)
-        edges = [(FIRST, FIRST), *bounds, (LAST, LAST)]
         for r in full:
-            own = [k for k in sample if edges[r] <= k < edges[r + 1]]
-            more.update(quantiles(own, int(sizes[r] / mean) + 1))
+            end = bounds[r] if r < len(bounds) else (LAST + 1,) * len(keys)
+            own = [k for k in sample if edges[r] <= k < end]
+            new = set(quantiles(own, pieces[r])) - more - {edges[r]}
+            if not new:
+                whole.add(edges[r])  # what was drawn is all one key, its first
+            more |= new
         bounds = sorted(more)
-    return records.withColumn("range", range_of(bounds))
 
 
 def assign(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -88,8 +111,8 @@ def assign(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str
     than shards some shards are empty.  Other columns are not read.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    records = docs.select(F.col(key).cast("long").alias("doc_id"), (F.octet_length(body).cast("long") + 8).alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.xxhash64(body).alias("h"), F.coalesce(F.col(key).cast("long"), F.lit(FIRST)).alias("id"))
-    records = written(records, "records")
+    records = docs.select(F.col(key).cast("long").alias("doc_id"), (F.octet_length(body).cast("long") + 8).alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.xxhash64(body).alias("h"), F.coalesce(F.col(key).cast("long"), F.lit(FIRST)).alias("id"), F.monotonically_increasing_id().alias("row"))
+    records = written(records, "records")  # from here on a row keeps its number
     rows, total = records.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     placed = divided(records, rows)
 
@@ -97,8 +120,8 @@ def assign(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over ranges, not records
     ranges = placed.groupBy("range").agg(F.sum("size").alias("range_size"), F.count("*").alias("range_rows"))
     ranges = ranges.select("range", F.coalesce(F.sum("range_size").over(before), F.lit(0)).alias("base"), F.coalesce(F.sum("range_rows").over(before), F.lit(0)).alias("base_rows"))
-    within = Window.partitionBy("range").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = placed.withColumn("upto", F.sum("size").over(within)).withColumn("rank", F.row_number().over(Window.partitionBy("range").orderBy("h", "id")))
+    within = Window.partitionBy("range").orderBy("h", "id", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = placed.withColumn("upto", F.sum("size").over(within)).withColumn("rank", F.row_number().over(Window.partitionBy("range").orderBy("h", "id", "row")))
     # the middle of a record says to which shard it belongs
     middle = F.col("base") + F.col("upto") - F.col("size") / 2
     cut = F.least(F.floor(middle * shards / F.lit(max(total, 1))).cast("int"), F.lit(shards - 1))

@@ -42,3 +42,22 @@ def test_written_shards(spark, tmp_path, docs):
     sharding.write_shards(df, sharding.assign(df, 4), str(tmp_path / "s"))
     back = spark.read.parquet(str(tmp_path / "s"))
     assert back.count() == len(docs) and back.select("__shard").distinct().count() == 4
+
+
+def test_repeated_rows_are_divided(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 50)
+    rows = [(None, "same text")] * 4000 + [(i, f"text {i}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check(rows, sharding.assign(df).collect())
+    records = df.select(F.lit(sharding.FIRST).alias("id"), F.xxhash64("text").alias("h"), (F.octet_length("text") + 8).cast("long").alias("size"), F.monotonically_increasing_id().alias("row")).cache()
+    sizes = [r[0] for r in sharding.divided(records, len(rows)).groupBy("range").agg(F.sum("size")).collect()]
+    assert max(sizes) <= sharding.OVERFULL * sum(sizes) / 121
+    # without a number of the row, one key is one range, and the search for a boundary ends
+    assert sharding.divided(records.drop("row"), len(rows)).groupBy("range").count().count() > 10
+
+
+def test_few_large_records(spark):
+    rows = [(i, "x" * (100_000 if i % 100 == 0 else 1)) for i in range(1000)]
+    check(rows, sharding.assign(spark.createDataFrame(rows, "doc_id long, text string")).collect())
