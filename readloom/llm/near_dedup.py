@@ -5,13 +5,19 @@ bits: the count of leading zeros and ten mantissa bits after the first one.  Buc
 filled by further rounds of hashing, a later round counting as greater than any earlier one, so that two sets agree in
 a bucket with a probability of their Jaccard similarity, plus that of two unequal hashes having the same 16 bits.
 
-1. Sets that are equal are one class, kept by its least document; only these representatives go on.
+1. Sets that are equal are one class, kept by its least document; only these representatives go on.  Equal are sets of
+   the same size and the same two sums, each of 64 bits, over hashes of all their shingles.
 2. Bands of ``ROWS`` registers: in each band value the least representative is the root; each other member is paired
    with it.  Pairs whose sizes or whose collision-corrected estimate rule out the threshold are dropped; the rest are
    confirmed on the full sets.  So a group of n near copies costs n pairs, not n^2.
 3. Where members of band values with one root are still in different components, those whose registers leave a link
-   across components possible are compared on their full sets, by an inverted index in blocks of bounded size.  Only
-   links that join components are put out, so that what is shuffled grows with the members, not with their pairs.
+   across components possible are compared on their full sets, by an inverted index.  A root's members are dealt to
+   blocks of bounded size, and members of its largest component meet only blocks of others: with up to a block of
+   others, a member of the largest component travels once.  More others than that travel once for each block of them.
+   Only links that join components are put out.
+
+Full sets are sets of 64-bit hashes of the shingles, not of their words: two different shingles with one hash count as
+one, in a corpus of 10^12 distinct ones with a chance of about 3 % for a single pair of them.
 
 With 42 bands of 6 registers a pair at similarity 0.8 shares no band value with a probability of 3e-6, and the estimate
 (standard deviation 0.025) is held against a bound 0.12 below the threshold.
@@ -33,8 +39,10 @@ from readloom.llm.wordhash import U, Words, blocks, mix, shingle_set
 REGISTERS, ROWS, BANDS = 256, 6, 42
 MANTISSA = 10
 SLACK = 0.12
-BROADCAST_ROWS = 1_000_000  # rows of at most three 64-bit numbers that may be broadcast; beyond, joins shuffle
-BLOCK_ROWS = 512  # members of a band value that are compared at once
+BROADCAST_ROWS = 300_000  # rows of at most three 64-bit numbers that may be broadcast; beyond, joins shuffle
+BLOCK_ROWS = 8192  # members of a root whose registers (4 MB) are compared at once, with those of another block
+BLOCK_BYTES = 8 << 20  # of a root's members' shingle hashes that are compared at once, with those of another block
+SALT_PAIRS = 256  # partners of a root that are confirmed at once
 
 
 def sketch(doc: np.ndarray, h: np.ndarray, n_docs: int) -> np.ndarray:
@@ -110,7 +118,7 @@ def sketches(docs: DataFrame, n_words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, run in blocks([t or "" for t in batch.column(1).to_pylist()]):
+            for start, run in blocks([t or "" for t in batch.column(1).to_pylist()], 1 << 19):
                 doc, h = Words(run, lower=True).shingles(n_words)
                 n = np.bincount(doc, minlength=len(run))
                 sums = np.zeros((2, len(run)), U)
@@ -130,10 +138,10 @@ def _sum(out: np.ndarray, doc: np.ndarray, x: np.ndarray) -> None:
 
 
 def _bands(reps: DataFrame) -> DataFrame:
-    """(band, id, n): the hash of each band's number and registers."""
+    """(band, id): the hash of each band's number and registers."""
     width = 2 * ROWS
     values = [F.xxhash64(F.lit(i), F.substring("registers", i * width + 1, width)) for i in range(BANDS)]
-    return reps.select(F.explode(F.array(*values)).alias("band"), "id", "n")
+    return reps.select(F.explode(F.array(*values)).alias("band"), "id")
 
 
 def _size_ok(a: str, b: str, threshold: float):
@@ -141,10 +149,10 @@ def _size_ok(a: str, b: str, threshold: float):
 
 
 def _estimated(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """The (a, b) of ``pairs`` whose registers don't rule out the threshold."""
+    """The (a, b) of ``pairs`` whose sizes and registers don't rule out the threshold."""
     left = reps.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("registers").alias("r_a"))
     right = reps.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("registers").alias("r_b"))
-    joined = pairs.join(right, "b").join(left, "a")
+    joined = pairs.join(right, "b").join(left, "a").filter(_size_ok("n_a", "n_b", threshold))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,10 +191,11 @@ def _confirmed(pairs: DataFrame, packed: DataFrame, n_words: int, threshold: flo
     """
     import zstandard
 
-    per_salt = 256
-    hot = pairs.groupBy("a").agg(F.count("*").alias("k")).select("a", F.ceil(F.col("k") / per_salt).cast("int").alias("salts"))
-    salted = pairs.join(hot, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.col("b").alias("id"), F.lit(1).alias("side"))
-    roots = hot.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("id"), F.lit(0).alias("side"))
+    many = pairs.groupBy("a").agg(F.count("*").alias("k")).filter(F.col("k") > SALT_PAIRS).select("a", F.ceil(F.col("k") / SALT_PAIRS).cast("int").alias("salts"))
+    many = written(many, "many")  # so that the join can deal the pairs of one root over tasks
+    salted = pairs.join(broadcast_if_small(many, BROADCAST_ROWS), "a", "left")
+    salted = salted.select("a", F.coalesce(F.pmod(F.xxhash64("b"), F.col("salts")), F.lit(0)).cast("int").alias("salt"), F.col("b").alias("id"), F.lit(1).alias("side"))
+    roots = salted.select("a", "salt").distinct().select("a", "salt", F.col("a").alias("id"), F.lit(0).alias("side"))
     need = salted.unionByName(roots)
     rows = need.join(packed, "id").repartition("a", "salt").sortWithinPartitions("a", "salt", "side", "id")
 
@@ -210,16 +219,26 @@ def _confirmed(pairs: DataFrame, packed: DataFrame, n_words: int, threshold: flo
     return rows.select("a", "id", "side", "z").transform(arrow_map, run, "a long, b long")
 
 
-def _block_groups(members: DataFrame, columns: list[str]) -> DataFrame:
-    """``members`` (a, id, ...) dealt into groups (a, x, y) of at most two blocks, in order of group and id.
+def _block_groups(members: DataFrame, columns: list[str], weight, most: int) -> DataFrame:
+    """``members`` (a, id, component, ...) dealt into groups (a, x, y, mine) of at most two blocks, in order.
 
-    The members of ``a`` are dealt to blocks of about BLOCK_ROWS; every pair of blocks is a group, so that every two
-    members meet and no task holds more than two blocks.
+    The largest component of ``a`` is dealt to blocks of about ``most`` of the weight, and so is all the rest; any two
+    blocks of which one is of the rest are a group, and so is each block of the rest.  So every two members of different
+    components meet, no task holds more than two blocks, and members of the largest component are sent once for each
+    block of the rest.
     """
-    size = members.groupBy("a").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    dealt = members.join(size, "a").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    placed = dealt.select("a", "mine", other, *columns).select("a", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), *columns)
+    sizes = members.groupBy("a", "component").agg(F.sum(weight).alias("w"), F.count("*").alias("k"))
+    most_of = F.max(F.struct("k", "component", "w"))
+    plan = sizes.groupBy("a").agg(most_of.alias("top"), F.sum("w").alias("all"))
+    rest = F.col("all") - F.col("top.w")
+    plan = plan.select("a", F.col("top.component").alias("top"), F.when(F.col("all") <= most, 0).otherwise(F.ceil(F.col("top.w") / most)).cast("int").alias("tops"), F.greatest(F.lit(1), F.ceil(rest / most)).cast("int").alias("rests"))
+    plan = written(plan, "plan")  # so that the join can deal the members of one root over tasks
+    dealt = members.join(broadcast_if_small(plan, BROADCAST_ROWS), "a")
+    of_top = (F.col("component") == F.col("top")) & (F.col("tops") > 0)
+    h = F.xxhash64("id")
+    dealt = dealt.withColumn("mine", F.when(of_top, F.pmod(h, F.greatest(F.col("tops"), F.lit(1)))).otherwise(F.col("tops") + F.pmod(h, F.col("rests"))).cast("int"))
+    other = F.explode(F.sequence(F.when(of_top, F.col("tops")).otherwise(F.lit(0)), F.col("tops") + F.col("rests") - 1)).alias("other")
+    placed = dealt.select("a", "mine", other, *columns).select("a", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", *columns)
     return placed.repartition("a", "x", "y").sortWithinPartitions("a", "x", "y", "id")
 
 
@@ -244,30 +263,36 @@ def _suspects(members: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, group in _by_group(batches):
-            ids, n, comp = (np.array([g[i] for g in group]) for i in (3, 4, 5))
-            regs = np.frombuffer(b"".join([g[6] for g in group]), "<u2").reshape(-1, REGISTERS)
+            block, ids, n, comp = (np.array([g[i] for g in group]) for i in (3, 4, 5, 6))
+            regs = np.frombuffer(b"".join([g[7] for g in group]), "<u2").reshape(-1, REGISTERS)
             found = np.zeros(len(ids), bool)
+            within = group[0][1] == group[0][2]
             for i in range(len(ids)):
-                j = np.flatnonzero((comp[i + 1 :] != comp[i]) & (np.minimum(n[i + 1 :], n[i]) >= threshold * np.maximum(n[i + 1 :], n[i]) - 1e-9)) + i + 1
+                may = (comp[i + 1 :] != comp[i]) & (np.minimum(n[i + 1 :], n[i]) >= threshold * np.maximum(n[i + 1 :], n[i]) - 1e-9)
+                if not within:
+                    may &= block[i + 1 :] != block[i]
+                j = np.flatnonzero(may) + i + 1
                 if len(j):
                     j = j[estimate(regs[i], regs[j], n[i], n[j]) >= threshold - SLACK]
                 if len(j):
                     found[i] = found[j] = True
             yield pa.RecordBatch.from_pydict({"a": np.full(int(found.sum()), a), "id": ids[found]})
 
-    return _block_groups(members, ["id", "n", "component", "registers"]).transform(arrow_map, run, "a long, id long").distinct()
+    groups = _block_groups(members, ["id", "n", "component", "registers"], F.lit(1), BLOCK_ROWS)
+    return groups.transform(arrow_map, run, "a long, id long").distinct()
 
 
 def _links_across(members: DataFrame, n_words: int, threshold: float) -> DataFrame:
     """(a, b) links on full sets between components, found by an inverted index of each group; not all, but as many as
-    join the components.  ``members``: a, id, component, z (compressed text)."""
+    join the components.  ``members``: a, id, n, component, z (compressed text)."""
     import zstandard
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = zstandard.ZstdDecompressor()
         for _, group in _by_group(batches):
-            ids, comp = [g[3] for g in group], [g[4] for g in group]
-            sets = [shingle_set(d.decompress(g[5]).decode("utf-8", "surrogatepass"), n_words) for g in group]
+            block, ids, comp = [g[3] for g in group], [g[4] for g in group], [g[5] for g in group]
+            within = group[0][1] == group[0][2]
+            sets = [shingle_set(d.decompress(g[6]).decode("utf-8", "surrogatepass"), n_words) for g in group]
             size = np.array([len(x) for x in sets])
             owner = np.repeat(np.arange(len(sets)), size)
             value, number = np.unique(np.concatenate(sets), return_inverse=True)
@@ -284,7 +309,7 @@ def _links_across(members: DataFrame, n_words: int, threshold: float) -> DataFra
             out: list[tuple[int, int]] = []
             for i in range(len(sets)):
                 mine = of(comp[i])
-                later = np.array([j > i and of(c) != mine for j, c in enumerate(comp)])
+                later = np.array([j > i and (within or block[j] != block[i]) and of(c) != mine for j, c in enumerate(comp)])
                 if not later.any():
                     continue
                 count = np.bincount(np.concatenate([owner[edge[k] : edge[k + 1]] for k in own[i].tolist()]), minlength=len(sets))
@@ -295,7 +320,8 @@ def _links_across(members: DataFrame, n_words: int, threshold: float) -> DataFra
                         out.append((ids[i], ids[j]))
             yield pa.RecordBatch.from_pydict({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
 
-    return _block_groups(members, ["id", "component", "z"]).transform(arrow_map, run, "a long, b long")
+    groups = _block_groups(members, ["id", "component", "z"], 8 * F.col("n"), BLOCK_BYTES)
+    return groups.transform(arrow_map, run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n_words: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -304,7 +330,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n_
     Words are lower-cased (A-Z).  A document without words, or with a null text, has no shingles and is its own
     component; one with fewer than ``n_words`` words has all of them as its one shingle.  Rows that repeat a doc_id
     are one document if their texts are equal; with different texts the id joins their components.  A null doc_id is
-    linked with nothing and kept.  Other columns are not read.
+    linked with nothing and kept.  Other columns are not read; an empty table gives no rows.
     """
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sk = written(sketches(docs, n_words), "sketches")
@@ -313,29 +339,35 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n_
     keys = ["n", "s0", "s1"]
     shared = written(real.groupBy(*keys).agg(F.min("doc_id").alias("id"), F.count("*").alias("k")).filter("k > 1").drop("k"), "classes")
     named = real.join(broadcast_if_small(shared, BROADCAST_ROWS), keys, "left").withColumn("id", F.coalesce("id", "doc_id"))
-    same = written(named.select("doc_id", "id"), "same")
+    same = written(named.filter("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b")), "same")
     reps = written(named.filter("doc_id = id").dropDuplicates(["id", *keys]).select("id", "n", "registers"), "representatives")
     texts = docs.filter("doc_id is not null")
 
     bands = _bands(reps)
-    roots = bands.groupBy("band").agg(F.min(F.struct("id", "n")).alias("root"), F.count("*").alias("k")).filter("k > 1").select("band", "root.*").toDF("band", "a", "n_a")
+    roots = bands.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("k")).filter("k > 1").select("band", "a")
     roots = written(roots, "roots")
-    members = written(bands.join(broadcast_if_small(roots, BROADCAST_ROWS), "band").select("a", "n_a", "id", "n").distinct(), "members")
-    crowd = written(members.select("id").distinct(), "crowd")
-    packed = written(_packed(texts, broadcast_if_small(crowd, BROADCAST_ROWS)), "texts")
-    starred = members.filter((F.col("id") != F.col("a")) & _size_ok("n", "n_a", threshold)).select("a", F.col("id").alias("b"))
+    members = written(bands.join(broadcast_if_small(roots, BROADCAST_ROWS), "band").select("a", "id").distinct(), "members")
+    packed = written(_packed(texts, broadcast_if_small(members.select("id"), BROADCAST_ROWS)), "texts")
+    starred = members.filter("id <> a").select("a", F.col("id").alias("b"))
     stars = written(_confirmed(written(_estimated(starred, reps, threshold), "candidates"), packed, n_words, threshold), "links")
-
-    # what is left: members of one band value, whose root they are listed by, in different components
-    label = components(stars)
-    listed = written(members.select("a", "id", "n").join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "listed")
-    mixed = listed.groupBy("a").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("a")
-    open_ = listed.join(mixed, "a").join(reps.select("id", "registers"), "id")
-    suspects = written(_suspects(open_.select("a", "id", "n", "component", "registers"), threshold), "suspects")
-    more = written(_links_across(suspects.join(listed.select("a", "id", "component").distinct(), ["a", "id"]).join(packed, "id").select("a", "id", "component", "z"), n_words, threshold), "links")
-    links = stars.union(more).union(same.select(F.col("id").alias("a"), F.col("doc_id").alias("b")))
-    found = components(links)
-    out = sk.select("doc_id", F.col("n").alias("n_shingles")).join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    label = components(stars.union(same))
+
+    # what is left: members of band values with one root, in different components
+    listed = members.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    listed = written(listed.select("a", "id", "component"), "listed")
+    mixed = written(listed.groupBy("a").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("a"), "mixed")
+    open_ = listed.join(broadcast_if_small(mixed, BROADCAST_ROWS), "a").join(reps, "id").select("a", "id", "n", "component", "registers")
+    suspects = written(_suspects(open_, threshold), "suspects")
+    full = suspects.join(listed, ["a", "id"]).join(reps.select("id", "n"), "id").join(packed, "id")
+    more = _links_across(full.select("a", "id", "n", "component", "z"), n_words, threshold)
+    # links between components join these
+    named_by = lambda name: label.select(F.col("node").alias(name), F.col("component").alias(f"c_{name}"))
+    more = written(more.join(named_by("a"), "a", "left").join(named_by("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")), "links")
+    found = sk.select("doc_id", "n").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    if not more.isEmpty():
+        further = components(more).select(F.col("node").alias("component"), F.col("component").alias("further"))
+        found = found.join(further, "component", "left").withColumn("component", F.coalesce("further", "component"))
+    out = found.select("doc_id", F.col("n").alias("n_shingles"), "component")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 

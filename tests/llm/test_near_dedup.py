@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from readloom.llm import near_dedup
 from readloom.llm.wordhash import Words, shingle_set
@@ -31,6 +32,44 @@ def test_chains_and_crowded_families(spark):
         compare(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), n_words=n), rows, n)
 
 
+def families(r, n, width, edits, places):
+    """Edits of one text that put many pairs just above and just below the threshold."""
+    base = [f"w{i}" for i in range(width)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(r.randint(0, edits)):
+            w[r.randrange(width)] = f"v{r.randint(0, places)}"
+        rows.append((5000 - i, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("rows_at_once, bytes_at_once, broadcast, salt", [(4, 2000, 0, 3), (4, 1 << 20, 10**6, 256), (40, 8000, 0, 1)])
+def test_many_small_blocks_and_no_broadcast(spark, monkeypatch, rows_at_once, bytes_at_once, broadcast, salt):
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", rows_at_once)
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", bytes_at_once)
+    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(near_dedup, "SALT_PAIRS", salt)
+    rows = families(random.Random(9), 120, 60, 6, 12)
+    compare(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), n_words=2), rows, 2)
+
+
+def test_rows_sent_are_in_proportion_to_the_members(spark, monkeypatch):
+    """A root's members: one large component and 40 others.  Only then is a group of blocks larger than its members."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 512)
+    for n in (1000, 4000, 16000):
+        members = spark.range(n).select(F.lit(0).alias("a"), "id", F.when(F.col("id") < 40, F.col("id")).otherwise(40).alias("component"))
+        groups = near_dedup._block_groups(members, ["id"], F.lit(1), near_dedup.BLOCK_ROWS)
+        sent = groups.count()
+        assert n <= sent <= n + 40 * (n // 512 + 2)
+        assert groups.groupBy("a", "x", "y").count().agg(F.max("count")).first()[0] <= 2 * 512 * 1.25
+    alone = spark.range(3000).select(F.lit(0).alias("a"), "id", F.col("id").alias("component"))
+    met = near_dedup._block_groups(alone, ["id"], F.lit(1), near_dedup.BLOCK_ROWS).select("x", "y", "id")
+    assert met.alias("l").join(met.alias("r"), ["x", "y"]).select(F.col("l.id"), F.col("r.id")).distinct().count() == 3000 * 3000
+
+
 def test_estimate_is_unbiased_for_large_and_small_sets():
     r = random.Random(1)
     for size in (6, 60, 2000):
