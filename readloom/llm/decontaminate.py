@@ -12,11 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from readloom.llm.common import ascii_lower, table, written
+from readloom.llm.common import ascii_lower, broadcast_if_small, table, written
 
 WINDOW = 13
 LISTS = 2  # posting lists that are intersected for a window, the rarest terms'
-BROADCAST_TERMS = 200_000  # distinct test terms that may be broadcast; beyond, they are joined by shuffling
+BROADCAST_TERMS = 200_000  # rows of terms, lookups, windows or item sets that may be broadcast; beyond, joins shuffle
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -26,6 +26,11 @@ def words_of(text: str) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
+def id_of(window: str) -> Column:
+    """The 32 bytes that stand for a window: the SHA-256 of its words, which hold no spaces, joined by one."""
+    return F.unhex(F.sha2(F.array_join(window, " "), 256))
+
+
 def windows_of(items: DataFrame, key: str = "item_id", text: str = "text", n: int = WINDOW) -> DataFrame:
     """(item, window: array of words) of every item; an item of fewer than ``n`` words, but not none, is one window."""
     words = items.select(F.col(key).cast("string").alias("item"), words_of(text).alias("words")).filter("size(words) > 0")
@@ -45,20 +50,20 @@ class PositionalIndex:
         self.postings: DataFrame | None = None
         self.stored: DataFrame | None = None
 
-    def _look(self, rows: DataFrame, terms: DataFrame, how: str = "inner") -> DataFrame:
-        small = terms.count() <= BROADCAST_TERMS
-        return rows.join(F.broadcast(terms) if small else terms, "term", how)
-
     def frequencies(self) -> DataFrame:
         """(term, df) over all documents; a term that no document has is missing."""
         rows = self.docs.select(F.explode(F.array_distinct(words_of("text"))).alias("term"))
-        return self._look(rows, self.terms.select("term").distinct()).groupBy("term").agg(F.count("*").alias("df"))
+        terms = written(self.terms.select("term").distinct(), "terms")
+        if terms.count() <= BROADCAST_TERMS:
+            return rows.join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("df"))
+        # counted before they are joined: no task gets all the rows of a common word
+        return rows.groupBy("term").agg(F.count("*").alias("df")).join(terms, "term", "left_semi")
 
     def store(self, terms: DataFrame) -> DataFrame:
         """Writes and returns the postings of ``terms``."""
-        self.stored = terms.select("term").distinct()
+        self.stored = written(terms.select("term").distinct(), "terms")  # so that the join can deal a common word over tasks
         rows = self.docs.filter("doc is not null").select("doc", F.posexplode(words_of("text")).alias("pos", "term"))
-        self.postings = written(self._look(rows, self.stored).select("term", "doc", "pos"), "postings")
+        self.postings = written(rows.join(broadcast_if_small(self.stored, BROADCAST_TERMS), "term").select("term", "doc", "pos"), "postings")
         return self.postings
 
     def phrase_starts(self, lookups: DataFrame) -> DataFrame:
@@ -68,7 +73,7 @@ class PositionalIndex:
         the window has).  The rarest term's list comes first; each further list is intersected after its offset is
         taken away.
         """
-        lists = self.postings.join(F.broadcast(lookups) if lookups.count() <= BROADCAST_TERMS else lookups, "term")
+        lists = self.postings.join(broadcast_if_small(lookups, BROADCAST_TERMS), "term")
         starts = lists.select("window_id", "doc", (F.col("pos") - F.col("off")).alias("start"), "rank", "lists").filter("start >= 0")
         found = starts.filter("rank = 0").drop("rank")
         for rank in range(1, LISTS):
@@ -100,7 +105,7 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     not read.  Contaminated: n_hit > 0 and ``share`` * n_hit >= n_words.
     """
     windows = written(windows_of(items.filter(F.col(item_key).isNotNull()), item_key, item_text, n), "windows")
-    phrases = windows.select("window").distinct().select(F.sha2(F.array_join("window", " "), 256).alias("window_id"), "window")
+    phrases = windows.select("window").distinct().select(id_of("window").alias("window_id"), "window")
     terms = phrases.select(F.explode("window").alias("term")).distinct()
     index = PositionalIndex(docs, terms, key, text)
     df = written(index.frequencies(), "frequencies")
@@ -116,24 +121,26 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     index.store(lookups)
     starts = index.phrase_starts(lookups)
 
-    # a document's possible starts travel to it; what they must equal too
-    asked = starts.join(phrases, "window_id").groupBy("doc").agg(F.collect_list(F.struct("start", "window_id", "window")).alias("asked"))
+    # a document's possible starts travel to it, each with its window's length and SHA-256, which the words there must have
+    lengths = phrases.select("window_id", F.size("window").cast("byte").alias("len") if n < 128 else F.size("window").alias("len"))
+    asked = starts.join(broadcast_if_small(written(lengths, "lengths"), BROADCAST_TERMS), "window_id").groupBy("doc").agg(F.collect_list(F.struct("start", "len", "window_id")).alias("asked"))
     base = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     both = base.join(asked, "doc", "left").select("doc", words_of("text").alias("words"), "asked")
-    right = lambda c: F.slice(F.col("words"), c["start"] + 1, F.size(c["window"])) == c["window"]
-    hits = F.array_sort(F.transform(F.filter("asked", right), lambda c: F.struct(c["start"].alias("a"), (c["start"] + F.size(c["window"])).alias("b"), c["window_id"].alias("w"))))
+    # slice() gives fewer words where the text ends before the window does; their hash is another
+    right = lambda c: F.unhex(F.sha2(F.array_join(F.slice(F.col("words"), c["start"] + 1, c["len"].cast("int")), " "), 256)) == c["window_id"]
+    hits = F.array_sort(F.transform(F.filter("asked", right), lambda c: F.struct(c["start"].alias("a"), (c["start"] + c["len"].cast("int")).alias("b"), c["window_id"].alias("w"))))
     step = lambda acc, c: F.struct((acc["n"] + F.greatest(F.lit(0), c["b"] - F.greatest(c["a"], acc["end"]))).alias("n"), F.greatest(acc["end"], c["b"]).alias("end"))
-    judged = both.select("doc", F.size("words").cast("long").alias("n_words"), F.coalesce(hits, F.array().cast("array<struct<a:int,b:int,w:string>>")).alias("hits"))
+    judged = both.select("doc", F.size("words").cast("long").alias("n_words"), F.coalesce(hits, F.array().cast("array<struct<a:int,b:int,w:binary>>")).alias("hits"))
     judged = judged.select("doc", "n_words", F.aggregate("hits", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), step)["n"].cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.transform("hits", lambda c: c["w"]))).alias("found"))
-    judged = written(judged.withColumn("set", F.sha2(F.array_join("found", ","), 256)), "judged")
+    judged = written(judged.withColumn("set", F.sha2(F.array_join(F.transform("found", lambda w: F.hex(w)), ","), 256)), "judged")
 
     # the items of the windows that were found, by set of windows: few sets, however many documents have them
-    named = windows.select(F.sha2(F.array_join("window", " "), 256).alias("window_id"), "item")
+    named = windows.select(id_of("window").alias("window_id"), "item")
     sets = judged.filter("size(found) > 0").select("set", "found").distinct().select("set", F.explode("found").alias("window_id"))
-    items_of = sets.join(named, "window_id").groupBy("set").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    # most documents have none: they don't meet in one task for the sake of an empty set
+    items_of = written(sets.join(named, "window_id").groupBy("set").agg(F.array_sort(F.collect_set("item")).alias("items")), "items")
+    # most documents have none: they don't meet in one task for the sake of an empty set; those of one passage neither
     none = judged.filter("size(found) = 0").withColumn("items", F.lit(None).cast("array<string>"))
-    judged = judged.filter("size(found) > 0").join(items_of, "set", "left").unionByName(none)
+    judged = judged.filter("size(found) > 0").join(broadcast_if_small(items_of, BROADCAST_TERMS // 10), "set", "left").unionByName(none)
     listed = F.coalesce("items", F.array().cast("array<string>"))
     return judged.select(
         F.col("doc").alias("doc_id"),

@@ -25,6 +25,17 @@ def test_repeated_terms_short_items_and_ties(spark):
     assert got(out) == sorted(brute.contaminated(rows, items), key=str)
 
 
+@pytest.mark.parametrize("bound", [0, 200_000])
+def test_a_passage_in_half_of_the_rows_and_no_broadcast(spark, monkeypatch, bound):
+    monkeypatch.setattr(decontaminate, "BROADCAST_TERMS", bound)
+    r = random.Random(5)
+    word = lambda: r.choice(["the", "of", f"w{r.randrange(50)}"])
+    items = [(f"i{k}", " ".join(word() for _ in range(r.choice([3, 13, 14, 40])))) for k in range(12)]
+    rows = [(i, " ".join([*[word() for _ in range(20)], items[3][1] if i % 2 else items[r.randrange(12)][1][: r.randrange(200)], *["the"] * (i % 5)])) for i in range(120)]
+    out = decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"))
+    assert got(out) == sorted(brute.contaminated(rows, items), key=str)
+
+
 def test_odd_rows(spark, odd, odd_rows):
     items = [(1, "the cat the cat the"), (2, "日本語のテキスト"), (2, "one")]
     table = spark.createDataFrame(items, "item_id long, text string")
