@@ -12,7 +12,8 @@ A window is ``WINDOW`` consecutive words.  A word goes if a window over it also
    from each hit the match is extended word by word over passage and document, and a match of at least a window counts.
 
 So hashes only choose what is looked for: a word is removed only where it equals, in its window, the words of an
-earlier document.  Documents whose text equals an earlier one's are decided by that and take no part in 1 to 3.
+earlier document.  The exception are texts that equal an earlier one's by length and SHA-256: all their windows are the
+earlier one's, so that they are decided by that alone and take no part in 1 to 3.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ from readloom.llm.wordhash import Words, blocks
 
 WINDOW, ANCHOR = 13, 7
 SHARD_BYTES = 24 << 20  # text of a shard, about
-BROADCAST = 2_000_000  # anchors (8 bytes each) that may be broadcast; beyond, they are joined by shuffling
+PARTITION_BYTES = 192 << 20  # of a partition, about, which has several shards one after the other
+BROADCAST = 2_000_000  # anchors, or ids of copies (8 bytes each), that may be broadcast; beyond, they are joined by shuffling
 
 
 class Windows:
@@ -249,24 +251,31 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     spark = docs.sparkSession
     known = docs.filter("doc_id is not null")
     # texts that equal an earlier document's
-    digest = written(known.select("doc_id", F.md5("text").alias("md5"), F.octet_length("text").alias("bytes")), "digests")
-    once = digest.groupBy("doc_id").agg(F.count("*").alias("rows"), F.first("md5").alias("md5"), F.first("bytes").alias("bytes"))
-    first = digest.groupBy("md5", "bytes").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
+    digest = written(known.select("doc_id", F.unhex(F.sha2("text", 256)).alias("sha"), F.octet_length("text").alias("bytes")), "digests")
+    once = digest.groupBy("doc_id").agg(F.count("*").alias("rows"), F.first("sha").alias("sha"), F.first("bytes").alias("bytes"))
+    first = digest.groupBy("sha", "bytes").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
     first = written(first, "texts")  # so that the join can deal a text of very many documents over tasks
-    copies = written(once.filter("rows = 1").join(first, ["md5", "bytes"]).filter("first < doc_id").select(F.col("doc_id").alias("doc")), "copies")
+    copies = written(once.filter("rows = 1").join(first, ["sha", "bytes"]).filter("first < doc_id").select(F.col("doc_id").alias("doc")), "copies")
     total = digest.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // SHARD_BYTES)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(tasks, total // SHARD_BYTES)
+    parts = max(tasks, total // PARTITION_BYTES)
 
-    anchors = written(_anchors(known, n, k), "anchors")  # read twice: once to find those that recur, once where they are
+    few = copies.count() <= BROADCAST
+    new = known.join(F.broadcast(copies), F.col("doc_id") == F.col("doc"), "left_anti") if few else known
+    anchors = written(_anchors(new, n, k), "anchors")  # read twice: once to find those that recur, once where they are
     common = written(anchors.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("h"), "common")
     small = common.count() <= BROADCAST
-    held = anchors.join(F.broadcast(common) if small else common, "h").join(copies, "doc", "left_anti")
-    held = held.groupBy("doc").agg(F.collect_set("h").alias("hs"))  # of one document at most its own anchors
-    packed = _pack(known, "doc_id, text", "doc long, z binary")
+    held = anchors.join(F.broadcast(common) if small else common, "h")
+    held = (held if few else held.join(copies, "doc", "left_anti")).groupBy("doc").agg(F.collect_set("h").alias("hs"))  # of one document at most its own anchors
+    held = written(held, "held")
+    asked = known.join(F.broadcast(held.select("doc")), F.col("doc_id") == F.col("doc"), "left_semi") if held.count() <= BROADCAST else known
+    packed = _pack(asked, "doc_id, text", "doc long, z binary")
     found = written(_candidates(packed.join(held, "doc").select("doc", "z", "hs"), n, k), "windows")
 
     windows = found.select(F.explode("windows").alias("w"), "doc")
     owners = windows.groupBy("w").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("w", "first")
+    owners = written(owners, "owners")  # so that the join can deal a window of very many documents over tasks
     shard = F.pmod(F.xxhash64("doc"), F.lit(shards)).cast("int")
     seen = windows.join(owners, "w").filter("doc > first").select(shard.alias("shard"), F.col("first").alias("doc"), "w").distinct()
     wanted = seen.groupBy("shard", "doc").agg(F.collect_list("w").alias("ws"))
@@ -274,7 +283,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
 
     marks = copies.select(shard.alias("shard"), F.lit(1).alias("kind"), F.col("doc").alias("id"), F.lit(None).cast("binary").alias("payload"))
     stream = _pack(docs, "doc_id, text", "doc long, z binary").select(shard.alias("shard"), F.lit(2).alias("kind"), F.col("doc").alias("id"), F.col("z").alias("payload"))
-    rows = passages.unionByName(marks).unionByName(stream).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+    rows = passages.unionByName(marks).unionByName(stream).repartition(parts, "shard").sortWithinPartitions("shard", "kind")
     return _located(rows, n, keep_text)
 
 

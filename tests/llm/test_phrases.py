@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from readloom.llm import phrases
 from tests.llm import brute
 
@@ -26,6 +28,16 @@ def test_shared_passages_periods_and_repeated_ids(spark):
         assert sorted(map(tuple, got.collect())) == sorted(brute.repeats(rows))
 
 
+@pytest.mark.parametrize("bound", [0, 10**6])
+def test_a_passage_in_half_of_the_rows_many_shards_and_no_broadcast(spark, monkeypatch, bound):
+    monkeypatch.setattr(phrases, "BROADCAST", bound)
+    monkeypatch.setattr(phrases, "SHARD_BYTES", 700)
+    rows = made(11)
+    rows += [(100 + i, f"{rows[7][1]} own{i} " + "the common passage that stands in half of all rows and is longer than a window " * (1 + i % 2)) for i in range(60)] + [(300 + i, rows[7][1]) for i in range(9)]
+    got = phrases.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), keep_text=False)
+    assert sorted(map(tuple, got.collect())) == sorted(brute.repeats(rows))
+
+
 def test_odd_rows(odd, odd_rows):
     out = phrases.remove_repeats(odd)
     got = out.collect()
