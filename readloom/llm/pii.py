@@ -12,7 +12,9 @@ Base kinds, each leftmost and non-overlapping, a match that fails its test dropp
 
 Added kinds, which never take a base span's place: ``iban`` (a cue, then an account number whose check digits hold),
 ``account`` (a cue, then 8 to 17 digits), ``secret`` (the quoted or assigned value after a cue such as ``token =``, or
-what follows ``Bearer``, at least 16 characters with a digit among them) and ``login`` (user and password of a URL).
+what follows ``Bearer``, at least 16 characters with a digit among them), ``login`` (user and password of a URL) and
+``key`` (what shows by its own beginning that it is a credential: keys with a vendor's prefix, signed web tokens, private
+key blocks).  A cue or prefix must not follow a letter or digit.  URLs without a login and postal addresses are no spans.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from readloom.llm.common import arrow_map, table
 
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("iban", "account", "secret", "login")
+ADDED = ("iban", "account", "secret", "login", "key")
 KINDS = BASE + ADDED
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -39,17 +41,24 @@ _ip = re.compile(r"[0-9]+(?:\.[0-9]+){3}").match
 _card = re.compile(r"[0-9](?:[ -]?[0-9])+").match
 _phone = re.compile(r"\+[0-9][ ().0-9-]+[0-9]").match
 _iban = re.compile(r"(?:[ \t]*(?:number|no\.?|nr\.?))?[ \t]*[:=#]?[ \t]*([A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]){11,30})", re.I).match
-_account = re.compile(r"[ \t]*(?:number|no\.?|nr\.?)?[ \t]*[:=#][ \t]*([0-9](?:[ -]?[0-9]){7,16})(?![0-9])", re.I).match
+_account = re.compile(r"(?:[ \t]*(?:number|no\.?|nr\.?)[ \t]*[:=#]?|[ \t]*[:=#])[ \t]*([0-9](?:[ -]?[0-9]){7,16})(?![0-9])", re.I).match
 _secret = re.compile(r"""["']?[ \t]*[:=][ \t]*(["']?)([A-Za-z0-9_/+.=-]{16,})(?![A-Za-z0-9_/+.=-])\1""").match
 _bearer = re.compile(r"""(?:["']?[ \t]*[:=][ \t]*|[ \t]+)(["']?)([A-Za-z0-9_/+.~=-]{16,})(?![A-Za-z0-9_/+.~=-])\1""").match
 _login = re.compile(r"([^\s/?#@:\"'<>]+:[^\s/?#@\"'<>]+)@[A-Za-z0-9.-]+").match
 
-#: Cue words, in lower case and found in any; their first letter must not follow a letter or digit.
+_key = re.compile(
+    r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[0-9A-Za-z]{36,}|github_pat_[0-9A-Za-z_]{22,}|sk[-_](?=[0-9A-Za-z_-]*[0-9])[0-9A-Za-z_-]{20,}|xox[abeoprs]-[0-9A-Za-z-]{10,}"
+    r"|AIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-])|eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}"
+    r"|-----BEGIN (?:[0-9A-Z]+ )*PRIVATE KEY(?: BLOCK)?-----(?:\s+[0-9A-Za-z+/=]{16,})*(?:(?:\s+[0-9A-Za-z+/=]{1,15})?\s*-----END [0-9A-Z ]+-----)?"
+).match
+
+#: Cue words and prefixes, in lower case and found in any; what may follow says more.  Fixed values.
 CUES = {
     "iban": ("iban",),
     "account": ("account", "acct", "konto", "cuenta", "compte"),
     "secret": ("token", "password", "passwd", "secret", "api_key", "apikey", "api-key", "access_key", "bearer"),
     "login": ("://",),
+    "key": ("akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "sk-", "sk_", "xox", "aiza", "eyj", "-----begin "),
 }
 
 
@@ -76,7 +85,7 @@ def anchors() -> ahocorasick.Automaton:
     found.add_word("+", "+")
     for kind, words in CUES.items():
         for w in words:
-            found.add_word(w, kind)
+            found.add_word(w, (kind, len(w)))
     found.make_automaton()
     return found
 
@@ -117,9 +126,18 @@ def find(text: str) -> list[tuple[str, int, int]]:
                 past["phone"] = m.end()
                 if 8 <= sum("0" <= c <= "9" for c in m[0]) <= 15:
                     out["phone"].append(("phone", last, m.end()))
-        elif last >= past[kind]:
-            bearer = kind == "secret" and text[max(0, last - 5) : last + 1].lower() == "bearer"
-            m = _bearer(text, last + 1) if bearer else {"iban": _iban, "account": _account, "secret": _secret, "login": _login}[kind](text, last + 1)
+        else:
+            kind, length = kind
+            start = last + 1 - length
+            if start < past[kind] or (kind != "login" and start and text[start - 1].isalnum()):
+                continue
+            if kind == "key":
+                if m := _key(text, start):
+                    out["key"].append(("key", start, m.end()))
+                    past["key"] = m.end()
+                continue
+            parse = _bearer if text[start : last + 1].lower() == "bearer" else {"iban": _iban, "account": _account, "secret": _secret, "login": _login}[kind]
+            m = parse(text, last + 1)
             if not m:
                 continue
             g = 2 if kind == "secret" else 1
