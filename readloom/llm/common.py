@@ -2,37 +2,28 @@
 
 from __future__ import annotations
 
-import os
-import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.sources.shared import shared_dir
+from readloom.sources.files import filesystem  # noqa: F401
+from readloom.sources.shared import fresh_path as fresh_dir  # noqa: F401
+from readloom.sources.shared import written  # noqa: F401
 
+BATCH_ROWS = 1000  # rows that are worked on at once, at most: texts are long, and a batch is held several times over
 
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A new, so far unused, path below the shared folder."""
-    return f"{shared_dir(spark)}/readloom-{name}-{uuid.uuid4().hex}"
 
+def arrow_map(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)``, where ``run`` gets batches of at most BATCH_ROWS rows, cut from those Spark sends."""
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: it cuts the lineage and outlives a lost executor."""
-    spark = df.sparkSession
-    path = fresh_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-BATCH_ROWS = 1000  # rows of an Arrow batch at most: texts are long, and a batch is held several times over
-
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                yield batch.slice(at, BATCH_ROWS)
 
-def arrow_map(df: DataFrame, run, schema) -> DataFrame:
-    """``df.mapInArrow(run, schema)`` with batches of at most BATCH_ROWS rows, set for the session where it allows more."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lambda batches: run(cut(batches)), schema)
 
 
 def broadcast_if_small(written_table: DataFrame, most: int) -> DataFrame:
@@ -40,13 +31,6 @@ def broadcast_if_small(written_table: DataFrame, most: int) -> DataFrame:
     return F.broadcast(written_table) if written_table.count() <= most else written_table
 
 
-def filesystem(uri: str):
-    """(file system, path) of a URI, for binary files that Spark has no writer for."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + os.path.abspath(uri))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -19,6 +19,7 @@ from readloom.llm.common import arrow_map, table
 
 CELLS = 1 << 17  # trigrams are hashed into so many cells
 TRAIN_DOCS = 4000  # documents of a language to learn from, about; all if there are fewer
+MOST_LANGS = 256  # languages of a model, which is broadcast with half a megabyte for each; more raise ValueError
 UNIT = 16  # letters of a word at most; longer ones count as several
 BLOCK = 1 << 20  # characters that are worked on at once
 ROUNDS, AGAIN = 6, 4  # of expectation-maximisation, with all languages and with each smaller set
@@ -151,21 +152,25 @@ class Mixture:
         return out
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = TRAIN_DOCS) -> Mixture:
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = TRAIN_DOCS, key: str = "doc_id") -> Mixture:
     """Learns from the rows of ``labelled`` with a text and a language, about ``per_language`` of each language.
 
-    Which rows: those with the smallest hashes of the text, by a threshold for each language.  The counts are summed on
-    the executors; the driver gets one table of ``CELLS`` counts for each language.
+    Which rows: those with the smallest hashes of text and ``key`` (where that is a column), by a threshold for each
+    language, so that copies of one text are neither all taken nor all left.  The counts are summed on the executors;
+    the driver gets one table of ``CELLS`` counts for each language.
     """
-    rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text is not null and lang is not null")
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    own = [F.col(key)] if key in labelled.columns else []
+    rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(text), *own).alias("h")).filter("text is not null and lang is not null")
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().limit(MOST_LANGS + 1).collect()}
+    if len(sizes) > MOST_LANGS:
+        raise ValueError(f"there are more than {MOST_LANGS} languages in {lang}")
     langs = sorted(sizes)
     if not langs:
         return Mixture([], np.zeros((0, CELLS)))
     share = F.lit(1.0)
     for name, n in sizes.items():
         share = F.when(F.col("lang") == name, F.lit(min(1.0, per_language / n))).otherwise(share)
-    picked = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))
+    picked = rows.filter(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)).select("text", "lang")
     number = {name: i for i, name in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,10 @@
+import math
+import random
 import zlib
 
+import numpy as np
+import pytest
+
 from readloom.llm import langid
 
 
@@ -36,3 +41,61 @@ def test_nothing_to_learn(spark, odd):
 def test_model_does_not_read_held_out_rows(spark):
     rows = [(i, "aaa bbb", "x") for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 0]
     assert langid.learned(spark.createDataFrame(rows, "doc_id long, text string, lang string")).langs == []
+
+
+def plain(model, text):
+    """Proportions by EM and the set by penalised likelihood, word by word, as the module says."""
+    words = [w for w in "".join(c.lower() if c.isalpha() else " " for c in text).split()]
+    words = [w[i : i + langid.UNIT] for w in words for i in range(0, len(w), langid.UNIT)]
+    if not words:
+        return "und", {}
+    k, ll = len(model.langs), model._likelihoods([text])[0].tolist()
+    assert len(ll) == len(words)
+
+    def em(pi, rounds):
+        for _ in range(rounds):
+            sums = [0.0] * k
+            for row in ll:
+                top = max(row)
+                r = [math.exp(x - top) * q for x, q in zip(row, pi)]
+                sums = [s + x / sum(r) for s, x in zip(sums, r)]
+            pi = [s / len(ll) for s in sums]
+        return pi, sum(max(row) + math.log(sum(math.exp(x - max(row)) * q for x, q in zip(row, pi))) for row in ll)
+
+    pi, _ = em([1 / k] * k, langid.ROUNDS)
+    order = sorted(range(k), key=lambda j: -pi[j])
+    best, score = [float(j == order[0]) for j in range(k)], sum(row[order[0]] for row in ll)
+    for size in range(2, k + 1):
+        if pi[order[size - 1]] < langid.LEAST:
+            break
+        total = sum(pi[j] for j in order[:size])
+        fit, value = em([pi[j] / total if j in order[:size] else 0.0 for j in range(k)], langid.AGAIN)
+        value -= (size - 1) * (0.5 * math.log(max(len(ll), 2)) + 2.0)
+        if value > score:
+            best, score = fit, value
+    return model.langs[max(range(k), key=lambda j: best[j])], {model.langs[j]: x for j, x in enumerate(best) if x > 0}
+
+
+def test_mixture_is_that_of_the_plain_form(spark, docs):
+    by_lang = {}
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
+        if r.text and r.lang:
+            by_lang.setdefault(r.lang, []).append(r.text[:400])
+    rows = [(i, t, lang) for lang, texts in by_lang.items() for i, t in enumerate(texts[:12])]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    r = random.Random(2)
+    texts = [" ".join(r.choice(by_lang[lang])[: r.randrange(20, 300)] for lang in r.choices(list(by_lang), k=r.randrange(1, 4))) for _ in range(40)] + ["", "1 2", "a"]
+    for text, (name, score, mixture) in zip(texts, model.predict(texts)):
+        want, proportions = plain(model, text)
+        assert name == want and set(mixture) == set(proportions)
+        assert score == pytest.approx(proportions.get(name, 0.0), abs=1e-6) and all(mixture[x] == pytest.approx(proportions[x], abs=1e-6) for x in mixture)
+
+
+def test_copies_of_one_text_do_not_decide_what_is_learned(spark, monkeypatch):
+    rows = [(i, "der hund und die katze" if i % 10 else f"das haus nummer{i}", "de") for i in range(3000)] + [(9000 + i, f"the house {i}", "en") for i in range(300)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(labelled, per_language=200)
+    assert model.langs == ["de", "en"] and all(np.ptp(model.logp[:, j]) > 1 for j in (0, 1))
+    monkeypatch.setattr(langid, "MOST_LANGS", 1)
+    with pytest.raises(ValueError):
+        langid.train(labelled)
