@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from readloom.sources.files import there
 from readloom.sources.load import load_bam
 from readloom.sources.sam import sam_lines
 from readloom.sources.save import write_bam
@@ -31,19 +32,25 @@ def event_reads(events: DataFrame) -> DataFrame:
 
 
 def events_bam(spark: SparkSession, sf_dir: str, **options) -> str:
-    """The path of the events as one sorted, indexed file in the shared folder; encoded once for each session."""
+    """The path of the events as one sorted, indexed file in the shared folder; encoded once for each session, and again
+    where the file is gone."""
     key = (spark.sparkContext.applicationId, sf_dir, *sorted(options.items()))
-    if key not in _encoded:
+    if key not in _encoded or not there(_encoded[key]):
         path = fresh_path(spark, "events.bam")
         write_bam(event_reads(spark.read.parquet(f"{sf_dir}/events.parquet")), path, CONTIGS, **options)
         _encoded[key] = path
     return _encoded[key]
 
 
+def events_laid_out(spark: SparkSession, sf_dir: str) -> str:
+    """The same in one part of stored blocks: where each record lies follows from the records' sizes, also in SQL."""
+    return events_bam(spark, sf_dir, parts=1, level=0)
+
+
 def events_sam(spark: SparkSession, sf_dir: str) -> str:
     """The same as a folder of text files, each with the header."""
     key = (spark.sparkContext.applicationId, sf_dir, "sam")
-    if key not in _encoded:
+    if key not in _encoded or not there(_encoded[key]):
         path = fresh_path(spark, "events.sam")
         lines = sam_lines(load_bam(spark, events_bam(spark, sf_dir)))
         head = spark.createDataFrame([(f"@SQ\tSN:{name}\tLN:{n}",) for name, n in CONTIGS], "value string").coalesce(1)

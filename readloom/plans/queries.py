@@ -16,8 +16,10 @@ from readloom.functions.stats import describe
 from readloom.operators import joins, scan
 from readloom.operators.checker import FLAGS
 from readloom.plans import reports
-from readloom.plans.encode_events import events_bam, events_sam
-from readloom.sources.load import blocks, blocks_from_index, index_table, load_bam, load_intervals, load_reads, load_splits_and_reads, record_positions
+from readloom.plans.encode_events import CONTIGS, events_bam, events_laid_out, events_sam
+from readloom.sources.bam_codec import encode_header
+from readloom.sources.bgzf import MAX_PAYLOAD, TRAILER
+from readloom.sources.load import blocks, blocks_from_index, index_table, load_bam, load_intervals, load_reads, load_reads_and_positions, load_splits_and_reads, path_list, record_positions
 from readloom.sources.save import index_blocks, index_records, rewrite
 from readloom.sources.shared import fresh_path
 
@@ -27,6 +29,26 @@ _SECONDS = "(CAST(floor(epoch(ts)) AS BIGINT) - 1704067200)"
 _SPLITS = ("20k", "100k", "32m")
 
 
+# Where the events lie in ``events_laid_out``: the header in a block of its own, then the records in order, in stored
+# blocks of MAX_PAYLOAD bytes, each with 31 bytes around its payload.
+_HEAD = len(encode_header(CONTIGS))
+_BLOCK = f"{_HEAD + 31} + {MAX_PAYLOAD + 31} * ({{0}} // {MAX_PAYLOAD})"
+_LAID = f"""
+e AS (SELECT event_id, 'e' || event_id AS name, user_id % 8 AS ref, {_SECONDS} AS start, event_type = 'error' AS error, event_id % 50 + 1 AS n FROM events),
+r AS (SELECT *, CAST(36 + length(name) + 1 + CASE WHEN error THEN 0 ELSE 4 END + (n + 1) // 2 + n + 7 AS BIGINT) AS size FROM e),
+s AS (SELECT *, row_number() OVER o AS i, CAST(sum(size) OVER o - size AS BIGINT) AS lies, CAST(sum(size) OVER () AS BIGINT) AS total FROM r WINDOW o AS (ORDER BY ref, start, name)),
+p AS (SELECT *, {_BLOCK.format("lies")} AS block_pos, lies % {MAX_PAYLOAD} AS "offset", {_BLOCK.format("(lies + size)")} AS stop_block, (lies + size) % {MAX_PAYLOAD} AS stop_offset FROM s),
+b AS (SELECT CAST(0 AS BIGINT) AS start, CAST({_HEAD} AS BIGINT) AS n UNION ALL SELECT {_HEAD + 31} + {MAX_PAYLOAD + 31} * k, least({MAX_PAYLOAD}, total - {MAX_PAYLOAD} * k) FROM (SELECT max(total) AS total FROM s), unnest(range(0, (total + {MAX_PAYLOAD - 1}) // {MAX_PAYLOAD})) AS t(k)),
+f AS (SELECT sum(n + 31) + {len(TRAILER)} AS file_size, sum(n) AS inflated, count(*) AS blocks FROM b)
+"""
+_KIB = 1 << 10
+
+
+def _bin(start: str, end: str) -> str:
+    """SQL of the smallest bin that holds [start, end)."""
+    return "CASE " + " ".join(f"WHEN {start} >> {shift} = ({end} - 1) >> {shift} THEN {first} + ({start} >> {shift})" for shift, first in ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1))) + " ELSE 0 END"
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -97,9 +119,10 @@ def check_bam_strict(spark, sf_dir):
     return reports.check_bam(spark, path, truth)["summary"].select("reads", "fp", "fn")
 
 
-@query()
+@query(f"WITH {_LAID} SELECT (SELECT CAST(inflated AS BIGINT) FROM f) AS positions, count(*) AS reads, CAST(0 AS BIGINT) AS fn FROM p")
 def check_bam_naive(spark, sf_dir):
-    return reports.check_bam(spark, events_bam(spark, sf_dir))["summary"].drop("compressed", "ratio")
+    """The naive rules against the strict ones: they overlook no record.  What they take for one is tested by brute force."""
+    return reports.check_bam(spark, events_laid_out(spark, sf_dir))["summary"].select("positions", "reads", "fn")
 
 
 @query()
@@ -112,14 +135,22 @@ def bam_failing_cdf(spark, sf_dir):
     return reports.full_check(spark, events_bam(spark, sf_dir))["by_failing"].select("n_failing", "positions", "positions_cdf")
 
 
-@query()
+@query(f"WITH {_LAID} SELECT blocks, CAST(0 AS BIGINT) AS mismatched, CAST(0 AS BIGINT) AS bytes_at_risk, blocks - (SELECT count(DISTINCT block_pos) FROM p) AS without_record, 'positions' AS verdict FROM f")
 def check_blocks_summary(spark, sf_dir):
-    return reports.check_blocks(spark, events_bam(spark, sf_dir))["summary"].select("blocks", "mismatched", "bytes_at_risk", "without_record")
+    summary = reports.check_blocks(spark, events_laid_out(spark, sf_dir))["summary"]
+    return summary.select("blocks", "mismatched", "bytes_at_risk", "without_record", "verdict")
 
 
-@query()
+_SPLIT_OF = f"WITH {_LAID}, x AS (SELECT block_pos // {50 * _KIB} AS split, min(ROW(block_pos, \"offset\")) AS start, count(*) AS reads, arg_min(name, i) AS name FROM p GROUP BY 1)"
+
+
+@query(
+    f"{_SPLIT_OF}, y AS (SELECT *, lead(start, 1, ROW((SELECT CAST(file_size AS BIGINT) FROM f), CAST(0 AS BIGINT))) OVER (ORDER BY split) AS stop FROM x)"
+    " SELECT CAST(split AS INTEGER) AS split, start[1] AS start_block, CAST(start[2] AS INTEGER) AS start_offset, stop[1] AS end_block, CAST(stop[2] AS INTEGER) AS end_offset, greatest(0, stop[1] - start[1] + CAST(trunc((stop[2] - start[2]) / 3.0) AS BIGINT)) AS length, reads FROM y"
+)
 def compute_splits(spark, sf_dir):
-    return reports.compute_splits(spark, events_bam(spark, sf_dir), "50k").select("split", "start", "end", "length", "reads")
+    found = reports.compute_splits(spark, events_laid_out(spark, sf_dir), "50k")
+    return found.select("split", F.col("start.block_pos").alias("start_block"), F.col("start.offset").alias("start_offset"), F.col("end.block_pos").alias("end_block"), F.col("end.offset").alias("end_offset"), "length", "reads")
 
 
 @query("SELECT count(*) AS reads, CAST(1 AS BIGINT) AS some_empty FROM events")
@@ -138,14 +169,14 @@ def asserted_calls(spark, sf_dir):
     return reports.asserted(rows, "expected", "strict").agg(F.count_if("strict").alias("reads"))
 
 
-@query()
+@query(f"WITH {_LAID}, x AS (SELECT b.start, min(p.\"offset\") AS first FROM b LEFT JOIN p ON p.block_pos = b.start GROUP BY 1) SELECT CAST(first AS INTEGER) AS \"offset\", count(*) AS blocks FROM x GROUP BY 1")
 def first_offset_histogram(spark, sf_dir):
-    return reports.check_blocks(spark, events_bam(spark, sf_dir))["histogram"]
+    return reports.check_blocks(spark, events_laid_out(spark, sf_dir))["histogram"]
 
 
-@query()
+@query(f"{_SPLIT_OF} SELECT count(*) AS strict_splits, count(*) AS other_splits, CAST(0 AS BIGINT) AS only_strict, CAST(0 AS BIGINT) AS only_other FROM x")
 def compare_splits(spark, sf_dir):
-    return reports.compare_splits(spark, [events_bam(spark, sf_dir)], "50k")["files"].select("strict_splits", "other_splits", "only_strict", "only_other")
+    return reports.compare_splits(spark, [events_laid_out(spark, sf_dir)], "50k")["files"].select("strict_splits", "other_splits", "only_strict", "only_other")
 
 
 @query("SELECT 'strict' AS checker, count(*) AS reads, CAST(1 AS BIGINT) AS runs FROM events")
@@ -153,9 +184,47 @@ def count_reads(spark, sf_dir):
     return reports.count_reads(spark, events_bam(spark, sf_dir), "100k", ("strict",)).select("checker", "reads", "runs")
 
 
-@query()
+@query(f"{_SPLIT_OF} SELECT CAST(split AS INTEGER) AS split, name FROM x")
 def first_reads(spark, sf_dir):
-    return reports.first_reads(spark, events_bam(spark, sf_dir), "50k")
+    return reports.first_reads(spark, events_laid_out(spark, sf_dir), "50k")
+
+
+@query(f"WITH {_LAID} SELECT name, block_pos, CAST(\"offset\" AS INTEGER) AS \"offset\" FROM p")
+def reads_and_positions(spark, sf_dir):
+    return load_reads_and_positions(spark, events_laid_out(spark, sf_dir), "50k", decode="core").select("name", "pos.block_pos", "pos.offset")
+
+
+@query(f"WITH {_LAID} SELECT start, CAST(n + 31 AS INTEGER) AS compressed_size, CAST(n AS INTEGER) AS uncompressed_size FROM b WHERE (start >= {70 * _KIB} AND start < {300 * _KIB}) OR (start >= {500 * _KIB} AND start < {600 * _KIB})")
+def blocks_in_ranges(spark, sf_dir):
+    """Only splits that meet the ranges are planned."""
+    return blocks(spark, events_laid_out(spark, sf_dir), "20k", "70k-300k,500k+100k").drop("split")
+
+
+@query(f"WITH {_LAID} SELECT block_pos, count(*) AS records, min(\"offset\") AS first FROM p WHERE block_pos >= {70 * _KIB} AND block_pos < {300 * _KIB} GROUP BY 1")
+def records_in_ranges(spark, sf_dir):
+    table = index_records(spark, events_laid_out(spark, sf_dir), fresh_path(spark, "records"))
+    return record_positions(spark, table, [(70 * _KIB, 300 * _KIB)]).groupBy("block_pos").agg(F.count("*").alias("records"), F.min("offset").cast("bigint").alias("first"))
+
+
+@query(f"WITH {_LAID} SELECT (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM b WHERE start >= {70 * _KIB} AND start < {300 * _KIB}) AS positions, count(*) AS reads FROM p WHERE block_pos >= {70 * _KIB} AND block_pos < {300 * _KIB}")
+def check_bam_in_ranges(spark, sf_dir):
+    return reports.check_bam(spark, events_laid_out(spark, sf_dir), ranges="70k-300k")["summary"].select("positions", "reads")
+
+
+_SHOWN = "name || ' ' || n || 'b ' || CASE WHEN error THEN 'unmapped read (placed at u' || ref || ':' || (start + 1) || ')' ELSE 'aligned read @ u' || ref || ':' || (start + 1) END"
+
+
+@query(
+    f"WITH {_LAID}, q AS (SELECT *, lead(block_pos) OVER w AS next_block, lead(\"offset\") OVER w AS next_offset, lead({_SHOWN}) OVER w AS read FROM p WINDOW w AS (ORDER BY i))"
+    " SELECT name AS after, next_block, CAST(next_offset AS INTEGER) AS next_offset, CASE WHEN next_block = block_pos THEN next_offset - \"offset\" - 1 ELSE next_block - block_pos + CAST(trunc((next_offset - \"offset\" - 1) / 3.0) AS BIGINT) END AS before, read FROM q WHERE i % 97 = 0 AND next_block IS NOT NULL"
+)
+def annotated_sites(spark, sf_dir):
+    """The record after every 97th, looked up from the byte after that one's first."""
+    path = events_laid_out(spark, sf_dir)
+    numbered = scan.number(load_bam(spark, path, decode="core").select("block_pos", "offset", "name"), ["block_pos", "offset"])
+    sites = numbered.filter("(number + 1) % 97 = 0").select("block_pos", (F.col("offset") + 1).alias("offset"), "name", F.lit(0).alias("flags"))
+    found = reports.annotated(spark, path, sites).filter("next_pos is not null")
+    return found.select(F.col("name").alias("after"), F.col("next_pos.block_pos").alias("next_block"), F.col("next_pos.offset").alias("next_offset"), F.col("before").cast("bigint").alias("before"), "read")
 
 
 @query("SELECT CAST(0 AS BIGINT) AS differing, CAST(1 AS BIGINT) AS contiguous")
@@ -178,9 +247,37 @@ def bai_whole_contigs(spark, sf_dir):
     return reads.agg(F.count("*").alias("reads"), F.sum(F.substring("name", 2, 20).cast("bigint")).alias("ids"))
 
 
-@query()
+@query(
+    f"WITH {_LAID}, q AS (SELECT *, {_bin('start', '(start + CASE WHEN error THEN 1 ELSE n END)')} AS bin FROM p),"
+    " c AS (SELECT *, CASE WHEN lag(stop_block) OVER w = block_pos THEN 0 ELSE 1 END AS fresh FROM q WINDOW w AS (PARTITION BY ref, bin ORDER BY i)),"
+    " d AS (SELECT *, sum(fresh) OVER (PARTITION BY ref, bin ORDER BY i) AS chunk FROM c),"
+    ' g AS (SELECT ref, bin, chunk, min(ROW(block_pos, "offset")) AS start, max(ROW(stop_block, stop_offset)) AS stop FROM d GROUP BY 1, 2, 3)'
+    " SELECT CAST(ref AS INTEGER) AS ref, CAST(bin AS INTEGER) AS bin, start[1] AS start_block, CAST(start[2] AS INTEGER) AS start_offset, stop[1] AS end_block, CAST(stop[2] AS INTEGER) AS end_offset, greatest(0, stop[1] - start[1] + CAST(trunc((stop[2] - start[2]) / 3.0) AS BIGINT)) AS size FROM g"
+)
 def bai_chunks(spark, sf_dir):
-    return index_table(spark, events_bam(spark, sf_dir))
+    t = index_table(spark, events_laid_out(spark, sf_dir))
+    return t.select("ref", "bin", F.col("start.block_pos").alias("start_block"), F.col("start.offset").alias("start_offset"), F.col("end.block_pos").alias("end_block"), F.col("end.offset").alias("end_offset"), "size")
+
+
+@query("SELECT 'f' || n_nationkey AS file, n_nationkey * 1000 + 7 AS positions, n_nationkey * 3 AS reads, CASE WHEN n_nationkey % 2 = 0 THEN 0 ELSE n_nationkey END AS fp, CASE WHEN n_nationkey % 2 = 0 THEN 0 ELSE n_regionkey END AS fn FROM nation")
+def text_reports_parsed(spark, sf_dir):
+    """Text reports, one file for each nation, rendered, written, and parsed."""
+    n, out = _t(spark, sf_dir, "nation"), fresh_path(spark, "reports")
+    wrong = F.when(F.col("n_nationkey") % 2 != 0, 1).otherwise(0)
+    rows = n.select(F.col("n_nationkey").alias("key"), (F.col("n_nationkey") * 1000 + 7).alias("positions"), F.lit(1 << 20).alias("compressed"), F.lit(2.5).alias("ratio"), (F.col("n_nationkey") * 3).alias("reads"), (wrong * F.col("n_nationkey")).alias("fp"), (wrong * F.col("n_regionkey")).alias("fn"))
+    texts = reports.rendered_rows(rows)
+    texts.select("key", "value").write.partitionBy("key").text(out)
+    found = reports.parsed_reports(spark, out)
+    return found.select(F.concat(F.lit("f"), F.col("key").cast("string")).alias("file"), "positions", "reads", "fp", "fn")
+
+
+@query("SELECT CAST(n_nationkey AS INTEGER) AS idx, n_name AS path FROM nation WHERE n_nationkey >= 3 AND n_nationkey < 7 OR n_nationkey >= 20 AND n_nationkey < 22")
+def path_list_in_ranges(spark, sf_dir):
+    """A list of names with blank lines between, of which some numbers are wanted."""
+    out = fresh_path(spark, "list")
+    lines = _t(spark, sf_dir, "nation").coalesce(1).sortWithinPartitions("n_nationkey").select(F.explode(F.array(F.lit(""), F.concat(F.lit("  "), "n_name"))).alias("value"))
+    lines.write.text(out)
+    return path_list(spark, out, rg.parse_ranges("3-7,20+2", sizes=False)).select("idx", "path")
 
 
 @query("SELECT 'e' || event_id AS name FROM (SELECT event_id, row_number() OVER (ORDER BY user_id % 8, CAST(floor(epoch(ts)) AS BIGINT), 'e' || event_id) - 1 AS n FROM events) WHERE n >= 100 AND n < 400")

@@ -119,24 +119,25 @@ def annotated(spark: SparkSession, path: str, sites: DataFrame) -> DataFrame:
                         found = [*data.position(at), *(d[c][0] for c in extra[2:])]
                     for column, v in zip(out, found):
                         column.append(v.item() if hasattr(v, "item") else v)
-                yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(o, k) for o, k in zip(out, kinds)]], names=[*columns, *extra])
+                yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(o, k) for o, k in zip(out, kinds)]], names=[*columns, *(f"__{c}" for c in extra)])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sites.schema) + ", next_block long, next_offset int, contig string, start long, flag int, ref_idx int, seq_len int, name string"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sites.schema) + ", __next_block long, __next_offset int, __contig string, __start long, __flag int, __ref_idx int, __seq_len int, __name string"
     found = sites.mapInArrow(run, schema)
-    same = F.col("next_block") == F.col("block_pos")
-    delta = vp.distance(F.col("next_block"), F.col("next_offset"), F.col("block_pos"), F.col("offset"))
-    next_pos = F.when(F.col("next_block").isNotNull(), F.struct(F.col("next_block").alias("block_pos"), F.col("next_offset").alias("offset")))
-    return found.select(*columns, next_pos.alias("next_pos"), F.when(same, F.col("next_offset") - F.col("offset")).otherwise(delta).alias("before"), record_shown().alias("read"), fl.names(F.col("flags")).alias("failing"))
+    next_block, next_offset = F.col("__next_block"), F.col("__next_offset")
+    delta = vp.distance(next_block, next_offset, F.col("block_pos"), F.col("offset"))
+    next_pos = F.when(next_block.isNotNull(), F.struct(next_block.alias("block_pos"), next_offset.alias("offset")))
+    before = F.when(next_block == F.col("block_pos"), next_offset - F.col("offset")).otherwise(delta)
+    return found.select(*columns, next_pos.alias("next_pos"), before.alias("before"), record_shown("__").alias("read"), fl.names(F.col("flags")).alias("failing"))
 
 
-def record_shown() -> Column:
-    """``name k/n LENb aligned read @ contig:start``, or where it is placed."""
-    flag = F.col("flag")
+def record_shown(prefix: str = "") -> Column:
+    """``name k/n LENb aligned read @ contig:start``, or where it is placed; ``prefix``: of the columns' names."""
+    flag, contig, name, ref_idx, seq_len, start = (F.col(prefix + c) for c in ("flag", "contig", "name", "ref_idx", "seq_len", "start"))
     on = lambda bit: flag.bitwiseAND(F.lit(bit)) != 0
     which = F.when(on(1), F.when(on(64), F.lit(" 1/2")).otherwise(F.lit(" 2/2"))).otherwise(F.lit(""))
-    place = F.concat("contig", F.lit(":"), (F.col("start") + 1).cast("string"))
-    where = F.when(~on(4), F.concat(F.lit("aligned read @ "), place)).when(F.col("ref_idx") >= 0, F.concat(F.lit("unmapped read (placed at "), place, F.lit(")"))).otherwise(F.lit("unmapped read"))
-    return F.concat("name", which, F.lit(" "), F.col("seq_len").cast("string"), F.lit("b "), where)
+    place = F.concat(contig, F.lit(":"), (start + 1).cast("string"))
+    where = F.when(~on(4), F.concat(F.lit("aligned read @ "), place)).when(ref_idx >= 0, F.concat(F.lit("unmapped read (placed at "), place, F.lit(")"))).otherwise(F.lit("unmapped read"))
+    return F.concat(name, which, F.lit(" "), seq_len.cast("string"), F.lit("b "), where)
 
 
 def full_check(spark: SparkSession, path: str, **options) -> dict[str, DataFrame]:
@@ -181,8 +182,10 @@ def first_records(spark: SparkSession, path: str, checkers: tuple[str, ...] = ("
 
 def check_blocks(spark: SparkSession, path: str, other: str = "naive", **options) -> dict[str, DataFrame]:
     """``mismatches``: blocks whose first record the checkers see differently; ``summary``: how many, and the compressed
-    bytes before them, from which a split would go wrong (one for a first block); ``offsets``: statistics of the first
-    records' offsets; ``histogram``: blocks for each of these offsets, null for blocks in which no record begins."""
+    bytes before them, from which a split would go wrong (one for a first block), and the ``verdict``: ``aligned`` if
+    every block's first record begins the block, ``aligned but for blocks without`` if so where a record begins at all,
+    else ``positions``; ``offsets``: statistics of the first records' offsets; ``histogram``: blocks for each of these
+    offsets, null for blocks in which no record begins."""
     rows = first_records(spark, path, ("strict", other), **options)
     # the block before is the one that ends where this one begins
     before = blocks(spark, path, **{k: v for k, v in options.items() if k in ("split_size", "ranges")}).select((F.col("start") + F.col("compressed_size")).alias("start"), F.col("compressed_size").alias("risk"))
@@ -190,6 +193,9 @@ def check_blocks(spark: SparkSession, path: str, other: str = "naive", **options
     wrong = rows.filter(~F.col("strict").eqNullSafe(F.col(other)))
     total = size_of(path)
     summary = rows.agg(F.count("*").alias("blocks"), F.count_if(~F.col("strict").eqNullSafe(F.col(other))).alias("mismatched"), F.coalesce(F.sum(F.when(~F.col("strict").eqNullSafe(F.col(other)), F.col("risk"))), F.lit(0)).alias("bytes_at_risk"), F.count_if(F.col("strict").isNull() | (F.col("strict.block_pos") != F.col("start"))).alias("without_record"), F.coalesce(F.bool_and(F.col("strict.offset") == 0), F.lit(True)).alias("aligned")).withColumn("file_size", F.lit(total)).withColumn("share", F.col("bytes_at_risk") / F.lit(total))
+    away = F.count_if((F.col("strict.block_pos") == F.col("start")) & (F.col("strict.offset") != 0))
+    verdict = F.when(F.col("away") > 0, "positions").when(F.col("without_record") > 0, "aligned but for blocks without").otherwise("aligned")
+    summary = summary.join(F.broadcast(rows.agg(away.alias("away"))), F.lit(True)).withColumn("verdict", verdict).drop("away")
     mine = rows.select(F.when(F.col("strict.block_pos") == F.col("start"), F.col("strict.offset")).alias("offset"))
     histogram = mine.groupBy("offset").agg(F.count("*").alias("blocks"))
     return {"mismatches": wrong, "summary": summary, "offsets": describe(mine, "offset"), "histogram": histogram}
@@ -267,17 +273,34 @@ def compare_first_reads(spark: SparkSession, path: str, split_size: int | str, o
 
 def rendered(summary: DataFrame) -> str:
     """The summary of ``check_bam`` in the lines that ``parsed_reports`` reads."""
-    r = summary.first()
-    calls_ = "All calls matched!" if not r.fp and not r.fn else f"{r.fp} false positives, {r.fn} false negatives"
-    return f"{r.positions} uncompressed positions\n{format_bytes(r.compressed)} compressed\nCompression ratio: {r.ratio:.2f}\n{r.reads} reads\n{calls_}\n"
+    return rendered_rows(summary).first().value + "\n"
+
+
+def rendered_rows(summaries: DataFrame) -> DataFrame:
+    """``summaries``, rows as that of ``check_bam``, with their text as ``value``."""
+    text = lambda c: F.col(c).cast("string")
+    matched = (F.col("fp") == 0) & (F.col("fn") == 0)
+    wrong = F.concat(text("fp"), F.lit(" false positives, "), text("fn"), F.lit(" false negatives"))
+    size = F.lit(None).cast("string")
+    x = F.col("compressed").cast("double")
+    for i, unit in reversed(list(enumerate(["", "K", "M", "G", "T"]))):
+        v = x / float(1 << 10 * i)
+        places = F.greatest(F.lit(0), 3 - F.length(F.floor(v).cast("string")))
+        shown = F.format_string("%d", F.col("compressed").cast("bigint")) if not i else F.concat(F.when(places == 2, F.format_string("%.2f", v)).when(places == 1, F.format_string("%.1f", v)).otherwise(F.format_string("%.0f", v)), F.lit(unit))
+        size = F.coalesce(size, F.when((v >= 1) | F.lit(i == 0), shown))
+    lines = [F.concat(text("positions"), F.lit(" uncompressed positions")), F.concat(size, F.lit(" compressed")), F.concat(F.lit("Compression ratio: "), F.format_string("%.2f", F.col("ratio").cast("double"))), F.concat(text("reads"), F.lit(" reads")), F.when(matched, F.lit("All calls matched!")).otherwise(wrong)]
+    return summaries.withColumn("value", F.concat_ws("\n", *lines))
 
 
 def parsed_reports(spark: SparkSession, path: str) -> DataFrame:
-    """(file, positions, reads, fp, fn) from the text reports of ``check_bam`` in a folder, one report a file."""
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    """(file, positions, reads, fp, fn, and the columns of a partitioned folder) from the text reports of ``check_bam`` in
+    a folder, one report a file."""
+    lines = spark.read.text(path, wholetext=True)
+    more = [c for c in lines.columns if c != "value"]
+    lines = lines.select(F.col("_metadata.file_name").alias("file"), "value", *more)
     part = lambda pattern, i=1: F.regexp_extract("value", pattern, i).try_cast("bigint")
     wrong = r"(\d+) false positives, (\d+) false negatives"
-    return lines.select("file", part(r"(\d+) uncompressed positions").alias("positions"), part(r"(?m)^(\d+) reads$").alias("reads"), F.coalesce(part(wrong), F.lit(0)).alias("fp"), F.coalesce(part(wrong, 2), F.lit(0)).alias("fn"))
+    return lines.select("file", *more, part(r"(\d+) uncompressed positions").alias("positions"), part(r"(?m)^(\d+) reads$").alias("reads"), F.coalesce(part(wrong), F.lit(0)).alias("fp"), F.coalesce(part(wrong, 2), F.lit(0)).alias("fn"))
 
 
 def parsed_block_reports(spark: SparkSession, path: str) -> DataFrame:

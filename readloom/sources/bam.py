@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 from readloom.functions.ranges import intersects, parse_bytes, parse_intervals, parse_ranges
 from readloom.operators.checker import MAX_READ_SIZE, READS_TO_CHECK, checker
 from readloom.sources import bai, bam_codec
-from readloom.sources.bgzf import BLOCKS_TO_CHECK, TRAILER, BlockWriter, Inflated, block_metadata, find_block_start
+from readloom.sources.bgzf import BLOCKS_TO_CHECK, MAX_PAYLOAD, TRAILER, BlockWriter, Inflated, block_metadata, find_block_start
 from readloom.sources.files import RandomAccess, filesystem, size_of, write_bytes
 
 SPLIT_SIZE = 32 << 20
@@ -168,14 +168,15 @@ class BamWriter(DataSourceArrowWriter):
     Columns: name, flag, ref_idx, start, mapq, cigar, seq, and if there qual (text), mate_ref_idx, mate_start, tlen,
     tags (map; values are written as text, or as numbers if they look like integers).
     Options: ``contigs`` (JSON list of [name, length]), ``block_aligned`` (a record never begins within a block that
-    another began), ``index`` (write the companion index; rows must be sorted), ``payload`` (bytes of a block).
+    another began), ``index`` (write the companion index; rows must be sorted), ``payload`` (bytes of a block), ``level``
+    (of compression; 0 stores).
     """
 
     def __init__(self, options: dict[str, str]):
         o = {k.lower(): v for k, v in options.items()}
         self.path, self.contigs = o["path"], [tuple(c) for c in json.loads(o["contigs"])]
         self.aligned, self.index = o.get("block_aligned", "false") == "true", o.get("index", "true") == "true"
-        self.payload = int(o.get("payload", 65280))
+        self.payload, self.level = int(o.get("payload", MAX_PAYLOAD)), int(o.get("level", 6))
         self.parts = f"{self.path}.parts-{uuid.uuid4().hex}"
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Fragment:
@@ -184,7 +185,7 @@ class BamWriter(DataSourceArrowWriter):
         system, base = filesystem(self.parts)
         system.create_dir(base, recursive=True)
         name = uuid.uuid4().hex
-        out, index, size = BlockWriter(self.payload), bai.IndexBuilder(), 0
+        out, index, size = BlockWriter(self.payload, self.level), bai.IndexBuilder(), 0
         with system.open_output_stream(f"{base}/{name}") as file:
             for batch in batches:
                 for row in batch.to_pylist():
@@ -214,7 +215,7 @@ class BamWriter(DataSourceArrowWriter):
         )
 
     def commit(self, messages: list[Fragment | None]) -> None:
-        head = BlockWriter(self.payload)
+        head = BlockWriter(self.payload, self.level)
         head.write(bam_codec.encode_header(list(self.contigs)))
         head.end_block()
         system, name = filesystem(self.path)

@@ -185,12 +185,11 @@ class BlockCache:
 
 
 def deflate(payload: bytes, level: int = 6) -> bytes:
-    """One block."""
+    """One block; at level 0, or where that is smaller, its bytes are stored as they are."""
     c = zlib.compressobj(level, zlib.DEFLATED, -15)
-    body = c.compress(payload) + c.flush()
-    if len(body) + 26 > MAX_BLOCK:
-        c = zlib.compressobj(0, zlib.DEFLATED, -15)
-        body = c.compress(payload) + c.flush()
+    body = c.compress(payload) + c.flush() if level else b""
+    if not level or len(body) > len(payload) + 5:
+        body = b"\1" + struct.pack("<HH", len(payload), len(payload) ^ 0xFFFF) + payload
     head = MAGIC + b"\0\0\0\0\0\xff\6\0BC\2\0" + struct.pack("<H", len(body) + 25)
     return head + body + struct.pack("<II", zlib.crc32(payload), len(payload))
 

@@ -42,6 +42,14 @@ def exists(path: str) -> bool:
     return system.get_file_info(name).type == fs.FileType.File
 
 
+def there(path: str) -> bool:
+    """Whether there is a file or folder."""
+    from pyarrow import fs
+
+    system, name = filesystem(path)
+    return system.get_file_info(name).type != fs.FileType.NotFound
+
+
 def size_of(path: str) -> int:
     system, name = filesystem(path)
     info = system.get_file_info(name)

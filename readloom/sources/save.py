@@ -41,12 +41,16 @@ def index_records(spark: SparkSession, path: str, out: str | None = None, strict
     return out
 
 
-def write_bam(reads: DataFrame, path: str, contigs: list[tuple[str, int]], sort: bool = True, **options) -> None:
-    """Writes records as one file and its index; with ``sort``, in order of contig and start (unplaced ones last)."""
+def write_bam(reads: DataFrame, path: str, contigs: list[tuple[str, int]], sort: bool = True, parts: int | None = None, **options) -> None:
+    """Writes records as one file and its index; with ``sort``, in order of contig and start (unplaced ones last).
+
+    Each of the sorted ``parts``, which tasks write at once, begins a block; with one part, the file's layout depends on
+    the records alone.
+    """
     register(reads.sparkSession)
     if sort:
         order = [F.when(F.col("ref_idx") < 0, 1 << 30).otherwise(F.col("ref_idx")), F.col("start"), F.col("name")]
-        reads = reads.repartitionByRange(*order).sortWithinPartitions(*order)
+        reads = (reads.repartitionByRange(parts, *order) if parts else reads.repartitionByRange(*order)).sortWithinPartitions(*order)
     text = {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in options.items()}
     reads.write.format("bam").options(contigs=json.dumps(contigs), **text).mode("append").save(path)
 

@@ -11,9 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where that is unset, a temporary folder, removed at the end."""
+    """The session's ``spark.checkpoint.dir``; where that is unset, in local mode, a temporary folder, removed at the end.
+
+    ValueError where it is unset on a cluster: a folder of the driver's machine isn't the executors'.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         base = "file://" + tempfile.mkdtemp(prefix="readloom-")
         atexit.register(shutil.rmtree, base.removeprefix("file://"), ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
