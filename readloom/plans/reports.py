@@ -14,12 +14,13 @@ from readloom.functions import pos as vp
 from readloom.functions.ranges import format_bytes, parse_bytes
 from readloom.functions.stats import describe
 from readloom.operators.checker import BIT, MAX_READ_SIZE, READS_TO_CHECK, checker
-from readloom.operators.joins import merge_diff
 from readloom.operators.scan import cumulative
+from readloom.sources.bam import first_of_split
 from readloom.sources.bam_codec import decode, record_offsets
 from readloom.sources.bgzf import Inflated
 from readloom.sources.files import RandomAccess, size_of
 from readloom.sources.load import blocks, load_bam, read_header, splits_of
+from readloom.sources.shared import written
 
 SPLIT = "2m"  # compressed bytes whose positions one task checks
 CALLS = "block_pos long, offset int, strict boolean, flags int, reads_before int, other boolean"
@@ -223,25 +224,45 @@ def asserted(rows: DataFrame, expected: str, actual: str) -> DataFrame:
     return rows.filter(F.assert_true(F.col(expected) == F.col(actual), F.concat(F.lit("calls differ at "), vp.shown(F.col("block_pos"), F.col("offset")))).isNull())
 
 
+def split_starts(spark: SparkSession, paths: list[str], split_size: int | str, checkers: tuple[str, ...], tasks: int | None = None) -> DataFrame:
+    """(path, checker, split, start, us): the first record of every split of all ``paths`` that has one, by each checker,
+    and the microseconds that the search took.  One job; a task looks no further than a split's first record."""
+    size = parse_bytes(split_size)
+    sizes = [(p, -(-size_of(p) // size)) for p in paths]  # a number for each file
+    total = sum(n for _, n in sizes) * len(checkers)
+    rows = spark.createDataFrame([(p, c, n) for p, n in sizes for c in checkers], "path string, checker string, n int")
+    rows = rows.filter("n > 0").select("path", "checker", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("split"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts, took = [], []
+            for path, name, split in zip(*(c.to_pylist() for c in batch.columns)):
+                began = time.perf_counter_ns()
+                found = first_of_split(path, split * size, (split + 1) * size, name)
+                took.append((time.perf_counter_ns() - began) // 1000)
+                starts.append(None if found is None else dict(zip(("block_pos", "offset"), found)))
+            kind = pa.struct([("block_pos", pa.int64()), ("offset", pa.int32())])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(starts, kind), pa.array(took, pa.int64())], names=["path", "checker", "split", "start", "us"])
+
+    dealt = rows.repartition(max(1, min(total, tasks or 8 * spark.sparkContext.defaultParallelism + total // 64)))
+    return dealt.mapInArrow(run, "path string, checker string, split int, start struct<block_pos:bigint,offset:int>, us long")
+
+
 def compare_splits(spark: SparkSession, paths: list[str], split_size: int | str, other: str = "naive") -> dict[str, DataFrame]:
-    """``files``: for each path both checkers' numbers of splits, how many only one has (by start), and both times;
-    ``differences``: those splits; ``ratios``: statistics of the times' ratios."""
-    rows, diffs = [], []
-    for path in paths:
-        took, found = [], []
-        for name in ("strict", other):
-            began = time.perf_counter()
-            splits = compute_splits(spark, path, split_size, name).select("start", "end").collect()  # a row for each split of a file
-            took.append(int(1000 * (time.perf_counter() - began)))
-            found.append(splits)
-        pos = "struct<block_pos:bigint,offset:int>"
-        frames = [spark.createDataFrame([(tuple(s.start), tuple(s.end)) for s in f], f"start {pos}, end {pos}") for f in found]
-        d = merge_diff(*frames, ["start"]).collect()
-        diffs += [(path, r.side, tuple(r.start)) for r in d]
-        rows.append((path, len(found[0]), len(found[1]), sum(r.side == "left" for r in d), sum(r.side == "right" for r in d), *took))
-    files = spark.createDataFrame(rows, "path string, strict_splits int, other_splits int, only_strict int, only_other int, strict_ms int, other_ms int")
-    differences = spark.createDataFrame(diffs, "path string, side string, start struct<block_pos:bigint,offset:int>")
-    ratios = describe(files.select((F.col("strict_ms") / F.greatest(F.col("other_ms"), F.lit(1))).alias("ratio")), "ratio")
+    """``files``: for each path both checkers' numbers of splits, how many only one has (by start), and the milliseconds
+    that finding them took in all; ``differences``: those splits; ``ratios``: statistics of the times' ratios.
+
+    All files are searched in one job; a path that is named twice counts once."""
+    found = written(split_starts(spark, sorted(set(paths)), split_size, ("strict", other)), "splits")
+    mine, also = F.col("checker") == "strict", F.col("checker") == other
+    there = found.filter("start is not null")
+    sides = there.groupBy("path", "start").agg(F.bool_or(mine).alias("strict"), F.bool_or(also).alias("other"))
+    differences = sides.filter("strict <> other").select("path", F.when(F.col("strict"), "left").otherwise("right").alias("side"), "start")
+    lone = sides.groupBy("path").agg(F.count_if(F.col("strict") & ~F.col("other")).alias("only_strict"), F.count_if(F.col("other") & ~F.col("strict")).alias("only_other"))
+    ms = lambda c: (F.sum(F.when(c, F.col("us"))) / 1000).cast("int")
+    files = found.groupBy("path").agg(F.count_if(mine & F.col("start").isNotNull()).alias("strict_splits"), F.count_if(also & F.col("start").isNotNull()).alias("other_splits"), ms(mine).alias("strict_ms"), ms(also).alias("other_ms"))
+    files = files.join(lone, "path", "left").select("path", "strict_splits", "other_splits", F.coalesce("only_strict", F.lit(0)).alias("only_strict"), F.coalesce("only_other", F.lit(0)).alias("only_other"), "strict_ms", "other_ms")
+    ratios = describe(files.select((F.greatest(F.col("strict_ms"), F.lit(1)) / F.greatest(F.col("other_ms"), F.lit(1))).alias("ratio")), "ratio")
     return {"files": files, "differences": differences, "ratios": ratios}
 
 
@@ -265,6 +286,19 @@ def first_reads(spark: SparkSession, path: str, split_size: int | str, checker_n
     return reads.groupBy("split").agg(F.min_by("name", F.struct("block_pos", "offset")).alias("name"))
 
 
+def time_load(spark: SparkSession, path: str, split_size: int | str, checkers: tuple[str, ...] = ("strict", "naive")) -> DataFrame:
+    """(checker, splits, ms, error): how long it took each checker to give the first record of every split."""
+    rows = []
+    for name in checkers:
+        began = time.perf_counter()
+        try:
+            n, error = first_reads(spark, path, split_size, name).count(), None
+        except Exception as e:  # a wrong start makes a reader fail: that is a result here
+            n, error = None, type(e).__name__
+        rows.append((name, n, int(1000 * (time.perf_counter() - began)), error))
+    return spark.createDataFrame(rows, "checker string, splits long, ms int, error string")
+
+
 def compare_first_reads(spark: SparkSession, path: str, split_size: int | str, other: str = "naive") -> DataFrame:
     """The names that are first in a split for one checker only."""
     a, b = (first_reads(spark, path, split_size, c).select("name") for c in ("strict", other))
@@ -303,6 +337,34 @@ def parsed_reports(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("file", *more, part(r"(\d+) uncompressed positions").alias("positions"), part(r"(?m)^(\d+) reads$").alias("reads"), F.coalesce(part(wrong), F.lit(0)).alias("fp"), F.coalesce(part(wrong, 2), F.lit(0)).alias("fn"))
 
 
+def limited(rows: DataFrame, most: int, title: str, cut_title: str | None = None) -> str:
+    """Up to ``most`` rows as indented lines under ``title``, which is ``cut_title`` where there are more; the first
+    column's values.  ``{n}`` in a title is the number of rows, ``{most}`` that of those shown."""
+    n = rows.count()
+    shown = [str(r[0]) for r in rows.limit(most).collect()]
+    head = title if n <= most else cut_title or f"{title} (first {{most}} of {{n}}):"
+    return "\n".join([head.format(n=n, most=most), *(f"\t{line}" for line in shown), *(["\t\u2026"] if n > most else [])]) + "\n"
+
+
+#: The columns of a row of the summary table over many files, in order.
+TSV_COLUMNS = ("file", "positions", "compressed", "ratio", "reads", "fp", "fn", "blocks", "mismatched", "without_record", "bytes_at_risk", "file_size", "share")
+
+
+def summary_rows(spark: SparkSession, paths: list[str], other: str = "naive", **options) -> DataFrame:
+    """TSV_COLUMNS, a row for each path: the summaries of ``check_bam`` and ``check_blocks`` beside each other."""
+    rows = None
+    for path in paths:
+        one = check_bam(spark, path, other=other, **options)["summary"].join(F.broadcast(check_blocks(spark, path, other, **options)["summary"]), F.lit(True))
+        one = one.withColumn("file", F.lit(path)).select(*TSV_COLUMNS)
+        rows = one if rows is None else rows.union(one)
+    return rows
+
+
+def write_tsv(rows: DataFrame, path: str) -> None:
+    """Writes ``summary_rows`` as tab-separated text with a header."""
+    rows.coalesce(1).write.option("sep", "\t").option("header", "true").csv(path)  # a row for each file
+
+
 def parsed_block_reports(spark: SparkSession, path: str) -> DataFrame:
     """(file, blocks, mismatched, bytes_at_risk, file_size) from the text reports of ``check_blocks`` in a folder; both
     spellings of a mismatch are read."""

@@ -55,6 +55,10 @@ class ChunkGroup(InputPartition):
 
 
 class BamReader(DataSourceReader):
+    """Options: ``path``, ``split_size``, ``decode`` (none, core or full), ``checker``, ``intervals`` and ``ratio``,
+    ``place`` (JSON: a range of starts for each contig; all records of the index's chunks for them are read), ``mode``,
+    and the bounds of the searches."""
+
     def __init__(self, options: dict[str, str]):
         o = {k.lower(): v for k, v in options.items()}
         if not o.get("path"):
@@ -67,6 +71,7 @@ class BamReader(DataSourceReader):
         self.max_read_size = int(o.get("max_read_size", MAX_READ_SIZE))
         self.checker = o.get("checker", "strict")
         self.intervals = o.get("intervals")
+        self.place = json.loads(o["place"]) if o.get("place") else None
         self.ratio = float(o.get("ratio", 3.0))
         self.strict = o.get("mode", "FAILFAST").upper() == "FAILFAST"
         checker(self.checker)
@@ -83,6 +88,12 @@ class BamReader(DataSourceReader):
                 number = {name: i for i, (name, _) in enumerate(header.contigs)}
                 chunks = bai.interval_chunks(bai.read_index(path), {number[c]: r for c, r in wanted.items()})
                 out += [ChunkGroup(path, len(out) + i, [tuple(c) for c in g]) for i, g in enumerate(bai.cost_groups(chunks, self.split_size, self.ratio))]
+            elif self.place is not None:
+                with RandomAccess(path) as file:
+                    header = bam_codec.read_header(file)
+                ranges = {i: [tuple(self.place[name])] for i, (name, _) in enumerate(header.contigs) if name in self.place}
+                chunks = bai.interval_chunks(bai.read_index(path), ranges)
+                out += [ChunkGroup(path, len(out) + i, [tuple(c) for c in g]) for i, g in enumerate(bai.cost_groups(chunks, self.split_size, self.ratio))]
             else:
                 n = math.ceil(size_of(path) / self.split_size)
                 out += [ByteRange(path, len(out) + i, i * self.split_size, (i + 1) * self.split_size) for i in range(n)]
@@ -94,7 +105,7 @@ class BamReader(DataSourceReader):
         with RandomAccess(part.path) as file:
             header = bam_codec.read_header(file)
             if isinstance(part, ChunkGroup):
-                wanted = parse_intervals(self.intervals or "", dict(header.contigs))
+                wanted = None if self.intervals is None else parse_intervals(self.intervals, dict(header.contigs))
                 for start, end in part.chunks:
                     data = Inflated(file, start[0])
                     yield from self.rows(part, header, data, start[1], tuple(end), wanted)
@@ -135,7 +146,7 @@ class BamReader(DataSourceReader):
                 at = 0
 
     def batch(self, part, header, data: Inflated, offsets: list[int], wanted: dict | None) -> pa.RecordBatch:
-        columns = bam_codec.decode(data, offsets, header.contigs, self.level if wanted is None else "full")
+        columns = bam_codec.decode(data, offsets, header.contigs, self.level if wanted is None or self.level == "full" else "ends")
         if wanted is not None:
             keep = [not f & bam_codec.UNMAPPED and any(s < hi and e > lo for lo, hi in wanted.get(c, ())) for c, s, e, f in zip(columns["contig"], columns["start"].tolist(), columns["end"], columns["flag"].tolist())]
         schema = arrow_schema(self.level)
@@ -145,6 +156,18 @@ class BamReader(DataSourceReader):
         return out if wanted is None else out.filter(pa.array(keep))
 
 
+def first_of_split(path: str, start: int, end: int, checker_name: str = "strict") -> tuple[int, int] | None:
+    """The position of the first record whose block begins in [start, end), if there is one."""
+    reader = BamReader({"path": path, "checker": checker_name})
+    with RandomAccess(path) as file:
+        header = bam_codec.read_header(file)
+        found = reader.first(file, header, start, end)
+        if found is None or not found[0].ensure(found[1] + 1):
+            return None
+        at = found[0].position(found[1])
+        return at if at < (end, 0) else None
+
+
 def schema_of(level: str) -> str:
     return "split int, file string, " + bam_codec.SCHEMAS[level]
 
@@ -249,7 +272,11 @@ def _or(value, default):
 
 
 class BamSource(DataSource):
-    """``spark.read.format("bam")``; options: see BamReader and BamWriter."""
+    """``spark.read.format("bam")``; options: see BamReader and BamWriter.
+
+    It takes no filters from Spark: in Spark 4.1 those pushed into a Python source stay with the DataFrame, and the next
+    query over it, with other filters, gets the first one's rows.  ``place`` and ``intervals`` say what to read.
+    """
 
     @classmethod
     def name(cls) -> str:

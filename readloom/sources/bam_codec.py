@@ -18,6 +18,8 @@ FIXED_BYTES = 36
 CIGAR_OPS = "MIDNSHP=X"
 CONSUMES_REFERENCE = frozenset("MDN=X")
 BASES = "=ACMGRSVTWYHKDBN"
+_bases_of_hex = str.maketrans("0123456789abcdef", BASES)
+_shown_quality = bytes((q + 33) & 0xFF for q in range(256))
 
 UNMAPPED = 4
 
@@ -182,7 +184,10 @@ SCHEMAS["full"] = SCHEMAS["core"] + ", end long, cigar string, seq string, qual
 
 
 def decode(data: Inflated, offsets: list[int], contigs: tuple[tuple[str, int], ...], level: str) -> dict[str, list | np.ndarray]:
-    """The columns of SCHEMAS[level] for the records at ``offsets``; fixed fields by one gather over all records."""
+    """The columns of SCHEMAS[level] for the records at ``offsets``; fixed fields by one gather over all records.
+
+    Level ``ends``: those of ``core`` and ``end``.
+    """
     at = np.array(offsets, np.int64)
     block, offset = data.positions(at)
     raw = np.frombuffer(bytes(data.data), np.uint8)
@@ -200,6 +205,17 @@ def decode(data: Inflated, offsets: list[int], contigs: tuple[tuple[str, int], .
     names_at = (at + FIXED_BYTES).tolist()
     bytes_ = bytes(data.data)
     out["name"] = [bytes_[a : a + max(0, n - 1)].decode("ascii", "replace") for a, n in zip(names_at, n_name.tolist())]
+    if level == "ends":
+        single = n_cigar == 1  # most records have one operation, which is read for all of them at once
+        ends = out["start"] + 1
+        first = at + FIXED_BYTES + n_name
+        v = raw[first[single][:, None] + np.arange(4)].copy().view("<u4").ravel() if single.any() else np.zeros(0, np.uint32)
+        takes = np.isin(v & 15, [CIGAR_OPS.index(op) for op in CONSUMES_REFERENCE])
+        ends[single] = out["start"][single] + np.where(takes, np.maximum(v >> 4, 1), 1).astype(np.int64)
+        for i in np.flatnonzero(n_cigar > 1).tolist():
+            ops = [(v >> 4, CIGAR_OPS[v & 15]) for v in struct.unpack_from(f"<{n_cigar[i]}I", bytes_, int(first[i]))]
+            ends[i] = out["start"][i] + (reference_length(ops) or 1)
+        out["end"] = ends.tolist()
     if level == "full":
         ends, cigars, seqs, quals, tags = [], [], [], [], []
         for a, k, c, s, total, start in zip(at.tolist(), n_name.tolist(), n_cigar.tolist(), fixed[:, 5].tolist(), fixed[:, 0].tolist(), fixed[:, 2].tolist()):
@@ -211,8 +227,8 @@ def decode(data: Inflated, offsets: list[int], contigs: tuple[tuple[str, int], .
             quality = bytes_[p : p + s]
             cigars.append("".join(f"{n}{op}" for n, op in ops) or "*")
             ends.append(start + (reference_length(ops) or 1))
-            seqs.append("".join([BASES[b >> 4] + BASES[b & 15] for b in packed])[:s] or "*")
-            quals.append("*" if not s or quality[0] == 0xFF else "".join([chr(q + 33) for q in quality]))
+            seqs.append(packed.hex().translate(_bases_of_hex)[:s] or "*")
+            quals.append("*" if not s or quality[0] == 0xFF else quality.translate(_shown_quality).decode("latin-1"))
             tags.append(list(decode_tags(bytes_[p + s : a + 4 + total]).items()))
         out |= {"end": ends, "cigar": cigars, "seq": seqs, "qual": quals, "tags": tags}
     return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,8 +36,7 @@ def load_reads(spark: SparkSession, path: str, split_size: int | str = SPLIT_SIZ
 def load_bam(spark: SparkSession, path: str, split_size: int | str = SPLIT_SIZE, **options) -> DataFrame:
     if extension(path) != "bam":
         raise ValueError(f"Expected 'bam' extension: {path}")
-    register(spark)
-    return spark.read.format("bam").options(split_size=str(parse_bytes(split_size)), **{k: str(v) for k, v in options.items()}).load(path)
+    return load_folder(spark, path, split_size, **options)
 
 
 def load_folder(spark: SparkSession, path: str, split_size: int | str = SPLIT_SIZE, **options) -> DataFrame:
@@ -78,6 +78,15 @@ def load_intervals(spark: SparkSession, path: str, intervals: str, split_size: i
     return load_bam(spark, path, split_size, intervals=intervals, ratio=ratio, **options)
 
 
+def load_placed(spark: SparkSession, path: str, contig: str, start: int = 0, end: int = 1 << 29, split_size: int | str = SPLIT_SIZE, **options) -> DataFrame:
+    """The records, mapped or not, that are placed on ``contig`` with a start in [start, end); only the chunks that the
+    companion index names are read.  A contig that isn't known has none."""
+    if start >= end:
+        return load_bam(spark, path, split_size, place=json.dumps({}), **options)
+    reads = load_bam(spark, path, split_size, place=json.dumps({contig: [start, end]}), **options)
+    return reads.filter((F.col("contig") == contig) & (F.col("start") >= start) & (F.col("start") < end))
+
+
 def interval_chunks(path: str, intervals: str) -> list[bai.Chunk]:
     """The merged chunks of the index that ``intervals`` need."""
     header = read_header(path)

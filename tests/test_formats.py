@@ -1,4 +1,5 @@
 import random
+import shutil
 import struct
 
 import numpy as np
@@ -310,8 +311,11 @@ def test_reports(spark, bam):
     assert all(a.end == b.start for a, b in zip(splits, splits[1:]))
     assert reports.count_reads(spark, path, "2k", runs=2).select("reads", "runs").distinct().collect() == [(300, 2)]
     assert reports.compare_first_reads(spark, path, "2k").count() == 0
-    compared = reports.compare_splits(spark, [path, path], "2k")
-    assert [r.only_strict + r.only_other for r in compared["files"].collect()] == [0, 0] and compared["differences"].count() == 0
+    twin = path.replace(".bam", "2.bam")
+    shutil.copy(path, twin)
+    compared = reports.compare_splits(spark, [path, twin, path], "2k")
+    assert [(r.path, r.strict_splits, r.only_strict + r.only_other) for r in compared["files"].orderBy("path").collect()] == sorted((p, len(splits), 0) for p in (path, twin))
+    assert compared["differences"].count() == 0 and compared["ratios"].first().n == 2
     full = reports.full_check(spark, path)
     cdf = full["by_failing"].orderBy("n_failing").collect()
     assert cdf[-1].positions_cdf == sum(r.positions for r in cdf)
@@ -321,6 +325,67 @@ def test_reports(spark, bam):
     assert blocks["summary"].first().mismatched == 0 and blocks["offsets"].first().n > 10
 
 
+def test_full_check_is_that_of_the_plain_rules(spark, bam):
+    path, at = bam
+    full = reports.full_check(spark, path)
+    with RandomAccess(path) as file:
+        data = bgzf.Inflated(file, 0)
+        while data.ensure(len(data.data) + 1):
+            pass
+    lengths = load.read_header(path).lengths
+    one = Checker(Whole(bytes(data.data)), lengths)
+    starts = set(at)
+    totals, by, near = dict.fromkeys(FLAGS, 0), {}, {}
+    for i in range(len(data.data)):
+        mask, before = plain_flags(bytes(data.data), i, lengths), 0
+        if data.position(i) in starts:
+            continue
+        if not mask:  # a chain of records that breaks later: the flags are those of the record that fails
+            ok, mask, before = one.call(i)
+            assert not ok
+        for k, name in enumerate(FLAGS):
+            totals[name] += mask >> k & 1
+        if mask == BIT["tooFewFixedBlockBytes"] and not before:
+            continue
+        n = mask.bit_count() + (before > 0)
+        by[n] = by.get(n, 0) + 1
+        if n <= 2:
+            near[n, mask] = near.get((n, mask), 0) + 1
+    assert {r.flag: r.total for r in full["totals"].collect()} == totals
+    cdf = full["by_failing"].orderBy("n_failing").collect()
+    assert [(r.n_failing, r.positions) for r in cdf] == sorted(by.items())
+    assert [r.positions_cdf for r in cdf] == [sum(v for k, v in by.items() if k <= n) for n in sorted(by)]
+    assert full["critical"].count() == sum(v for (n, _), v in near.items() if n == 1) and full["close"].count() == sum(v for (n, _), v in near.items() if n == 2)
+    assert sorted(r["count"] for r in full["histogram"].collect()) == sorted(near.values())
+
+
+def test_places_choose_chunks_of_the_index(spark, tmp_path):
+    rows = [(f"r{i}", 4 if i % 50 == 0 else 0, i % 3, i * 900, 9, "*" if i % 50 == 0 else "20M", "ACGT" * 5, {"VC": "1"}) for i in range(3000)]
+    df = spark.createDataFrame(rows, "name string, flag int, ref_idx int, start long, mapq int, cigar string, seq string, tags map<string,string>")
+    path = str(tmp_path / "x.bam")
+    save.write_bam(df, path, [(f"c{i}", 1 << 29) for i in range(3)], payload=2000, level=0)
+    for contig, lo, hi in (("c1", 500_000, 600_000), ("c2", 0, 1 << 29), ("c1", 900, 901), ("none", 0, 9), ("c0", 5, 5)):
+        reads = load.load_placed(spark, path, contig, lo, hi, "4k", decode="core")
+        assert sorted(r.name for r in reads.collect()) == sorted(r[0] for r in rows if f"c{r[2]}" == contig and lo <= r[3] < hi)
+    assert load.load_placed(spark, path, "c1", 500_000, 600_000, "4k").rdd.getNumPartitions() < load.load_bam(spark, path, "4k").rdd.getNumPartitions() / 4
+    few = load.load_intervals(spark, path, "c1:500000-600000", decode="core")
+    assert few.columns == load.load_bam(spark, path, decode="core").columns
+    assert sorted(r.name for r in few.collect()) == sorted(r[0] for r in rows if r[2] == 1 and not r[1] and r[3] < 600000 and r[3] + 20 > 500000)
+
+
+def test_summary_rows_and_limits(spark, bam, tmp_path):
+    path, at = bam
+    rows = reports.summary_rows(spark, [path])
+    assert rows.columns == list(reports.TSV_COLUMNS) and rows.first().reads == len(at)
+    reports.write_tsv(rows, str(tmp_path / "t"))
+    assert spark.read.option("sep", "\t").option("header", "true").csv(str(tmp_path / "t")).first().reads == str(len(at))
+    some = spark.createDataFrame([("a",), ("b",), ("c",)], "x string")
+    assert reports.limited(some, 3, "{n} lines:") == "3 lines:\n\ta\n\tb\n\tc\n"
+    assert reports.limited(some, 2, "{n} lines:", "{most} of {n}:") == "2 of 3:\n\ta\n\tb\n\t\u2026\n"
+    timed = reports.time_load(spark, path, "2k").collect()
+    assert timed[0].splits == timed[1].splits > 1
+
+
 def test_own_checker(spark, bam):
     path, at = bam
     register_checker("own", NaiveChecker)
