@@ -32,7 +32,7 @@ from readloom.llm.wordhash import Words, blocks
 WINDOW, ANCHOR = 13, 7
 SHARD_BYTES = 24 << 20  # text of a shard, about
 PARTITION_BYTES = 192 << 20  # of a partition, about, which has several shards one after the other
-BROADCAST = 2_000_000  # anchors, or ids of copies (8 bytes each), that may be broadcast; beyond, they are joined by shuffling
+BROADCAST = 1_000_000  # anchors, or ids of copies (8 bytes each), that may be broadcast; beyond, they are joined by shuffling
 
 
 class Windows:
