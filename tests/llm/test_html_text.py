@@ -98,3 +98,25 @@ def test_chrome_whose_end_tag_is_left_out():
     assert article('<article><ul><li class="ad">N<div>n</article>x') == ""
     assert article('<article><p class="ad">N<br>n<img src=x>n</p>Body</article>') == "Body"
     assert [t for role, t in html_text.blocks('<div><p class="ad">N</div>Body') if role == html_text.OPEN] == ["Body"]
+
+
+def test_odd_pages(spark):
+    long = "<p>" + " ".join(f"w{i % 977}" for i in range(60_000)) + "</p>"
+    rows = [(1, None, None, 7), (1, None, None, 7), (None, "https://h.example/a", "<article>x &amp; y</article>", None), (2, "https://h.example/b", long, 1), (2, "https://h.example/b", f"<article>{long}</article>", 1), (3, "not a url", "  \n ", 2), (4, "https://h.example/c", "<article></article><p>outside</p>", 2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text long").withColumnRenamed("text", "n_chars")
+    got = sorted(((r.page_id, r.url, r.text) for r in html_text.main_text(pages).collect()), key=str)
+    body = long[3:-4]
+    want = [(1, None, ""), (1, None, ""), (None, "https://h.example/a", "x & y"), (2, "https://h.example/b", body), (2, "https://h.example/b", body), (3, "not a url", ""), (4, "https://h.example/c", "outside")]
+    assert got == sorted(want, key=str)
+    assert html_text.main_text(pages.limit(0)).count() == 0
+
+
+def test_hosts_that_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(html_text, "GROUP_BYTES", 300)
+    menu = "home news about contact imprint terms privacy help login"
+    rows = [(i, f"https://h{i % 2}.example/{i}", f"<div>{menu}</div><p>story{i} told once with word{i} and no more than that</p>") for i in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = sorted(html_text.main_text(pages).collect())
+    monkeypatch.setattr(html_text, "BROADCAST_HOSTS", 0)
+    assert sorted(html_text.main_text(pages).collect()) == whole
+    assert [r.text for r in whole] == [f"story{i} told once with word{i} and no more than that" for i in range(12)]
