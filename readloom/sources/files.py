@@ -58,6 +58,17 @@ def size_of(path: str) -> int:
     return info.size
 
 
+def size_below(path: str) -> int:
+    """The bytes of a file, or of all files of a folder."""
+    from pyarrow import fs
+
+    system, name = filesystem(path)
+    info = system.get_file_info(name)
+    if info.type == fs.FileType.Directory:
+        return sum(f.size or 0 for f in system.get_file_info(fs.FileSelector(name, recursive=True)))
+    return info.size or 0
+
+
 def write_bytes(path: str, data: bytes) -> None:
     system, name = filesystem(path)
     with system.open_output_stream(name) as out:

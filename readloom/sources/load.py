@@ -25,7 +25,7 @@ def load_reads(spark: SparkSession, path: str, split_size: int | str = SPLIT_SIZ
     """The records of a file, by its extension: bam (see BamReader for options) or sam."""
     kind = extension(path)
     if kind == "sam":
-        return sam.load_sam(spark, path)
+        return sam.load_sam(spark, path, None if split_size == SPLIT_SIZE else parse_bytes(split_size))
     if kind == "bam":
         return load_bam(spark, path, split_size, **options)
     if kind == "cram":

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from readloom.functions.ranges import parse_bytes
+from readloom.sources.files import size_below
+
 
 def reference_length(cigar: Column) -> Column:
     """Reference bases that a cigar consumes; at least one."""
@@ -26,13 +29,22 @@ def contigs(spark: SparkSession, path: str) -> DataFrame:
     return rows.select((F.row_number().over(Window.orderBy("at")) - 1).alias("idx"), "name", "length")  # the header is small
 
 
-def load_sam(spark: SparkSession, path: str) -> DataFrame:
+def load_sam(spark: SparkSession, path: str, split_size: int | None = None) -> DataFrame:
     """One row for each record: the columns of the binary source but for virtual positions.
 
+    Spark splits text by its own settings; where ``split_size`` asks for more parts than these give, the lines are dealt
+    over as many (a shuffle, which doesn't keep their order).
+
     ``start`` counts from 0 and ``end`` is exclusive; ``contig`` is null for ``*``.  A line of fewer than eleven fields
     is not a record and raises when it is read.
     """
-    lines = spark.read.text(path).filter(~F.col("value").startswith("@") & (F.col("value") != ""))
+    lines = spark.read.text(path)
+    if split_size:
+        size = size_below(path)
+        parts, own = -(-size // split_size), parse_bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+        if parts > max(-(-size // own), 1):
+            lines = lines.repartition(parts)
+    lines = lines.filter(~F.col("value").startswith("@") & (F.col("value") != ""))
     f = F.split("value", "\t", 12)
     # filters may be evaluated in any order: a header line never raises
     checked = F.when((F.size(f) >= 11) | F.col("value").startswith("@"), f).otherwise(F.raise_error(F.concat(F.lit("not a record: "), F.col("value"))))

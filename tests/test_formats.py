@@ -276,6 +276,8 @@ def test_text_twin(spark, tmp_path):
     assert [r.name for r in load.load_intervals(spark, str(path), "c1:19-30,c2").collect()] == ["a"]
     assert load.load_intervals(spark, str(path), "c1:20-30").count() == 0
     assert load.contigs(spark, str(path)).orderBy("idx").collect() == [(0, "c1", 100_000), (1, "c2", 5_000)]
+    split = load.load_reads(spark, str(path), "60")
+    assert split.rdd.getNumPartitions() == -(-path.stat().st_size // 60) and sorted(r.name for r in split.collect()) == ["a", "b"]
     (tmp_path / "bad.sam").write_text("one\ttwo\n")
     with pytest.raises(Exception, match="not a record"):
         load.load_reads(spark, str(tmp_path / "bad.sam")).collect()
