@@ -36,3 +36,11 @@ def test_stages_against_brute_force(spark, sf):
     assert sorted((r.doc_id, list(struct.unpack(f"<{r.n_tokens}I", r.ids))) for r in out) == [(r[0], test_bpe.LIBRARY.encode_ordinary(r[1])) for r in now]
     assert {(r.doc_id, r.decoded_sha256) for r in out} == {(r[0], brute.sha(r[1])) for r in now}
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).select("doc_id").collect())) == sorted((r.doc_id,) for r in out)
+
+
+def test_stages_on_an_empty_table(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        assert out.count() == 0
+        assert out.columns == (docs.columns if name != "byte_bpe" else ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
