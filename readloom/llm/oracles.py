@@ -37,3 +37,16 @@ reach AS (SELECT a AS doc_id, a AS r FROM (SELECT DISTINCT a FROM edge) UNION SE
 comp AS (SELECT doc_id, min(r) AS c FROM reach GROUP BY 1)
 SELECT w.doc_id, coalesce(size.n, 0) AS n_shingles, coalesce(c, w.doc_id) AS component_id, coalesce(c, w.doc_id) = w.doc_id AS kept FROM w LEFT JOIN size USING (doc_id) LEFT JOIN comp USING (doc_id)
 """
+
+#: Of pages whose article is an element of that name, and whose other texts are all chrome: the article's text, the tokens
+#: outside, and those of them that lie in a run of eight that another page of the host has too.
+PAGES = r"""
+WITH raw AS (SELECT row_number() OVER () AS id, page_id, url, coalesce(html, '') AS html, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host FROM pages),
+cut AS (SELECT *, regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1) AS inside, regexp_replace(regexp_replace(html, '(?s)<article>.*?(?:</article>|$)', ' '), '(?s)^.*?</head>|<!--.*?-->', ' ', 'g') AS outside FROM raw),
+plain AS (SELECT *, regexp_replace(regexp_replace(inside, '</?b>|<[^>]*$', '', 'g'), '<[^>]*>', ' ', 'g') AS a, regexp_replace(regexp_replace(outside, '</?(?:b|a)(?: [^>]*)?>|<[^>]*$', '', 'g'), '<[^>]*>', ' ', 'g') AS o FROM cut),
+texts AS (SELECT *, trim(regexp_replace(regexp_replace(replace(replace(replace(a, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text, regexp_extract_all(o, '\S+') AS ws FROM plain),
+win AS (SELECT host, id, i, array_to_string(ws[i:i + 7], ' ') AS k FROM texts, unnest(range(1, len(ws) - 6)) AS t(i)),
+runs AS (SELECT host, k FROM win GROUP BY 1, 2 HAVING count(DISTINCT id) > 1),
+hit AS (SELECT id, count(DISTINCT i + j) AS n FROM win JOIN runs USING (host, k), unnest(range(0, 8)) AS r(j) GROUP BY 1)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars, CAST(len(ws) AS BIGINT) AS n_outside, coalesce(n, 0) AS n_repeated FROM texts LEFT JOIN hit USING (id)
+"""

@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_phrase_dedup": oracles.PHRASES, "op8_decontaminate": oracles.CONTAMINATION, "op10_near_dedup": oracles.NEAR}
+    return {"op2_phrase_dedup": oracles.PHRASES, "op6_main_text": oracles.PAGES, "op8_decontaminate": oracles.CONTAMINATION, "op10_near_dedup": oracles.NEAR}
