@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from readloom.functions import ranges
-from readloom.operators.checker import BIT, FLAGS, Checker, NaiveChecker, record_flags, register_checker
-from readloom.plans import reports
+from readloom.operators.checker import BIT, FLAGS, NAIVE_FIRST_IGNORES, NAIVE_IGNORES, READS_TO_CHECK, Checker, NaiveChecker, record_flags, register_checker
+from readloom.plans import encode_events, reports
 from readloom.sources import bai, bam_codec, bgzf, load, save
 from readloom.sources.files import RandomAccess
 from readloom.streaming import arrivals
@@ -361,6 +361,32 @@ def test_full_check_is_that_of_the_plain_rules(spark, bam):
     assert sorted(r["count"] for r in full["histogram"].collect()) == sorted(near.values())
 
 
+def test_naive_calls_are_those_of_the_plain_rules(spark):
+    """At every position of the events' file, where the naive rules make mistakes."""
+    path = encode_events.events_laid_out(spark, "/root/testdata/sf0.001")
+    lengths = load.read_header(path).lengths
+    with RandomAccess(path) as file:
+        stream = bgzf.Inflated(file, 0)
+        while stream.ensure(len(stream.data) + 1):
+            pass
+    data = bytes(stream.data)
+    masks = Checker(Whole(data), lengths)  # rule by rule as above
+
+    def called(at, first, rest):
+        for n in range(READS_TO_CHECK):
+            if n and at >= len(data):
+                return at == len(data)
+            if masks.one(at) & ~(first if not n else rest):
+                return False
+            at += 4 + max(int.from_bytes(data[at : at + 4], "little", signed=True), 32)
+        return True
+
+    strict = {i for i in range(len(data)) if called(i, 0, 0)}
+    naive = {i for i in range(len(data)) if called(i, NAIVE_FIRST_IGNORES, NAIVE_IGNORES)}
+    got = reports.check_bam(spark, path)["summary"].first()
+    assert (got.positions, got.reads, got.fp, got.fn) == (len(data), len(strict), len(naive - strict), len(strict - naive)) and got.fp > 0
+
+
 def test_places_choose_chunks_of_the_index(spark, tmp_path):
     rows = [(f"r{i}", 4 if i % 50 == 0 else 0, i % 3, i * 900, 9, "*" if i % 50 == 0 else "20M", "ACGT" * 5, {"VC": "1"}) for i in range(3000)]
     df = spark.createDataFrame(rows, "name string, flag int, ref_idx int, start long, mapq int, cigar string, seq string, tags map<string,string>")
