@@ -186,13 +186,16 @@ class Fragment(WriterCommitMessage):
 
 
 class BamWriter(DataSourceArrowWriter):
-    """Writes rows, in their order, as one file: each task a fragment of whole blocks, joined at the commit.
+    """Writes rows, in their order, as one file: each task a fragment of whole blocks, joined at the commit, on the driver.
+
+    With ``folder`` each task writes a whole file with its own index into the folder, and the commit only gives them their
+    names, ``part-00000.bam`` and on: nothing passes through the driver, and ``load_folder`` reads them as one table.
 
     Columns: name, flag, ref_idx, start, mapq, cigar, seq, and if there qual (text), mate_ref_idx, mate_start, tlen,
     tags (map; values are written as text, or as numbers if they look like integers).
     Options: ``contigs`` (JSON list of [name, length]), ``block_aligned`` (a record never begins within a block that
     another began), ``index`` (write the companion index; rows must be sorted), ``payload`` (bytes of a block), ``level``
-    (of compression; 0 stores).
+    (of compression; 0 stores), ``folder``.
     """
 
     def __init__(self, options: dict[str, str]):
@@ -200,7 +203,14 @@ class BamWriter(DataSourceArrowWriter):
         self.path, self.contigs = o["path"], [tuple(c) for c in json.loads(o["contigs"])]
         self.aligned, self.index = o.get("block_aligned", "false") == "true", o.get("index", "true") == "true"
         self.payload, self.level = int(o.get("payload", MAX_PAYLOAD)), int(o.get("level", 6))
-        self.parts = f"{self.path}.parts-{uuid.uuid4().hex}"
+        self.folder = o.get("folder", "false") == "true"
+        self.parts = f"{self.path}/_parts-{uuid.uuid4().hex}" if self.folder else f"{self.path}.parts-{uuid.uuid4().hex}"
+
+    def head(self) -> bytes:
+        head = BlockWriter(self.payload, self.level)
+        head.write(bam_codec.encode_header(list(self.contigs)))
+        head.end_block()
+        return head.take()
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Fragment:
         from pyspark import TaskContext
@@ -209,7 +219,9 @@ class BamWriter(DataSourceArrowWriter):
         system.create_dir(base, recursive=True)
         name = uuid.uuid4().hex
         out, index, size = BlockWriter(self.payload, self.level), bai.IndexBuilder(), 0
+        head = self.head() if self.folder else b""
         with system.open_output_stream(f"{base}/{name}") as file:
+            file.write(head)
             for batch in batches:
                 for row in batch.to_pylist():
                     record = self.encode(row)
@@ -227,6 +239,12 @@ class BamWriter(DataSourceArrowWriter):
             chunk = out.take()
             file.write(chunk)
             size += len(chunk)
+            file.write(TRAILER if self.folder else b"")
+        if self.folder and self.index and size:
+            whole = bai.IndexBuilder()
+            whole.shifted(len(head), index)
+            write_bytes(f"{self.parts}/{name}.bai", whole.encode(len(self.contigs)))
+            index = bai.IndexBuilder()  # nothing to send
         return Fragment(TaskContext.get().partitionId(), f"{self.parts}/{name}", size, index)
 
     def encode(self, row: dict) -> bytes:
@@ -238,16 +256,20 @@ class BamWriter(DataSourceArrowWriter):
         )
 
     def commit(self, messages: list[Fragment | None]) -> None:
-        head = BlockWriter(self.payload, self.level)
-        head.write(bam_codec.encode_header(list(self.contigs)))
-        head.end_block()
+        found = sorted((m for m in messages if m and m.size), key=lambda m: m.part)
         system, name = filesystem(self.path)
+        if self.folder:
+            system.create_dir(name, recursive=True)
+            for i, m in enumerate(found):
+                for end in ("", ".bai") if self.index else ("",):
+                    system.move(filesystem(m.path + end)[1], f"{name}/part-{i:05d}.bam{end}")
+            return self.abort(messages)
         index, at = bai.IndexBuilder(), 0
         with system.open_output_stream(name) as out:
-            raw = head.take()
+            raw = self.head()
             out.write(raw)
             at += len(raw)
-            for m in sorted((m for m in messages if m and m.size), key=lambda m: m.part):
+            for m in found:
                 with RandomAccess(m.path) as file:
                     for lo in range(0, file.size, 8 << 20):
                         out.write(file.read(lo, 8 << 20))

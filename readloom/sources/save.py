@@ -45,7 +45,8 @@ def write_bam(reads: DataFrame, path: str, contigs: list[tuple[str, int]], sort:
     """Writes records as one file and its index; with ``sort``, in order of contig and start (unplaced ones last).
 
     Each of the sorted ``parts``, which tasks write at once, begins a block; with one part, the file's layout depends on
-    the records alone.
+    the records alone.  The parts are joined on the driver; with ``folder=True`` they stay files of their own, each with
+    its index, for ``load_folder``.
     """
     register(reads.sparkSession)
     if sort:

@@ -396,6 +396,14 @@ def test_places_choose_chunks_of_the_index(spark, tmp_path):
         reads = load.load_placed(spark, path, contig, lo, hi, "4k", decode="core")
         assert sorted(r.name for r in reads.collect()) == sorted(r[0] for r in rows if f"c{r[2]}" == contig and lo <= r[3] < hi)
     assert load.load_placed(spark, path, "c1", 500_000, 600_000, "4k").rdd.getNumPartitions() < load.load_bam(spark, path, "4k").rdd.getNumPartitions() / 4
+    parts = str(tmp_path / "many")
+    save.write_bam(df, parts, [(f"c{i}", 1 << 29) for i in range(3)], parts=3, folder=True)
+    names = sorted(f.name for f in (tmp_path / "many").iterdir() if not f.name.startswith("."))
+    assert names == sorted(f"part-{i:05d}.bam{e}" for i in range(3) for e in ("", ".bai"))
+    every = load.load_folder(spark, parts, "4k", decode="core")
+    assert sorted(r.name for r in every.collect()) == sorted(r[0] for r in rows)
+    inside = load.load_folder(spark, parts, "4k", decode="core", intervals="c1:500000-600000")
+    assert sorted(r.name for r in inside.collect()) == sorted(r[0] for r in rows if r[2] == 1 and not r[1] and r[3] < 600000 and r[3] + 20 > 500000)
     few = load.load_intervals(spark, path, "c1:500000-600000", decode="core")
     assert few.columns == load.load_bam(spark, path, decode="core").columns
     assert sorted(r.name for r in few.collect()) == sorted(r[0] for r in rows if r[2] == 1 and not r[1] and r[3] < 600000 and r[3] + 20 > 500000)
