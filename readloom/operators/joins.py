@@ -55,9 +55,23 @@ def with_contigs(reads: DataFrame, contigs: DataFrame, idx: str = "ref_idx") ->
 
 
 def resolve_ends(intervals: DataFrame, contigs: DataFrame) -> DataFrame:
-    """(contig, start, end) with open ends (null) at the contig's length."""
-    names = contigs.select(F.col("name").alias("contig"), "length")
-    return intervals.join(F.broadcast(names), "contig").select("contig", "start", F.coalesce("end", "length").alias("end"))
+    """``intervals`` (contig, start, end and others) with open ends (null) at the contig's length; unknown contigs go."""
+    names = contigs.select(F.col("name").alias("contig"), F.col("length").alias("__length"))
+    end = F.coalesce("end", "__length").alias("end")
+    return intervals.join(F.broadcast(names), "contig").select(*[end if c == "end" else F.col(c) for c in intervals.columns])
+
+
+def set_difference(left: DataFrame, right: DataFrame, names: tuple[str, str] = ("left", "right")) -> DataFrame:
+    """The distinct rows that only one side has, and in ``side`` the name of that one."""
+    one = lambda a, b, name: a.subtract(b).withColumn("side", F.lit(name))
+    return one(left, right, names[0]).union(one(right, left, names[1]))
+
+
+def distinct_union(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """The distinct rows of all, which have the same columns in the same places, in order."""
+    for other in others:
+        first = first.union(other)
+    return first.distinct().orderBy(*first.columns)
 
 
 def coalesce_intervals(intervals: DataFrame, key: list[str], start: str = "start", end: str = "end") -> DataFrame:

@@ -434,12 +434,12 @@ def explode_positions(spark, sf_dir):
 def name_set_difference(spark, sf_dir):
     c = _t(spark, sf_dir, "customer")
     a, b = c.filter("c_acctbal > 0").select(F.col("c_name").alias("name")), c.filter("c_nationkey < 15").select(F.col("c_name").alias("name"))
-    return a.subtract(b).withColumn("side", F.lit("left")).union(b.subtract(a).withColumn("side", F.lit("right")))
+    return joins.set_difference(a, b)
 
 
 @query("SELECT l_suppkey AS k FROM lineitem UNION SELECT s_suppkey FROM supplier ORDER BY k")
 def distinct_union_sorted(spark, sf_dir):
-    return _t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k")).union(_t(spark, sf_dir, "supplier").select("s_suppkey")).distinct().orderBy("k")
+    return joins.distinct_union(_t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k")), _t(spark, sf_dir, "supplier").select("s_suppkey"))
 
 
 @query("SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, TRY_CAST(regexp_extract(url, '/([0-9]+)', 1) AS BIGINT) AS number FROM pages")
@@ -453,14 +453,14 @@ def loci_parse(spark, sf_dir):
     open_end = F.when(F.col("l_linenumber") % 2 == 0, (F.col("l_partkey") + F.col("l_suppkey")).cast("string")).otherwise("")
     text = F.concat(F.lit("c"), (F.col("l_suppkey") % 5).cast("string"), F.lit(":"), F.col("l_partkey").cast("string"), F.lit("-"), open_end)
     rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", rg.loci(text).alias("locus")).select("l_orderkey", "l_linenumber", "locus.*")
-    lengths = spark.createDataFrame([(f"c{i}", 10_000_000) for i in range(5)], "contig string, length long")
-    return rows.join(F.broadcast(lengths), "contig").select("l_orderkey", "l_linenumber", "contig", "start", F.coalesce("end", "length").alias("end"))
+    lengths = spark.createDataFrame([(i, f"c{i}", 10_000_000) for i in range(5)], "idx int, name string, length long")
+    return joins.resolve_ends(rows, lengths)
 
 
 @query("SELECT l_returnflag AS k, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS compressed, CAST(sum(l_partkey) AS BIGINT) AS uncompressed, round(sum(l_partkey) / sum(CAST(l_quantity AS BIGINT)), 6) AS ratio FROM lineitem GROUP BY 1")
 def compression_ratio_by_group(spark, sf_dir):
-    rows = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("k")).agg(F.sum(F.col("l_quantity").cast("bigint")).alias("compressed"), F.sum("l_partkey").alias("uncompressed"))
-    return rows.withColumn("ratio", F.round(F.col("uncompressed") / F.col("compressed"), 6))
+    rows = reports.compression(_t(spark, sf_dir, "lineitem"), F.col("l_quantity").cast("bigint"), F.col("l_partkey"), [F.col("l_returnflag").alias("k")])
+    return rows.withColumn("ratio", F.round("ratio", 6))
 
 
 @query("SELECT r.user_id, r.event_id, c.n_name AS contig, c.length FROM (SELECT event_id, user_id, CAST(user_id % 40 AS INTEGER) AS idx FROM events) r LEFT JOIN (SELECT n_nationkey AS idx, n_name, n_nationkey * 100 AS length FROM nation) c ON r.idx = c.idx")

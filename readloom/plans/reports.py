@@ -14,6 +14,7 @@ from readloom.functions import pos as vp
 from readloom.functions.ranges import format_bytes, parse_bytes
 from readloom.functions.stats import describe
 from readloom.operators.checker import BIT, MAX_READ_SIZE, READS_TO_CHECK, checker
+from readloom.operators.joins import set_difference
 from readloom.operators.scan import cumulative
 from readloom.sources.bam import first_of_split
 from readloom.sources.bam_codec import decode, record_offsets
@@ -85,9 +86,9 @@ def check_bam(spark: SparkSession, path: str, truth: DataFrame | None = None, ot
         rows, expected, actual = against(rows, truth), "expected", "strict"
     else:
         expected, actual = "strict", "other"
-    size = blocks(spark, path, ranges=options.get("ranges")).agg(F.sum("compressed_size").alias("compressed"))
-    summary = confusion(rows, expected, actual).withColumn("compressed", F.lit(size.first()[0]))
-    summary = summary.select((F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("positions"), "compressed", ((F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")) / F.col("compressed")).alias("ratio"), (F.col("tp") + F.col("fn")).alias("reads"), "fp", "fn")
+    size = compression(blocks(spark, path, ranges=options.get("ranges")), F.col("compressed_size"), F.col("uncompressed_size"))  # a position is an inflated byte
+    summary = confusion(rows, expected, actual).join(F.broadcast(size), F.lit(True))
+    summary = summary.select((F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("positions"), "compressed", "ratio", (F.col("tp") + F.col("fn")).alias("reads"), "fp", "fn")
     wrong = classified(rows, expected, actual).filter(F.col(expected) != F.col(actual))
     sites = annotated(spark, path, wrong)
     histogram = wrong.filter("outcome = 'FP'").groupBy("flags").count().select(fl.names(F.col("flags")).alias("failing"), "flags", "count").orderBy(F.desc("count"), "flags")
@@ -301,8 +302,13 @@ def time_load(spark: SparkSession, path: str, split_size: int | str, checkers: t
 
 def compare_first_reads(spark: SparkSession, path: str, split_size: int | str, other: str = "naive") -> DataFrame:
     """The names that are first in a split for one checker only."""
-    a, b = (first_reads(spark, path, split_size, c).select("name") for c in ("strict", other))
-    return a.subtract(b).withColumn("side", F.lit("strict")).union(b.subtract(a).withColumn("side", F.lit(other)))
+    return set_difference(*(first_reads(spark, path, split_size, c).select("name") for c in ("strict", other)), ("strict", other))
+
+
+def compression(rows: DataFrame, compressed: Column, inflated: Column, keys: list[Column] | None = None) -> DataFrame:
+    """(keys, compressed, uncompressed, ratio): sums over the rows, and inflated bytes for a compressed one."""
+    sums = rows.groupBy(*(keys or [])).agg(F.sum(compressed).alias("compressed"), F.sum(inflated).alias("uncompressed"))
+    return sums.withColumn("ratio", F.col("uncompressed") / F.col("compressed"))
 
 
 def rendered(summary: DataFrame) -> str:

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from readloom.functions.pos import plain_distance
 from readloom.functions.ranges import overlaps, parse_bytes, parse_intervals, within
+from readloom.operators.joins import distinct_union
 from readloom.operators.scan import size_buckets
 from readloom.sources import bai, bam_codec, sam
 from readloom.sources.bam import SPLIT_SIZE, register
@@ -120,7 +121,7 @@ def index_addresses(spark: SparkSession, path: str) -> DataFrame:
     t = index_table(spark, path)
     linear = [(tuple(p),) for r in bai.read_index(path) for p in r.linear]
     more = spark.createDataFrame(linear, "pos struct<block_pos:bigint,offset:int>")
-    return t.select(F.col("start").alias("pos")).union(t.select("end")).union(more).distinct().orderBy("pos")
+    return distinct_union(t.select(F.col("start").alias("pos")), t.select("end"), more)
 
 
 def blocks(spark: SparkSession, path: str, split_size: int | str = SPLIT_SIZE, ranges: str | None = None) -> DataFrame:
