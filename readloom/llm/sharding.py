@@ -11,6 +11,8 @@ Only DataFrame functions are used, and only keys and sizes are shuffled, not tex
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -85,8 +87,9 @@ def divided(records: DataFrame, rows: int) -> DataFrame:
     while True:
         edges = [(FIRST,) * len(keys), *bounds]
         placed = records.withColumn("range", range_of(bounds, keys))
-        ranges = placed.groupBy("range").agg(F.sum("size").alias("size"), F.min(F.struct(*keys)).alias("lo"), F.max(F.struct(*keys)).alias("hi"))
-        full = {r["range"]: r["size"] for r in ranges.filter((F.col("size") > F.lit(OVERFULL * mean)) & (F.col("lo") < F.col("hi"))).collect() if edges[r["range"]] not in whole}
+        several = reduce(lambda a, b: a | b, [F.min(k) < F.max(k) for k in keys])
+        ranges = placed.groupBy("range").agg(F.sum("size").alias("size"), several.alias("several"))
+        full = {r["range"]: r["size"] for r in ranges.filter((F.col("size") > F.lit(OVERFULL * mean)) & F.col("several")).collect() if edges[r["range"]] not in whole}
         if not full:
             return placed
         pieces = {r: int(n / mean) + 1 for r, n in full.items()}
