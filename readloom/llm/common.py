@@ -26,6 +26,15 @@ def arrow_map(df: DataFrame, run, schema) -> DataFrame:
     return df.mapInArrow(lambda batches: run(cut(batches)), schema)
 
 
+def written_ids(df: DataFrame, name: str) -> DataFrame:
+    """What an aggregate or join of ids gives, written in an eighth as many files as shuffles have partitions.
+
+    Partitions are as many as texts need; small tables in as many files would be mostly the making of files.
+    """
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(df.coalesce(max(1, most // 8)), name)
+
+
 def broadcast_if_small(written_table: DataFrame, most: int) -> DataFrame:
     """A written table, with the hint to broadcast it if it has at most ``most`` rows; otherwise joins shuffle it."""
     return F.broadcast(written_table) if written_table.count() <= most else written_table

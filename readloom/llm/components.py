@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import written
+from readloom.llm.common import written_ids as written
 
 
 def components(links: DataFrame) -> DataFrame:

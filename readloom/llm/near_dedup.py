@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from readloom.llm.common import arrow_map, broadcast_if_small, table, written
+from readloom.llm.common import arrow_map, broadcast_if_small, table, written, written_ids
 from readloom.llm.components import components
 from readloom.llm.wordhash import U, Words, blocks, mix, shingle_set
 
@@ -192,7 +192,7 @@ def _confirmed(pairs: DataFrame, packed: DataFrame, n_words: int, threshold: flo
     import zstandard
 
     many = pairs.groupBy("a").agg(F.count("*").alias("k")).filter(F.col("k") > SALT_PAIRS).select("a", F.ceil(F.col("k") / SALT_PAIRS).cast("int").alias("salts"))
-    many = written(many, "many")  # so that the join can deal the pairs of one root over tasks
+    many = written_ids(many, "many")  # so that the join can deal the pairs of one root over tasks
     salted = pairs.join(broadcast_if_small(many, BROADCAST_ROWS), "a", "left")
     salted = salted.select("a", F.coalesce(F.pmod(F.xxhash64("b"), F.col("salts")), F.lit(0)).cast("int").alias("salt"), F.col("b").alias("id"), F.lit(1).alias("side"))
     roots = salted.select("a", "salt").distinct().select("a", "salt", F.col("a").alias("id"), F.lit(0).alias("side"))
@@ -232,7 +232,7 @@ def _block_groups(members: DataFrame, columns: list[str], weight, most: int) ->
     plan = sizes.groupBy("a").agg(most_of.alias("top"), F.sum("w").alias("all"))
     rest = F.col("all") - F.col("top.w")
     plan = plan.select("a", F.col("top.component").alias("top"), F.when(F.col("all") <= most, 0).otherwise(F.ceil(F.col("top.w") / most)).cast("int").alias("tops"), F.greatest(F.lit(1), F.ceil(rest / most)).cast("int").alias("rests"))
-    plan = written(plan, "plan")  # so that the join can deal the members of one root over tasks
+    plan = written_ids(plan, "plan")  # so that the join can deal the members of one root over tasks
     dealt = members.join(broadcast_if_small(plan, BROADCAST_ROWS), "a")
     of_top = (F.col("component") == F.col("top")) & (F.col("tops") > 0)
     h = F.xxhash64("id")
@@ -355,7 +355,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n_
     # what is left: members of band values with one root, in different components
     listed = members.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     listed = written(listed.select("a", "id", "component"), "listed")
-    mixed = written(listed.groupBy("a").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("a"), "mixed")
+    mixed = written_ids(listed.groupBy("a").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("a"), "mixed")
     open_ = listed.join(broadcast_if_small(mixed, BROADCAST_ROWS), "a").join(reps, "id").select("a", "id", "n", "component", "registers")
     suspects = written(_suspects(open_, threshold), "suspects")
     full = suspects.join(listed, ["a", "id"]).join(reps.select("id", "n"), "id").join(packed, "id")
