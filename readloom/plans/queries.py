@@ -143,6 +143,7 @@ def bam_failing_cdf(spark, sf_dir):
 
 @query(f"WITH {_LAID} SELECT blocks, CAST(0 AS BIGINT) AS mismatched, CAST(0 AS BIGINT) AS bytes_at_risk, blocks - (SELECT count(DISTINCT block_pos) FROM p) AS without_record, 'positions' AS verdict FROM f")
 def check_blocks_summary(spark, sf_dir):
+    """The strict rules against the naive ones.  The SQL has no mistake of the naive rules: on larger tables they make some."""
     summary = reports.check_blocks(spark, events_laid_out(spark, sf_dir))["summary"]
     return summary.select("blocks", "mismatched", "bytes_at_risk", "without_record", "verdict")
 
