@@ -183,6 +183,7 @@ def first_offset_histogram(spark, sf_dir):
 
 @query(f"{_SPLIT_OF} SELECT count(*) AS strict_splits, count(*) AS other_splits, CAST(0 AS BIGINT) AS only_strict, CAST(0 AS BIGINT) AS only_other FROM x")
 def compare_splits(spark, sf_dir):
+    """The splits of the strict rules against those of the naive ones, for which the same holds."""
     return reports.compare_splits(spark, [events_laid_out(spark, sf_dir)], "50k")["files"].select("strict_splits", "other_splits", "only_strict", "only_other")
 
 

@@ -391,13 +391,13 @@ def test_naive_calls_are_those_of_the_plain_rules(spark):
 def fooled(tmp_path):
     """A file of unmapped records, of 60 and 66 bytes in turn, in blocks of 127.  From the mate fields of a record of 60, at
     its byte 24, the naive rules take a record of length -1 that leads to the next one: they are wrong about the blocks that
-    begin at one of the bytes 1 to 24 of such a record.  Gives the path, the blocks with records, and the wrong ones."""
-    path, n = tmp_path / "fooled.bam", 200
+    begin at one of the bytes 1 to 24 of such a record.  Gives the path, the blocks, the first of them the header's, and the numbers of the wrong ones."""
+    path, n = tmp_path / "fooled.bam", 120  # the last block holds the start of a record, too
     write(path, [bam_codec.encode_record(f"e{i:07}", 4, 0, i, 0, "*", "ACGTNACGT" if i % 2 else "ACGTN", tags=bam_codec.encode_tag("VC", "i", i)) for i in range(n)], payload=127)
     with RandomAccess(str(path)) as file:
         metas = list(bgzf.block_metadata(file))
     wrong = [i for i in range(1, len(metas)) if 1 <= (i - 1) * 127 % 126 <= 24]
-    assert (len(metas) - 1) * 127 > n * 63 - 126 and 20 < len(wrong) < len(metas) // 2
+    assert len(metas) == 61 and len(wrong) == 24
     return str(path), metas, wrong
 
 
@@ -407,6 +407,16 @@ def test_block_report_says_where_the_naive_rules_are_fooled(spark, fooled):
     assert (b.blocks, b.mismatched, b.bytes_at_risk) == (len(metas), len(wrong), sum(metas[i - 1].compressed_size for i in wrong))
 
 
+def test_split_report_says_where_the_naive_rules_are_fooled(spark, fooled):
+    """Splits smaller than blocks: each block with records is the first of a split of its own."""
+    path, metas, wrong = fooled
+    compared = reports.compare_splits(spark, [path], "64")
+    f = compared["files"].first()
+    assert (f.strict_splits, f.other_splits, f.only_strict, f.only_other) == (len(metas) - 1, len(metas) - 1, len(wrong), len(wrong))
+    at = {metas[i].start: (i - 1) * 127 % 126 for i in wrong}  # the naive start is 24 bytes into a record, the strict one is the next record
+    assert {(r.side, *r.start) for r in compared["differences"].collect()} == {x for b, o in at.items() for x in (("left", b, 60 - o), ("right", b, 24 - o))}
+
+
 def test_places_choose_chunks_of_the_index(spark, tmp_path):
     rows = [(f"r{i}", 4 if i % 50 == 0 else 0, i % 3, i * 900, 9, "*" if i % 50 == 0 else "20M", "ACGT" * 5, {"VC": "1"}) for i in range(3000)]
     df = spark.createDataFrame(rows, "name string, flag int, ref_idx int, start long, mapq int, cigar string, seq string, tags map<string,string>")
